@@ -6,9 +6,9 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from hitmerge import fixed_values as fv
-from hitmerge.functions.columns import WHITE, char_class, let, squeeze_white, trim_white
+from hitmerge.functions.columns import WHITE_CHARS, char_class, let, squeeze_white, trim_white
 
-_NOISE = f"[{WHITE}\\x1C-\\x1F{char_class(fv.TEXT_NOISE)}]+"
+_NOISE = f"[{WHITE_CHARS}\\x1C-\\x1F{char_class(fv.TEXT_NOISE)}]+"
 _SEP = char_class(fv.TITLE_SEPARATORS)
 _LAST_SEP = f"(?s)^(.+)[{_SEP}]([^{_SEP}]*)$"
 _SENTENCE = f"[{char_class(fv.SENTENCE_MARKS)}]"

@@ -6,13 +6,19 @@ the similarity tests. Walking the rows in pool order, a row is absorbed by the f
 row before it that it matches; this is not the connected component of the match graph.
 
 How it scales. Matches only exist inside buckets: (query, canonical URL), and (query, site, first
-segment, title) or (..., snippet). A bucket is never expanded into all its pairs. Each round takes
-the first few undecided rows of every bucket as leaders and compares only those with the rest of
-the bucket, so a bucket of copies collapses onto its first row at linear cost. A row becomes a
-survivor once every possible absorber before it was compared and none is left; rows it matches are
-absorbed. Buckets that stay undecided after some rounds hold rows that look alike but are not
-copies; they are cut finer by rare shingles, which is exact: two sets with Jaccard >= t share one
-of their |x| - ceil(t|x|) + 1 rarest elements. The result does not depend on these sizes.
+segment, title) or (..., snippet); all of them stay inside one (query, site).
+
+* Sites with few rows in a query, the usual case, are settled in one pass: their buckets are joined
+  and each site's short, sorted list of matches is folded once.
+* Larger sites go through rounds, and their buckets are never expanded into all pairs. Each round
+  takes the first few undecided rows of every bucket as leaders and compares only those with the
+  rest of the bucket, so a bucket of copies collapses onto its first row at linear cost. A row
+  becomes a survivor once every possible absorber before it was compared and none is left; rows it
+  matches are absorbed. Buckets that stay undecided after some rounds hold rows that look alike
+  but are not copies; they are cut finer by rare shingles, which is exact: two sets with
+  Jaccard >= t share one of their |x| - ceil(t|x|) + 1 rarest elements.
+
+The result does not depend on any of these sizes.
 """
 
 from __future__ import annotations
@@ -33,6 +39,7 @@ from hitmerge.operators.hits import first_non_empty, longest, merged_signal_colu
 from hitmerge.operators.numbering import count_before
 from hitmerge.session import cut_lineage
 
+SMALL_SITE = 500      # rows of a (query, site) up to which one pass settles it
 LEADERS = 16          # leaders per bucket in the first round, doubled every round
 COARSE_ROUNDS = 4     # rounds before undecided buckets are cut by shingles
 MAX_ROUNDS = 200
@@ -57,7 +64,9 @@ def features(hits: DataFrame, mode: str = "default") -> DataFrame:
         Q, POS, "url", "norm_url", "host", "site", "head_key",
         norm_title(F.col("title")).alias("tkey"), norm_text(F.col("title")).alias("ttext"),
         F.when(F.col("snip") == "", "").otherwise(F.md5(F.col("snip"))).alias("shash"),
-        number_set(F.col("url"), F.col("title")).alias("nums"))
+        number_set(F.col("url"), F.col("title")).alias("nums"),
+        # Same for all rows that can match: equal canonical URLs start with the same host.
+        registrable_site(F.regexp_extract("norm_url", "^([^/?:]*)", 1)).alias("grp"))
 
 
 def snippet_texts(hits: DataFrame) -> DataFrame:
@@ -169,10 +178,32 @@ def _only_shared_buckets(rows: DataFrame) -> DataFrame:
     shared = narrow.groupBy(Q, "bucket").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
     kept = narrow.join(shared, [Q, "bucket"], "left_semi").groupBy(Q, POS).agg(
         F.collect_set("bucket").alias("buckets"))
-    return rows.join(kept, [Q, POS]).select(
-        Q, POS, _pack().alias("f"), "buckets",
-        F.lit(True).alias("open"), F.lit(None).cast("bigint").alias("owner"),
-        F.lit(None).cast("string").alias("reason"))
+    return rows.join(kept, [Q, POS]).select(Q, POS, "grp", _pack().alias("f"), "buckets")
+
+
+def _one_pass(rows: DataFrame, texts: DataFrame) -> DataFrame:
+    """Owners in sites of bounded size: all matches of the site, folded in (i, j) order."""
+    entry = rows.select(Q, "grp", POS, "f", F.explode("buckets").alias("bucket"))
+    left = entry.select(Q, "grp", "bucket", F.col(POS).alias("i"), F.col("f").alias("a"))
+    right = entry.select(Q, "bucket", F.col(POS).alias("j"), F.col("f").alias("b"))
+    pairs = left.join(right, [Q, "bucket"]).filter("i < j").select(Q, "grp", "i", "j", "a", "b")
+    matched, cached = _matches(pairs, texts)
+    per_site = matched.groupBy(Q, "grp").agg(
+        F.array_sort(F.collect_set(F.struct("i", "j", "reason"))).alias("edges"))
+    start = F.struct(F.array().cast("array<bigint>").alias("gone"),
+                     F.array().cast(f"array<struct<{POS}:bigint,owner:bigint,reason:string>>").alias("owners"))
+
+    def absorb_next(acc: Column, e: Column) -> Column:
+        stays = F.array_contains(acc["gone"], e["i"]) | F.array_contains(acc["gone"], e["j"])
+        return F.when(stays, acc).otherwise(F.struct(
+            F.array_append(acc["gone"], e["j"]).alias("gone"),
+            F.array_append(acc["owners"], F.struct(
+                e["j"].alias(POS), e["i"].alias("owner"), e["reason"].alias("reason"))).alias("owners")))
+
+    owners = cut_lineage(per_site.select(Q, F.inline(
+        F.aggregate("edges", start, absorb_next, lambda acc: acc["owners"]))))
+    cached.unpersist()
+    return owners
 
 
 def _round(state: DataFrame, texts: DataFrame, leaders: int) -> DataFrame:
@@ -266,27 +297,37 @@ def _cut_finer(state: DataFrame, texts: DataFrame) -> DataFrame:
         "open", "owner", "reason")
 
 
-def find_owners(hits: DataFrame, mode: str = "default", leaders: int = LEADERS,
-                coarse_rounds: int = COARSE_ROUNDS) -> DataFrame:
-    """query_id, pos, owner, reason for every absorbed row."""
-    texts = snippet_texts(hits)
-    state = cut_lineage(_only_shared_buckets(features(hits, mode)))
+def _rounds(rows: DataFrame, texts: DataFrame, leaders: int, coarse_rounds: int) -> list[DataFrame]:
+    """Owners in sites of any size."""
+    state = rows.select(Q, POS, "f", "buckets", F.lit(True).alias("open"),
+                        F.lit(None).cast("bigint").alias("owner"), F.lit(None).cast("string").alias("reason"))
     owners = []
     for n in range(1, MAX_ROUNDS + 1):
-        state = _round(state, texts, leaders)
-        done, state = _settled(state)
+        done, state = _settled(_round(state, texts, leaders))
         owners.append(done)
         if state.isEmpty():
-            break
-        if n == MAX_ROUNDS:
-            raise RuntimeError("rows still undecided; raise MAX_ROUNDS")
+            return owners
         leaders *= 2
         if n == coarse_rounds:
             state = cut_lineage(_cut_finer(state, texts))
             leaders = max(LEADERS, leaders // 2)
-    out = owners[0]
-    for more in owners[1:]:
-        out = out.unionByName(more)
+    raise RuntimeError("rows still undecided; raise MAX_ROUNDS")
+
+
+def find_owners(hits: DataFrame, mode: str = "default", small_site: int = SMALL_SITE,
+                leaders: int = LEADERS, coarse_rounds: int = COARSE_ROUNDS) -> DataFrame:
+    """query_id, pos, owner, reason for every absorbed row."""
+    texts = snippet_texts(hits)
+    rows = cut_lineage(_only_shared_buckets(cut_lineage(features(hits, mode))))
+    large = rows.groupBy(Q, "grp").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > small_site) \
+        .select(Q, "grp").persist(StorageLevel.MEMORY_AND_DISK)
+    if large.isEmpty():
+        out = _one_pass(rows, texts)
+    else:
+        out = _one_pass(rows.join(large, [Q, "grp"], "left_anti"), texts)
+        for more in _rounds(rows.join(large, [Q, "grp"], "left_semi"), texts, leaders, coarse_rounds):
+            out = out.unionByName(more)
+    large.unpersist()
     return out
 
 
@@ -338,10 +379,11 @@ def merged_from_maps(absorbed: DataFrame, per_map: int = 1000) -> DataFrame:
         .agg(F.map_from_entries(F.array_sort(F.collect_list(entry))).alias("merged_from"))
 
 
-def dedup(hits: DataFrame, mode: str = "default", leaders: int = LEADERS,
-          coarse_rounds: int = COARSE_ROUNDS) -> DedupResult:
-    """Deduplicate pools (query_id, hit_ord, engine, positions, title, snippet, url, date, signals)."""
-    owners = find_owners(hits, mode, leaders, coarse_rounds)
+def dedup(hits: DataFrame, mode: str = "default", **sizes: int) -> DedupResult:
+    """Deduplicate pools (query_id, hit_ord, engine, positions, title, snippet, url, date, signals).
+
+    ``hits`` is read several times: pass a stored or checkpointed table."""
+    owners = find_owners(hits, mode, **sizes)
     return DedupResult(absorb(hits, owners), absorbed_urls(hits, owners), owners)
 
 

@@ -17,6 +17,8 @@ DEFAULTS = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
+    # Recording the Python call site of every column costs more than planning these queries.
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
 }
 
 
