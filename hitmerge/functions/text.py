@@ -76,16 +76,16 @@ def number_set(url: Column, title: Column) -> Column:
 
 
 def shingles(norm: Column, n: int) -> Column:
-    """Distinct character n-grams of an already normalised text."""
-    def cut(t: Column) -> Column:
-        length = F.length(t)
-        return (
-            F.when(length == 0, F.array().cast("array<string>"))
-            .when(length <= n, F.array(t))
-            .otherwise(F.array_distinct(F.transform(
-                F.sequence(F.lit(1), length - n + 1), lambda i: F.substr(t, i, F.lit(n))))))
-
-    return let(norm, cut)
+    """Distinct character n-grams of an already normalised text. Grams are put together from the
+    array of characters: ``substr`` walks from the start each time, quadratic on long texts."""
+    def cut(chars: Column) -> Column:
+        gram = lambda i: F.concat(*[F.get(chars, i + k) for k in range(n)])
+        return F.array_distinct(F.transform(F.sequence(F.lit(0), F.size(chars) - n), gram))
+
+    return (
+        F.when(norm == "", F.array().cast("array<string>"))
+        .when(F.length(norm) <= n, F.array(norm))
+        .otherwise(let(F.split(norm, ""), cut)))
 
 
 def ngrams(c: Column, n: int) -> Column:

@@ -96,7 +96,7 @@ def fetch_log(spark: SparkSession, sf_dir: str) -> DataFrame:
         (~bad).alias("ok"), F.floor(F.col("value") * 100).cast("bigint").alias("latency_ms"),
         F.when(bad, F.get(texts, F.pmod(F.col("event_id"), F.lit(len(ERROR_TEXTS))).cast("int")))
         .otherwise("").alias("error"),
-        F.col("ts").alias("arrived_at"), F.col("event_id").alias("event_id"))
+        F.col("ts").cast("timestamp").alias("arrived_at"), F.col("event_id").alias("event_id"))
 
 
 def judged(spark: SparkSession, sf_dir: str) -> DataFrame:

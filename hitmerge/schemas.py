@@ -27,4 +27,4 @@ HIT = (
     "struct<engine:array<string>,positions:map<string,bigint>,title:string,snippet:string,"
     f"url:string,date:string,merged_from:map<string,{ALT_REF}>,signals:{SIGNALS}>"
 )
-REPORT = f"query string, results array<{HIT}>"
+REPORT = f"query string, offset bigint, results array<{HIT}>"

@@ -22,6 +22,7 @@ def read_stored_reports(spark: SparkSession, path: str) -> DataFrame:
     """Result rows of stored reports, ready for another deduplication run: merge traces of the
     earlier run are cleared. hit_ord is the place in the report."""
     reports = spark.read.schema(schemas.REPORT).json(path)
-    rows = reports.select(F.col("query").alias("query_id"), F.posexplode("results").alias("hit_ord", "h"))
-    return rows.select("query_id", F.col("hit_ord").cast("bigint").alias("hit_ord"), "h.*") \
+    rows = reports.select(F.col("query").alias("query_id"), F.coalesce("offset", F.lit(0)).alias("offset"),
+                          F.posexplode("results").alias("at", "h"))
+    return rows.select("query_id", (F.col("offset") + F.col("at")).alias("hit_ord"), "h.*") \
         .withColumn("merged_from", F.lit(None).cast(f"map<string,{schemas.ALT_REF}>"))

@@ -33,13 +33,15 @@ def with_merged_from(hits: DataFrame, maps: DataFrame) -> DataFrame:
 
 
 def report_json(meta: DataFrame, hits: DataFrame, rows_per_object: int = ROWS_PER_OBJECT) -> DataFrame:
-    """query_id, part, json: the envelope (all meta columns) with ``results`` in pool order."""
+    """query_id, part, json: the envelope (all meta columns) with ``results`` in pool order. Objects
+    after the first also carry ``offset``, the place of their first row in the round."""
     placed = number_rows(hits.select("query_id", "hit_ord", _hit().alias("hit")), ["query_id"], "hit_ord", "n") \
         .withColumn("part", F.floor(F.col("n") / rows_per_object))
     results = placed.groupBy("query_id", "part").agg(
         F.array_sort(F.collect_list(F.struct("n", F.to_json("hit").alias("json")))).alias("rows"))
     body = F.concat(F.lit("["), F.array_join(F.transform("rows", lambda r: r["json"]), ","), F.lit("]"))
-    envelope = F.to_json(F.struct(*[c for c in meta.columns if c != "query_id"]))
+    offset = F.when(F.col("part") > 0, F.col("part") * rows_per_object).alias("offset")
+    envelope = F.to_json(F.struct(*[c for c in meta.columns if c != "query_id"], offset))
     empty = F.coalesce(body, F.lit("[]"))
     return meta.join(results, "query_id", "left").select(
         "query_id", F.coalesce("part", F.lit(0)).alias("part"),
