@@ -537,9 +537,9 @@ def failure_classes(spark, sf):
     return status.failure_counts(log.withColumn("count", F.when(c("ok") & (c("latency_ms") % 7 != 0), 5).otherwise(0)))
 
 
-@query("latency_envelope", o.with_(o.FETCH) + """SELECT query_id, max(epoch_ms(arrived_at)) - min(epoch_ms(arrived_at) - latency_ms) AS elapsed_ms,
+@query("latency_envelope", o.with_(o.FETCH) + """SELECT query_id, max(epoch_us(arrived_at) // 1000) - min(epoch_us(arrived_at) // 1000 - latency_ms) AS elapsed_ms,
  max(latency_ms) AS slowest_ms, arg_min(engine, (-latency_ms, engine)) AS slowest_engine,
- max(epoch_ms(arrived_at)) - min(epoch_ms(arrived_at) - latency_ms) - max(latency_ms) AS tail_ms FROM fl GROUP BY query_id""")
+ max(epoch_us(arrived_at) // 1000) - min(epoch_us(arrived_at) // 1000 - latency_ms) - max(latency_ms) AS tail_ms FROM fl GROUP BY query_id""")
 def latency_envelope(spark, sf):
     return status.latency_envelope(derived.fetch_log(spark, sf))
 
