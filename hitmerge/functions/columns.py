@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 # Unicode white space, spelled out: faster than the property class and not ASCII-only like \\s.
 WHITE_CHARS = "\\t-\\r \\x85\\xA0\\u1680\\u2000-\\u200A\\u2028\\u2029\\u202F\\u205F\\u3000"
 WHITE = f"[{WHITE_CHARS}]"
+WHITE_TEXT = "".join(map(chr, [*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B),
+                               0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:

@@ -6,9 +6,9 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from hitmerge import fixed_values as fv
-from hitmerge.functions.columns import WHITE_CHARS, char_class, let, squeeze_white, trim_white
+from hitmerge.functions.columns import WHITE_TEXT, char_class, let, squeeze_white, trim_white
 
-_NOISE = f"[{WHITE_CHARS}\\x1C-\\x1F{char_class(fv.TEXT_NOISE)}]+"
+_NOISE = WHITE_TEXT + "\x1c\x1d\x1e\x1f" + fv.TEXT_NOISE
 _SEP = char_class(fv.TITLE_SEPARATORS)
 _LAST_SEP = f"(?s)^(.+)[{_SEP}]([^{_SEP}]*)$"
 _SENTENCE = f"[{char_class(fv.SENTENCE_MARKS)}]"
@@ -17,7 +17,7 @@ CJK = r"\x{4E00}-\x{9FFF}\x{3040}-\x{30FF}\x{AC00}-\x{D7A3}"
 
 def norm_text(c: Column) -> Column:
     """Comparison text: lower case without white space and the listed punctuation."""
-    return F.regexp_replace(F.lower(c), _NOISE, "")
+    return F.translate(F.lower(c), _NOISE, "")
 
 
 def _strip_once(t: Column) -> Column:

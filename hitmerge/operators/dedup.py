@@ -136,35 +136,41 @@ def _verdict(a: Column, b: Column) -> Column:
         .otherwise(url_like))
 
 
-def _reason(a: Column, b: Column, verdict: Column) -> Column:
-    r = relation(a, b)
-    shared = F.concat_ws(",", F.when(r["same_title"], "d1:title_exact"),
-                         F.when(r["same_snippet"], "d1:snippet_exact"))
+def _reason(verdict: Column) -> Column:
+    """Trace of a merge from its verdict and the columns ``shared`` and ``host_same``."""
+    shared = F.col("shared")
     return (
         F.when(verdict == "url", "d1:url_exact,same_url")
         .when(verdict == "text", F.concat_ws(",", shared, F.lit("same_site_path,text_high")))
-        .when(verdict == "url_like", F.concat_ws(
-            ",", shared, F.lit("url+title_high"),
-            F.when(r["host_same"], "same_host").otherwise("same_site"))))
+        .when(verdict == "url_like", F.concat_ws(",", shared, F.lit("url+title_high"), F.when(
+            F.col("host_same"), "same_host").otherwise("same_site"))))
 
 
-def _matches(pairs: DataFrame, texts: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Accepted pairs (query_id, i, j, reason, ...) of the joined feature structs a and b, and the
-    cached table behind them. Snippet texts are fetched only for the pairs that they decide."""
+def _matches(pairs: DataFrame, texts: DataFrame, *keep: str) -> tuple[DataFrame, list[DataFrame]]:
+    """Accepted pairs (query_id, i, j, reason, keep...) of the joined feature structs a and b, and
+    the cached tables to release. Snippet texts are fetched only for the pairs they decide."""
     a, b = F.col("a"), F.col("b")
-    judged = pairs.withColumn("verdict", _verdict(a, b)) \
-        .filter((F.col("verdict") == "url") | F.col("verdict").isin("text", "url_like")
-                | F.startswith("verdict", F.lit("ask:"))).persist(StorageLevel.MEMORY_AND_DISK)
+    r = relation(a, b)
+    judged = pairs.select(
+        Q, "i", "j", *keep, _verdict(a, b).alias("verdict"), r["host_same"].alias("host_same"),
+        F.concat_ws(",", F.when(r["same_title"], "d1:title_exact"),
+                    F.when(r["same_snippet"], "d1:snippet_exact")).alias("shared")) \
+        .filter(F.col("verdict").isin("url", "text", "url_like") | F.startswith("verdict", F.lit("ask:"))) \
+        .persist(StorageLevel.MEMORY_AND_DISK)
     asks = judged.filter(F.startswith("verdict", F.lit("ask:")))
     settled = judged.filter(~F.startswith("verdict", F.lit("ask:")))
+    cached = [judged]
     if not asks.isEmpty():
-        side = texts.withColumnsRenamed({POS: "i", "snip": "sa"})
-        other = texts.withColumnsRenamed({POS: "j", "snip": "sb"})
-        answered = asks.join(side, [Q, "i"]).join(other, [Q, "j"]).withColumn("verdict", F.when(
-            text_jaccard(F.col("sa"), F.col("sb"), fv.SNIPPET_GRAM) >= fv.SNIPPET_MIN, "text")
-            .otherwise(F.substring_index("verdict", ":", -1))).filter("verdict <> 'none'")
+        wanted = asks.select(Q, F.explode(F.array("i", "j")).alias(POS)).distinct()
+        found = texts.join(wanted, [Q, POS], "left_semi")
+        answered = asks.join(found.withColumnsRenamed({POS: "i", "snip": "sa"}), [Q, "i"]) \
+            .join(found.withColumnsRenamed({POS: "j", "snip": "sb"}), [Q, "j"]) \
+            .withColumn("verdict", F.when(
+                text_jaccard(F.col("sa"), F.col("sb"), fv.SNIPPET_GRAM) >= fv.SNIPPET_MIN, "text")
+                .otherwise(F.substring_index("verdict", ":", -1))).filter("verdict <> 'none'")
         settled = settled.unionByName(answered.select(*settled.columns))
-    return settled.withColumn("reason", _reason(a, b, F.col("verdict"))), judged
+        cached.append(settled.persist(StorageLevel.MEMORY_AND_DISK))
+    return settled.select(Q, "i", "j", *keep, _reason(F.col("verdict")).alias("reason")), cached
 
 
 # ---- survivors -----------------------------------------------------------------------------
@@ -187,7 +193,7 @@ def _one_pass(rows: DataFrame, texts: DataFrame) -> DataFrame:
     left = entry.select(Q, "grp", "bucket", F.col(POS).alias("i"), F.col("f").alias("a"))
     right = entry.select(Q, "bucket", F.col(POS).alias("j"), F.col("f").alias("b"))
     pairs = left.join(right, [Q, "bucket"]).filter("i < j").select(Q, "grp", "i", "j", "a", "b")
-    matched, cached = _matches(pairs, texts)
+    matched, cached = _matches(pairs, texts, "grp")
     per_site = matched.groupBy(Q, "grp").agg(
         F.array_sort(F.collect_set(F.struct("i", "j", "reason"))).alias("edges"))
     start = F.struct(F.array().cast("array<bigint>").alias("gone"),
@@ -202,7 +208,8 @@ def _one_pass(rows: DataFrame, texts: DataFrame) -> DataFrame:
 
     owners = cut_lineage(per_site.select(Q, F.inline(
         F.aggregate("edges", start, absorb_next, lambda acc: acc["owners"]))))
-    cached.unpersist()
+    for table in cached:
+        table.unpersist()
     return owners
 
 
@@ -221,8 +228,7 @@ def _round(state: DataFrame, texts: DataFrame, leaders: int) -> DataFrame:
     pairs = lead.join(rest, [Q, "bucket"]).filter(
         (F.col("i") < F.col("j")) & (F.col("open") | (F.col("i") < F.col("owner")))) \
         .select(Q, "i", "j", "a", "b", "open")
-    matched, cached = _matches(pairs, texts)
-    matched = matched.select(Q, "i", "j", "open", "reason")
+    matched, cached = _matches(pairs, texts, "open")
 
     waiting = matched.filter("open").select(Q, F.col("j").alias("i")).distinct()
     survivors = compared.join(waiting, [Q, "i"], "left_anti")
@@ -237,7 +243,8 @@ def _round(state: DataFrame, texts: DataFrame, leaders: int) -> DataFrame:
         .select(Q, POS, "f", "buckets", (F.col("open") & ~found).alias("open"),
                 F.when(better, first["i"]).otherwise(F.col("owner")).alias("owner"),
                 F.when(better, first["reason"]).otherwise(F.col("reason")).alias("reason")))
-    cached.unpersist()
+    for table in cached:
+        table.unpersist()
     return after
 
 
