@@ -272,10 +272,9 @@ def _rare(rows: DataFrame, grams: Column, least: float, label: str, *scope: Colu
         F.slice("order", F.lit(1), length), lambda e: F.xxhash64("scope", e["gram"]))).alias("bucket"))
 
 
-def _cut_finer(state: DataFrame, texts: DataFrame) -> DataFrame:
-    """Replace title and snippet buckets by rare-shingle buckets of the two accept paths."""
-    flat = state.select(Q, POS, *[F.col("f")[c].alias(c) for c in (
-        "url", "norm_url", "host", "site", "head_key", "tkey", "ttext", "shash")])
+def _fine_buckets(flat: DataFrame, texts: DataFrame, slack: float = 0.0) -> DataFrame:
+    """(query_id, pos, bucket) of the two accept paths, with thresholds lowered by ``slack``: rows
+    that share a title or snippet in one section and could pass share one of these buckets."""
     flat = flat.filter(_placed())
     url_grams = shingles(norm_text(F.col("url")), fv.URL_GRAM)
     title_grams = shingles(F.col("ttext"), fv.TITLE_GRAM)
@@ -285,17 +284,21 @@ def _cut_finer(state: DataFrame, texts: DataFrame) -> DataFrame:
     snipped = flat.filter("shash <> ''")
     with_text = titled.filter("shash <> ''").join(texts, [Q, POS])
     parts = [
-        _rare(titled, url_grams, fv.URL_MIN, "title,url", *title_scope),
-        _rare(with_text, shingles(F.col("snip"), fv.SNIPPET_GRAM), fv.SNIPPET_MIN, "title,snippet",
+        _rare(titled, url_grams, fv.URL_MIN - slack, "title,url", *title_scope),
+        _rare(with_text, shingles(F.col("snip"), fv.SNIPPET_GRAM), fv.SNIPPET_MIN - slack, "title,snippet",
               *title_scope, F.col("host")),
-        _rare(snipped, url_grams, fv.URL_MIN, "snippet,url", *snip_scope),
-        _rare(snipped, title_grams, fv.TITLE_MIN, "snippet,title", *snip_scope, F.col("host")),
-        state.filter("f.norm_url <> ''").select(
-            Q, POS, F.xxhash64(F.lit("url"), F.col("f.norm_url")).alias("bucket")),
+        _rare(snipped, url_grams, fv.URL_MIN - slack, "snippet,url", *snip_scope),
+        _rare(snipped, title_grams, fv.TITLE_MIN - slack, "snippet,title", *snip_scope, F.col("host")),
     ]
-    narrow = parts[0]
-    for p in parts[1:]:
-        narrow = narrow.unionByName(p)
+    return parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3])
+
+
+def _cut_finer(state: DataFrame, texts: DataFrame) -> DataFrame:
+    """Replace title and snippet buckets by rare-shingle buckets of the two accept paths."""
+    flat = state.select(Q, POS, *[F.col("f")[c].alias(c) for c in (
+        "url", "norm_url", "host", "site", "head_key", "tkey", "ttext", "shash")])
+    narrow = _fine_buckets(flat, texts).unionByName(state.filter("f.norm_url <> ''").select(
+        Q, POS, F.xxhash64(F.lit("url"), F.col("f.norm_url")).alias("bucket")))
     shared = narrow.groupBy(Q, "bucket").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
     kept = narrow.join(shared, [Q, "bucket"], "left_semi").groupBy(Q, POS).agg(
         F.collect_set("bucket").alias("buckets"))
@@ -529,3 +532,30 @@ def merge_audit(hits: DataFrame, owners: DataFrame, mode: str = "default") -> Da
         by_text, F.col("snippet_sim") - fv.SNIPPET_MIN).otherwise(F.col("url_sim") - fv.URL_MIN))
     return scored.withColumn("margin", F.round(margin, 6)) \
         .withColumn("review", F.col("margin") < fv.REVIEW_MARGIN)
+
+
+def near_misses(hits: DataFrame, owners: DataFrame, mode: str = "default",
+                gap: float = fv.NEAR_MISS_GAP) -> DataFrame:
+    """Rejected candidates of one section that were not vetoed and miss the nearer accept path by
+    less than ``gap``: query_id, i, j, gap. Only rows sharing a rare shingle are compared."""
+    rows = _visible(features(hits, mode), owners)
+    texts = snippet_texts(hits)
+    info = rows.select(Q, POS, "limit", "owner", _pack().alias("f"))
+    entries = _fine_buckets(rows, texts, gap).distinct().join(info, [Q, POS])
+    left = entries.filter(F.col("owner").isNull()).select(
+        Q, "bucket", F.col(POS).alias("i"), F.col("f").alias("a"))
+    right = entries.select(Q, "bucket", F.col(POS).alias("j"), "limit", F.col("f").alias("b"))
+    a, b = F.col("a"), F.col("b")
+    r = relation(a, b)
+    open_pairs = left.join(right, [Q, "bucket"]).filter(F.col("i") < F.col("limit")) \
+        .filter((r["same_title"] | r["same_snippet"]) & veto(r).isNull()) \
+        .groupBy(Q, "i", "j").agg(F.first("a").alias("a"), F.first("b").alias("b"))
+    scored = open_pairs.select(
+        Q, "i", "j", r["host_same"].alias("host_same"), (fv.TITLE_MIN - title_similarity(a, b)).alias("t"),
+        (fv.URL_MIN - url_similarity(a, b)).alias("u")).filter(F.col("t") < gap)
+    both = scored.join(texts.withColumnsRenamed({POS: "i", "snip": "sa"}), [Q, "i"]) \
+        .join(texts.withColumnsRenamed({POS: "j", "snip": "sb"}), [Q, "j"])
+    by_text = F.when(F.col("host_same"), F.greatest("t", fv.SNIPPET_MIN - text_jaccard(
+        F.col("sa"), F.col("sb"), fv.SNIPPET_GRAM)))
+    return both.select(Q, "i", "j", F.round(F.least(by_text, F.greatest("t", "u")), 6).alias("gap")) \
+        .filter(F.col("gap") < gap)

@@ -159,13 +159,16 @@ def variance_split(judged: DataFrame) -> DataFrame:
     """Two-way split of the squared deviations of the cell rates: share explained by the keyword,
     by the engine, and the residual; main effects from marginal means of the cells present."""
     c = cells(judged).select(*KEY, "keyword_id", _rate().alias("v"))
-    over = lambda *cols: F.avg("v").over(W.partitionBy(*cols))
-    d = c.select("label", "v", over("label").alias("m"), over("label", "keyword_id").alias("mk"),
-                 over("label", "engine").alias("me"))
-    sq = lambda x: F.sum(F.pow(x, F.lit(2.0)))
-    s = d.groupBy("label").agg(
-        sq(F.col("v") - F.col("m")).alias("total"), sq(F.col("mk") - F.col("m")).alias("k"),
-        sq(F.col("me") - F.col("m")).alias("e"))
+    grand = c.groupBy("label").agg(F.avg("v").alias("m"))
+
+    def between(by: str, name: str) -> DataFrame:
+        means = c.groupBy("label", by).agg(F.count(F.lit(1)).alias("n"), F.avg("v").alias("mean"))
+        return means.join(grand, "label").groupBy("label").agg(
+            F.sum(F.col("n") * F.pow(F.col("mean") - F.col("m"), F.lit(2.0))).alias(name))
+
+    total = c.join(grand, "label").groupBy("label").agg(
+        F.sum(F.pow(F.col("v") - F.col("m"), F.lit(2.0))).alias("total"))
+    s = total.join(between("keyword_id", "k"), "label").join(between("engine", "e"), "label")
     share = lambda x: _six(F.when(F.col("total") > 0, x / F.col("total")))
     return s.select("label", share(F.col("k")).alias("keyword_share"), share(F.col("e")).alias("engine_share"),
                     share(F.col("total") - F.col("k") - F.col("e")).alias("residual_share"))

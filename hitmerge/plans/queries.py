@@ -463,6 +463,15 @@ def merge_audit(spark, sf):
     return a.withColumns({n: F.round(n, 6) for n in ("url_sim", "title_sim", "snippet_sim")})
 
 
+@query("near_misses", _DOC_DEDUP + """SELECT * FROM (SELECT e.query_id, e.i, e.j, round(least(CASE WHEN c3.sh THEN greatest(0.9 - e.tsim, 0.85 - e.ssim) END,
+ greatest(0.7 - e.usim, 0.9 - e.tsim)), 6) AS gap FROM e JOIN c3 USING (query_id, i, j) JOIN s5 ON s5.query_id = e.query_id AND s5.i = e.i
+ LEFT JOIN own ON own.query_id = e.query_id AND own.j = e.j
+ WHERE e.veto IS NULL AND e.reason IS NULL AND (owner IS NULL OR owner > e.i)) WHERE gap < 0.15""")
+def near_misses(spark, sf):
+    docs = cut_lineage(derived.document_hits(spark, sf))
+    return dedup.near_misses(docs, dedup.find_owners(docs))
+
+
 # ---- reachability --------------------------------------------------------------------------
 _REACH = f"kt AS (SELECT query_id, url, {o.TARGET} FROM kept)"
 

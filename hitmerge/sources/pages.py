@@ -15,6 +15,7 @@ from hitmerge.functions.urls import unwrap_redirect
 from hitmerge.sources.landed import pack
 
 _VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
+_BLOCK = {"p", "div", "ul", "ol", "li", "h1", "h2", "h3", "h4", "h5", "h6", "table", "section", "article", "form"}
 _ITEMS = "array<struct<title:string,url:string,snippet:string,card:string>>"
 
 
@@ -49,13 +50,23 @@ class _Tree(HTMLParser):
         self.root = self.at = _Node("")
 
     def handle_starttag(self, tag, attrs):
-        if tag in ("p", "li") and self.at.tag == tag:
-            self.at = self.at.parent
+        if tag in _BLOCK:
+            self._leave("p", _BLOCK)
+        if tag == "li":
+            self._leave("li", {"ul", "ol"})
         node = _Node(tag, attrs, self.at)
         self.at.kids.append(node)
         if tag not in _VOID:
             self.at = node
 
+    def _leave(self, tag, stop):
+        """Close an element whose end tag was left out."""
+        n = self.at
+        while n.parent is not None and n.tag != tag and n.tag not in stop - {tag}:
+            n = n.parent
+        if n.tag == tag:
+            self.at = n.parent
+
     def handle_endtag(self, tag):
         n = self.at
         while n.parent is not None and n.tag != tag:
