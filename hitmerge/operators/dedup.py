@@ -496,7 +496,7 @@ def _similar_numbers(rows: DataFrame) -> DataFrame:
 def veto_histogram(hits: DataFrame, owners: DataFrame, mode: str = "default") -> DataFrame:
     """query_id, veto, n: how often each veto kept two candidate rows apart. A candidate counts
     when its earlier row survives and its later row is not yet absorbed at that point."""
-    rows = _visible(features(hits, mode), owners)
+    rows = cut_lineage(_visible(features(hits, mode), owners))
     hosted = F.col("host") != ""
     met = _met(rows, {
         "all": (F.lit(True), []), "site": (hosted, ["site"]),
@@ -515,10 +515,12 @@ def veto_histogram(hits: DataFrame, owners: DataFrame, mode: str = "default") ->
 def merge_audit(hits: DataFrame, owners: DataFrame, mode: str = "default") -> DataFrame:
     """Judged merges with the margin by which they passed; a thin margin asks for review, merges
     by equal URL need none."""
-    info = features(hits, mode).select(Q, POS, _pack().alias("f"))
-    texts = snippet_texts(hits)
-    both = owners.filter(~F.startswith("reason", F.lit("d1:url_exact"))) \
-        .join(info.withColumnsRenamed({POS: "owner", "f": "a"}), [Q, "owner"]) \
+    judged = owners.filter(~F.startswith("reason", F.lit("d1:url_exact")))
+    involved = judged.select(Q, F.explode(F.array(POS, "owner")).alias("hit_ord")).distinct()
+    few = hits.join(involved, [Q, "hit_ord"], "left_semi")
+    info = cut_lineage(features(few, mode).select(Q, POS, _pack().alias("f")))
+    texts = snippet_texts(few)
+    both = judged.join(info.withColumnsRenamed({POS: "owner", "f": "a"}), [Q, "owner"]) \
         .join(info.withColumnRenamed("f", "b"), [Q, POS]) \
         .join(texts.withColumnsRenamed({POS: "owner", "snip": "sa"}), [Q, "owner"]) \
         .join(texts.withColumnRenamed("snip", "sb"), [Q, POS])
@@ -538,7 +540,7 @@ def near_misses(hits: DataFrame, owners: DataFrame, mode: str = "default",
                 gap: float = fv.NEAR_MISS_GAP) -> DataFrame:
     """Rejected candidates of one section that were not vetoed and miss the nearer accept path by
     less than ``gap``: query_id, i, j, gap. Only rows sharing a rare shingle are compared."""
-    rows = _visible(features(hits, mode), owners)
+    rows = cut_lineage(_visible(features(hits, mode), owners))
     texts = snippet_texts(hits)
     info = rows.select(Q, POS, "limit", "owner", _pack().alias("f"))
     entries = _fine_buckets(rows, texts, gap).distinct().join(info, [Q, POS])

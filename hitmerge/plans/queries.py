@@ -131,7 +131,7 @@ first AS (SELECT query_id, engine, url, arg_min({'page': page, 'pos': pos, 'titl
 SELECT query_id, engine, url, r.title AS title, row_number() OVER (PARTITION BY query_id, engine ORDER BY r.page, r.pos) AS rank
  FROM first QUALIFY row_number() OVER (PARTITION BY query_id, engine ORDER BY r.page, r.pos) <= 15""")
 def page_merge(spark, sf):
-    rows = _paged(spark, sf)
+    rows = cut_lineage(_paged(spark, sf))
     parts = []
     for e in fv.PAGING:
         own = rows.filter(c("engine") == e)
@@ -679,9 +679,9 @@ def invalid_flags(spark, sf):
 
 
 # ---- sources, sinks, streams ---------------------------------------------------------------
-def _responses(spark, sf, engine):
+def _responses(raw, engine):
     """Result lists of one engine written as that engine's JSON responses, one per query."""
-    r = _raw(spark, sf).filter(c("engine") == engine)
+    r = raw.filter(c("engine") == engine)
     item = {
         "tavily": F.struct(c("ord"), c("title"), c("url"), c("snippet").alias("content"), F.lit("").alias("snippet"), c("signals.score").alias("score")),
         "serpapi": F.struct(c("ord"), c("title"), c("url").alias("link"), c("snippet"), c("date"), c("signals.source").alias("source")),
@@ -711,10 +711,10 @@ def _responses(spark, sf, engine):
  CASE WHEN engine = 'qianfan' AND score > 0 THEN score END AS rerank_score
  FROM raw WHERE engine NOT IN ('bing', 'quark')""")
 def landed_json(spark, sf):
-    parts = []
+    parts, raw = [], cut_lineage(_raw(spark, sf))
     for engine in landed.ENGINES:
         path = _stage(spark)
-        _responses(spark, sf, engine).write.json(path)
+        _responses(raw, engine).write.json(path)
         parts.append(landed.read_landed(spark, path, engine))
     return hits.union_engines(*parts).select(
         "query_id", "engine", "rank", "title", "url", F.md5("snippet").alias("snippet_md5"), "date",

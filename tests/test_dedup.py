@@ -150,7 +150,7 @@ def sample(seed, n, copies=0.0):
 
 @pytest.mark.parametrize("seed,n,copies,sizes", [
     (1, 120, 0.0, {}), (2, 120, 0.3, dict(small_site=0, leaders=2, coarse_rounds=1)),
-    (3, 150, 0.0, dict(small_site=0, leaders=1, coarse_rounds=1)), (4, 90, 0.0, dict(small_site=20, leaders=4)),
+    (3, 80, 0.0, dict(small_site=0, leaders=1, coarse_rounds=1)), (4, 90, 0.0, dict(small_site=20, leaders=4)),
 ])
 def test_matches_direct_walk(spark, seed, n, copies, sizes):
     from pyspark.sql import functions as F

@@ -6,12 +6,11 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
-from hitmerge.functions import terms
 from hitmerge.streaming import rounds
 
 SF = "/root/testdata/sf0.001"
-FEW = ["exact_url_merge", "page_merge", "dedup_hits", "veto_histogram", "near_misses", "search_round", "sub_domain",
-       "landed_json", "html_hits", "stream_merge", "stream_new_hosts", "stream_deadline", "report_text", "flip_audit"]
+FEW = ["exact_url_merge", "page_merge", "dedup_hits", "search_round", "sub_domain", "html_hits", "stream_merge",
+       "stream_new_hosts", "stream_deadline", "flip_audit"]
 here = pytest.mark.skipif(not os.path.isdir(SF), reason="no data folder")
 
 
@@ -54,4 +53,3 @@ def test_closed_rounds(spark):
 
 def test_names():
     assert set(entry.oracle_sql()) <= set(entry.queries())
-    assert terms.bigrams.__doc__
