@@ -36,3 +36,26 @@ def op6_token_counts(spark, sf_dir):
 
     n = count_tokens(hits(spark, sf_dir), **tokenizer())
     return n.select(F.col("hit_ord").alias("doc_id"), "n_bytes", "n_tokens", (F.col("n_tokens") > 1024).alias("over_limit"))
+
+
+@register
+def op1_ngram_jaccard_join(spark, sf_dir):
+    from hitmerge.llm.near_hits import near_hits
+
+    return near_hits(hits(spark, sf_dir), percent=85, words=4).withColumnRenamed("hit_ord", "doc_id")
+
+
+_WORDS = "list_filter(regexp_split_to_array({}, '[\\x20\\x09-\\x0D]+'), lambda w: w <> '')"
+ORACLES["op1_ngram_jaccard_join"] = f"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, {_WORDS.format("translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")} AS w FROM documents),
+sh AS (
+  SELECT DISTINCT doc_id, s FROM (
+    SELECT doc_id, unnest(list_transform(range(0, greatest(len(w) - 3, 1)), lambda i: array_to_string(w[i + 1:i + 4], ' '))) AS s
+    FROM w WHERE len(w) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM sh GROUP BY 1),
+inter AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS i FROM sh a JOIN sh b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+link AS (SELECT x, y FROM inter JOIN n p ON p.doc_id = x JOIN n q ON q.doc_id = y WHERE 100 * i >= 85 * (p.n + q.n - i)),
+reach AS (SELECT doc_id AS x, doc_id AS c FROM documents UNION SELECT y, c FROM reach JOIN link USING (x))
+SELECT d.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, r.c AS component_id
+FROM documents d LEFT JOIN n USING (doc_id) JOIN (SELECT x, min(c) AS c FROM reach GROUP BY 1) r ON r.x = d.doc_id"""
