@@ -59,3 +59,18 @@ link AS (SELECT x, y FROM inter JOIN n p ON p.doc_id = x JOIN n q ON q.doc_id =
 reach AS (SELECT doc_id AS x, doc_id AS c FROM documents UNION SELECT y, c FROM reach JOIN link USING (x))
 SELECT d.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, r.c AS component_id
 FROM documents d LEFT JOIN n USING (doc_id) JOIN (SELECT x, min(c) AS c FROM reach GROUP BY 1) r ON r.x = d.doc_id"""
+
+
+def held_out(doc_id="doc_id"):
+    """Rows whose language and labels are never learned from."""
+    return F.coalesce(F.pmod(F.crc32(F.col(doc_id).cast("string")), F.lit(4)) == 2, F.lit(False))
+
+
+@register
+def op2_language_id(spark, sf_dir):
+    from hitmerge.llm.language import fit, identify
+
+    docs = table(spark, sf_dir, "documents")
+    model = fit(docs.where(~held_out()).select(F.col("text").alias("snippet"), F.col("lang").alias("locale")))
+    return identify(hits(spark, sf_dir), model).select(
+        F.col("hit_ord").alias("doc_id"), held_out("hit_ord").alias("held_out"), F.col("locale").alias("lang_pred"), "score", "ambiguous")
