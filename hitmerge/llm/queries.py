@@ -74,3 +74,32 @@ def op2_language_id(spark, sf_dir):
     model = fit(docs.where(~held_out()).select(F.col("text").alias("snippet"), F.col("lang").alias("locale")))
     return identify(hits(spark, sf_dir), model).select(
         F.col("hit_ord").alias("doc_id"), held_out("hit_ord").alias("held_out"), F.col("locale").alias("lang_pred"), "score", "ambiguous")
+
+
+@register
+def op4_mix_sources(spark, sf_dir):
+    from hitmerge.llm.mixing import mix_engines
+
+    m = mix_engines(hits(spark, sf_dir))
+    return m.select(F.col("hit_ord").alias("doc_id"), "size", F.col("engine_size").alias("source_size"), "target", "taken")
+
+
+ORACLES["op4_mix_sources"] = """
+WITH d AS (
+  SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS BIGINT) AS size FROM documents),
+c AS (SELECT *, CAST(floor(log2(size + 1) * 32) AS BIGINT) AS step, coalesce(doc_id, 0) % 64 AS salt FROM d),
+s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY 1),
+w AS (SELECT *, [1.0::DOUBLE, 2.0, 3.0][CAST((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1 AS INT)] AS weight FROM s),
+l AS (
+  SELECT *, (CAST(sum(source_size) OVER () AS DOUBLE) - CAST(coalesce(sum(3 * source_size) OVER (
+      ORDER BY 3.0 * source_size / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS DOUBLE))
+    / sum(weight) OVER (ORDER BY 3.0 * source_size / weight, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM w),
+t AS (
+  SELECT source, source_size, least(3.0::DOUBLE * source_size, level * weight) AS target,
+    ('0x' || substr(md5(coalesce(source, '') || '#11'), 1, 8))::BIGINT / 4294967296.0::DOUBLE AS start FROM l),
+r AS (
+  SELECT doc_id, source, size, row_number() OVER (PARTITION BY source ORDER BY step DESC, salt, size DESC, doc_id) AS rank FROM c)
+SELECT doc_id, size, source_size, target,
+  CAST(least(3, floor(start + rank * q) - floor(start + (rank - 1) * q)) AS BIGINT) * size AS taken
+FROM (SELECT r.*, t.source_size, t.target, t.start, CASE WHEN t.source_size > 0 THEN t.target / t.source_size ELSE 0 END AS q
+      FROM r JOIN t ON r.source IS NOT DISTINCT FROM t.source)"""
