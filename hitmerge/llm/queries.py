@@ -103,3 +103,10 @@ SELECT doc_id, size, source_size, target,
   CAST(least(3, floor(start + rank * q) - floor(start + (rank - 1) * q)) AS BIGINT) * size AS taken
 FROM (SELECT r.*, t.source_size, t.target, t.start, CASE WHEN t.source_size > 0 THEN t.target / t.source_size ELSE 0 END AS q
       FROM r JOIN t ON r.source IS NOT DISTINCT FROM t.source)"""
+
+
+@register
+def op5_best_fit_packing(spark, sf_dir):
+    from hitmerge.llm.packing import pack_hits
+
+    return pack_hits(hits(spark, sf_dir), **tokenizer()).withColumnRenamed("hit_ord", "doc_id")
