@@ -110,3 +110,11 @@ def op5_best_fit_packing(spark, sf_dir):
     from hitmerge.llm.packing import pack_hits
 
     return pack_hits(hits(spark, sf_dir), **tokenizer()).withColumnRenamed("hit_ord", "doc_id")
+
+
+@register
+def op3_html_extraction(spark, sf_dir):
+    from hitmerge.llm.article import main_text
+
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", F.col("html").alias("body"))
+    return main_text(pages).select("page_id", "url", F.col("snippet").alias("text"), F.char_length("snippet").cast("long").alias("n_chars"))
