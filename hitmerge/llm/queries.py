@@ -118,3 +118,12 @@ def op3_html_extraction(spark, sf_dir):
 
     pages = table(spark, sf_dir, "pages").select("page_id", "url", F.col("html").alias("body"))
     return main_text(pages).select("page_id", "url", F.col("snippet").alias("text"), F.char_length("snippet").cast("long").alias("n_chars"))
+
+
+@register
+def op10_fingerprints(spark, sf_dir):
+    from hitmerge.llm.fingerprints import fingerprints, printable
+
+    return fingerprints(hits(spark, sf_dir)).select(
+        F.col("hit_ord").alias("doc_id"), "n_chars", "edited_sha256", printable(F.col("print")).alias("fingerprint"),
+        printable(F.col("edited_print")).alias("edited_fingerprint"), "near_edited", "near_next")
