@@ -127,3 +127,13 @@ def op10_fingerprints(spark, sf_dir):
     return fingerprints(hits(spark, sf_dir)).select(
         F.col("hit_ord").alias("doc_id"), "n_chars", "edited_sha256", printable(F.col("print")).alias("fingerprint"),
         printable(F.col("edited_print")).alias("edited_fingerprint"), "near_edited", "near_next")
+
+
+@register
+def op8_toxicity(spark, sf_dir):
+    from hitmerge.llm.toxicity import fit, judge
+
+    judged = table(spark, sf_dir, "labels").where(~held_out()).select(F.col("doc_id").alias("hit_ord"), (F.col("toxic") == 1).alias("bad"))
+    examples = fit(judged, hits(spark, sf_dir))
+    return judge(hits(spark, sf_dir), examples).select(
+        F.col("hit_ord").alias("doc_id"), held_out("hit_ord").alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
