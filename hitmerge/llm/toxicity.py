@@ -95,8 +95,8 @@ def _curve(vote: np.ndarray, bad: np.ndarray, weight: np.ndarray) -> tuple:
     return np.array([0.0, *x, 1.0]), np.array([y[0], *y, y[-1]])
 
 
-def fit(judged: DataFrame, hits: DataFrame, each: int = 1024, terms: int = 2048, sizes: tuple = (4, 5, 6), near: int = 9,
-        common: float = 12.0, least: float = 8.0) -> Examples:
+def fit(judged: DataFrame, hits: DataFrame, each: int = 1024, terms: int = 1000, sizes: tuple = (3, 4, 5), near: int = 9,
+        common: float = 3.0, least: float = 8.0) -> Examples:
     """Examples of a bounded sample of judged hits.
 
     :param judged: ``hit_ord``, ``bad`` (boolean); rows without either are left out, a hit that is judged both ways is bad
