@@ -137,3 +137,24 @@ def op8_toxicity(spark, sf_dir):
     examples = fit(judged, hits(spark, sf_dir))
     return judge(hits(spark, sf_dir), examples).select(
         F.col("hit_ord").alias("doc_id"), held_out("hit_ord").alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+@register
+def op9_embedding_near_dedup(spark, sf_dir):
+    from hitmerge.llm.neighbours import near_vectors
+
+    return near_vectors(table(spark, sf_dir, "embeddings"))
+
+
+ORACLES["op9_embedding_near_dedup"] = """
+WITH RECURSIVE e AS (
+  SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings
+  WHERE label IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+link AS (
+  SELECT a.vec_id AS x, b.vec_id AS y FROM e a JOIN e b ON a.label = b.label AND a.vec_id <> b.vec_id
+  WHERE list_dot_product(a.v, b.v) / sqrt(list_dot_product(a.v, a.v) * list_dot_product(b.v, b.v)) >= 0.93),
+reach AS (SELECT vec_id AS x, vec_id AS c FROM embeddings UNION SELECT y, c FROM reach JOIN link USING (x)),
+n AS (SELECT x, count(*) AS n FROM link GROUP BY 1)
+SELECT d.vec_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_links, r.c AS component_id, d.vec_id = r.c AS kept
+FROM embeddings d LEFT JOIN n ON n.x = d.vec_id JOIN (SELECT x, min(c) AS c FROM reach GROUP BY 1) r ON r.x = d.vec_id"""
