@@ -135,12 +135,13 @@ def fit(labelled: DataFrame, sample: int = 4000, sizes: tuple = (1, 2, 3, 4), sp
                  np.maximum(right - 0.5, 0.01) / np.maximum(right - 0.5, 0.01).sum() * len(right), sizes)
 
 
-def identify(hits: DataFrame, model: Model, doubt: float = 0.6, batch_chars: int = 1 << 20) -> DataFrame:
+def identify(hits: DataFrame, model: Model, doubt: float = 0.6, batch_chars: int = 1 << 20, carry: tuple = ()) -> DataFrame:
     """Language of every whole snippet.
 
     :param hits: ``hit_ord``, ``snippet``; other columns are not read, whatever their names
     :param model: from ``fit``
     :param doubt: a text with a lower score is flagged
+    :param carry: columns of ``hits`` to return as well
     :return: one row per row of ``hits`` with ``hit_ord``, ``locale``, ``score`` (0 to 1; share of the best
         codeword against the next) and ``ambiguous``. A snippet that is null or has no letter, and every
         snippet if the model learned no language, is ``und`` with score 0 and flagged.
@@ -161,7 +162,8 @@ def identify(hits: DataFrame, model: Model, doubt: float = 0.6, batch_chars: int
                     best[clear[lo:hi]], score[clear[lo:hi]] = m.decode(texts[lo:hi].tolist())
             yield pd.DataFrame({
                 "hit_ord": b["hit_ord"], "locale": [m.languages[i] if i >= 0 else UNKNOWN for i in best], "score": score,
-                "ambiguous": score < doubt})
+                "ambiguous": score < doubt, **{c: b[c] for c in carry}})
 
-    rows = hits.select(F.col("hit_ord").cast("long").alias("hit_ord"), "snippet")
-    return rows.mapInPandas(run, "hit_ord long, locale string, score double, ambiguous boolean")
+    rows = hits.select(F.col("hit_ord").cast("long").alias("hit_ord"), "snippet", *[c for c in carry if c != "snippet"])
+    kinds = "".join(f", `{c}` {rows.schema[c].dataType.simpleString()}" for c in carry)
+    return rows.mapInPandas(run, "hit_ord long, locale string, score double, ambiguous boolean" + kinds)

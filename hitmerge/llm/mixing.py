@@ -32,7 +32,7 @@ def targets(sizes: DataFrame, weights: tuple = (1, 2, 3), most: int = 3) -> Data
         .withColumn("target", F.least(full, F.col("level") * F.col("weight"))).select("engine", "engine_size", "target")
 
 
-def mix_engines(hits: DataFrame, weights: tuple = (1, 2, 3), most: int = 3, seed: int = 11) -> DataFrame:
+def mix_engines(hits: DataFrame, weights: tuple = (1, 2, 3), most: int = 3, seed: int = 11, carry: tuple = ()) -> DataFrame:
     """How many copies of each hit the mix takes.
 
     Hits of an engine stand in order of size, largest first; each is expected ``target / size of the
@@ -44,12 +44,13 @@ def mix_engines(hits: DataFrame, weights: tuple = (1, 2, 3), most: int = 3, seed
     :param weights: see ``targets``
     :param most: copies of a hit, at most
     :param seed: of the offsets; reruns with it agree
+    :param carry: columns of ``hits`` to return as well
     :return: one row per row of ``hits`` with ``hit_ord``, ``engine``, ``size`` (words of the snippet; null
         has 0), ``engine_size``, ``target``, ``copies`` and ``taken`` (copies * size). A null engine is an
         engine of its own. Repeated rows are hits of their own. If all texts are empty nothing is taken.
     """
     size = F.coalesce(F.regexp_count("snippet", F.lit(WORD)), F.lit(0)).cast("long")
-    rows = hits.select(F.col("hit_ord").cast("long").alias("hit_ord"), "engine", size.alias("size")) \
+    rows = hits.select(F.col("hit_ord").cast("long").alias("hit_ord"), "engine", size.alias("size"), *carry) \
         .withColumn("step", F.floor(F.log2(F.col("size") + 1) * 32)) \
         .withColumn("salt", F.pmod(F.coalesce("hit_ord", F.lit(0)), F.lit(SALTS)))
     count = rows.groupBy("engine", "step", "salt").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("words"))
@@ -65,7 +66,7 @@ def mix_engines(hits: DataFrame, weights: tuple = (1, 2, 3), most: int = 3, seed
     inside = F.row_number().over(W.partitionBy("engine", "step", "salt").orderBy(F.desc("size"), "hit_ord"))
     ranked = rows.withColumn("inside", inside)
     found = ranked.join(part, same(ranked, part, ["engine", "step", "salt"])).select(
-        "hit_ord", ranked["engine"], "size", "engine_size", "target", "ratio", "start", (F.col("before") + F.col("inside")).alias("rank"))
+        "hit_ord", ranked["engine"], "size", "engine_size", "target", "ratio", "start", *carry, (F.col("before") + F.col("inside")).alias("rank"))
     passed = lambda at: F.floor(F.col("start") + at * F.col("ratio"))
     copies = F.least(F.lit(most), passed(F.col("rank")) - passed(F.col("rank") - 1)).cast("long")
     return found.withColumn("copies", copies).withColumn("taken", F.col("copies") * F.col("size")) \

@@ -158,3 +158,12 @@ reach AS (SELECT vec_id AS x, vec_id AS c FROM embeddings UNION SELECT y, c FROM
 n AS (SELECT x, count(*) AS n FROM link GROUP BY 1)
 SELECT d.vec_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_links, r.c AS component_id, d.vec_id = r.c AS kept
 FROM embeddings d LEFT JOIN n ON n.x = d.vec_id JOIN (SELECT x, min(c) AS c FROM reach GROUP BY 1) r ON r.x = d.vec_id"""
+
+
+@register
+def op7_substring_dedup(spark, sf_dir):
+    from hitmerge.llm.passages import repeated_passages
+
+    found = repeated_passages(hits(spark, sf_dir))
+    return found.select(F.col("hit_ord").alias("doc_id"), "start", "n_words", F.col("first_ord").alias("first_doc_id"), "first_start",
+                        "first_words", "similarity")
