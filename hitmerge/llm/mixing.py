@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 
 from hitmerge.llm.texts import WORD
 
+TRIES = 32        # random offsets of an engine, of which the one whose words come nearest to the target is taken
+TURN = 0.6180339887498949
 SALTS = 64        # parts of a range of sizes; bounds what one task ranks when many hits are equally long
 
 
@@ -17,8 +19,10 @@ def targets(sizes: DataFrame, weights: tuple = (1, 2, 3), most: int = 3) -> Data
     :param sizes: ``engine``, ``engine_size``; one row per engine
     :param weights: weights of the engines by code point, null last, repeated in turn
     :return: ``engine``, ``engine_size``, ``target``. What an engine cannot take goes to the others by
-        weight: engines fill up in the order of ``most * size / weight``, so the level at which the rest
-        shares what is left is known from running sums. An engine of size 0 has target 0.
+        weight: engines fill up in the order of ``most * size / weight``. If those before an engine are full
+        and the others share what is left, running sums give the level they share it at; it rises as
+        long as the next engine fills up too and falls afterwards, so the highest is the true one. An
+        engine of size 0 has target 0.
     """
     order = W.orderBy(F.col("engine").asc_nulls_last())
     weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.row_number().over(order) - 1) % len(weights) + 1)
@@ -28,7 +32,7 @@ def targets(sizes: DataFrame, weights: tuple = (1, 2, 3), most: int = 3) -> Data
     everything = W.rowsBetween(W.unboundedPreceding, W.unboundedFollowing).partitionBy()
     level = (F.sum(F.col("engine_size")).over(everything).cast("double")
              - F.coalesce(F.sum(F.lit(most) * F.col("engine_size")).over(before), F.lit(0)).cast("double")) / F.sum("weight").over(after)
-    return sizes.withColumn("weight", weight).withColumn("level", level) \
+    return sizes.withColumn("weight", weight).withColumn("level", level).withColumn("level", F.max("level").over(everything)) \
         .withColumn("target", F.least(full, F.col("level") * F.col("weight"))).select("engine", "engine_size", "target")
 
 
@@ -37,8 +41,9 @@ def mix_engines(hits: DataFrame, weights: tuple = (1, 2, 3), most: int = 3, seed
 
     Hits of an engine stand in order of size, largest first; each is expected ``target / size of the
     engine`` times. The running sum of that starts at one random offset and a hit is taken once for each
-    whole number it passes, so no engine strays from its target by more than its largest hit. Positions
-    come from ranges of size and their counts: no task holds an engine.
+    whole number it passes, so no engine strays from its target by more than its largest hit. Of
+    ``TRIES`` offsets the one that comes nearest to the target is used. Positions come from ranges of
+    size and their counts: no task holds an engine.
 
     :param hits: ``hit_ord``, ``engine``, ``snippet``; other columns are not read, whatever their names
     :param weights: see ``targets``
@@ -67,7 +72,13 @@ def mix_engines(hits: DataFrame, weights: tuple = (1, 2, 3), most: int = 3, seed
     ranked = rows.withColumn("inside", inside)
     found = ranked.join(part, same(ranked, part, ["engine", "step", "salt"])).select(
         "hit_ord", ranked["engine"], "size", "engine_size", "target", "ratio", "start", *carry, (F.col("before") + F.col("inside")).alias("rank"))
-    passed = lambda at: F.floor(F.col("start") + at * F.col("ratio"))
-    copies = F.least(F.lit(most), passed(F.col("rank")) - passed(F.col("rank") - 1)).cast("long")
-    return found.withColumn("copies", copies).withColumn("taken", F.col("copies") * F.col("size")) \
-        .drop("ratio", "start", "rank")
+    def copies(k):
+        offset = F.col("start") + k * TURN - F.floor(F.col("start") + k * TURN)
+        passed = lambda at: F.floor(offset + at * F.col("ratio"))
+        return F.least(F.lit(most), passed(F.col("rank")) - passed(F.col("rank") - 1)).cast("long")
+
+    trial = found.groupBy("engine").agg(F.first("target").alias("aim"), *[F.sum(copies(F.lit(k)) * F.col("size")).alias(f"t{k}") for k in range(TRIES)])
+    trial = trial.select("engine", F.array_min(F.array(*[
+        F.struct(F.abs(F.col(f"t{k}") - F.col("aim")).alias("off"), F.lit(k).alias("k")) for k in range(TRIES)]))["k"].alias("k"))
+    chosen = found.join(trial, found["engine"].eqNullSafe(trial["engine"])).drop(trial["engine"]).withColumn("copies", copies(F.col("k")))
+    return chosen.withColumn("taken", F.col("copies") * F.col("size")).drop("ratio", "start", "rank", "k")

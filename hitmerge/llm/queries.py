@@ -95,14 +95,16 @@ l AS (
       ORDER BY 3.0 * source_size / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS DOUBLE))
     / sum(weight) OVER (ORDER BY 3.0 * source_size / weight, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM w),
 t AS (
-  SELECT source, source_size, least(3.0::DOUBLE * source_size, level * weight) AS target,
+  SELECT source, source_size, least(3.0::DOUBLE * source_size, max(level) OVER () * weight) AS target,
     ('0x' || substr(md5(coalesce(source, '') || '#11'), 1, 8))::BIGINT / 4294967296.0::DOUBLE AS start FROM l),
 r AS (
-  SELECT doc_id, source, size, row_number() OVER (PARTITION BY source ORDER BY step DESC, salt, size DESC, doc_id) AS rank FROM c)
-SELECT doc_id, size, source_size, target,
-  CAST(least(3, floor(start + rank * q) - floor(start + (rank - 1) * q)) AS BIGINT) * size AS taken
-FROM (SELECT r.*, t.source_size, t.target, t.start, CASE WHEN t.source_size > 0 THEN t.target / t.source_size ELSE 0 END AS q
-      FROM r JOIN t ON r.source IS NOT DISTINCT FROM t.source)"""
+  SELECT doc_id, source, size, row_number() OVER (PARTITION BY source ORDER BY step DESC, salt, size DESC, doc_id) AS rank FROM c),
+q AS (SELECT r.*, t.source_size, t.target, t.start, CASE WHEN t.source_size > 0 THEN t.target / t.source_size ELSE 0 END AS q
+      FROM r JOIN t ON r.source IS NOT DISTINCT FROM t.source),
+o AS (SELECT *, start + k * 0.6180339887498949::DOUBLE - floor(start + k * 0.6180339887498949::DOUBLE) AS o FROM q, range(32) AS k(k)),
+m AS (SELECT *, CAST(least(3, floor(o + rank * q) - floor(o + (rank - 1) * q)) AS BIGINT) * size AS taken FROM o),
+b AS (SELECT source, k, row_number() OVER (PARTITION BY source ORDER BY abs(sum(taken) - any_value(target)), k) AS place FROM m GROUP BY source, k)
+SELECT doc_id, size, source_size, target, taken FROM m JOIN b ON m.source IS NOT DISTINCT FROM b.source AND m.k = b.k WHERE place = 1"""
 
 
 @register
