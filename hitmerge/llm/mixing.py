@@ -10,7 +10,7 @@ from hitmerge.llm.texts import WORD
 
 TRIES = 32        # random offsets of an engine, of which the one whose words come nearest to the target is taken
 TURN = 0.6180339887498949
-SALTS = 64        # parts of a range of sizes; bounds what one task ranks when many hits are equally long
+SALTS = 1024      # parts of a range of sizes; bounds what one task ranks when many hits are equally long
 
 
 def targets(sizes: DataFrame, weights: tuple = (1, 2, 3), most: int = 3) -> DataFrame:
@@ -39,9 +39,9 @@ def targets(sizes: DataFrame, weights: tuple = (1, 2, 3), most: int = 3) -> Data
 def mix_engines(hits: DataFrame, weights: tuple = (1, 2, 3), most: int = 3, seed: int = 11, carry: tuple = ()) -> DataFrame:
     """How many copies of each hit the mix takes.
 
-    Hits of an engine stand in order of size, largest first; each is expected ``target / size of the
-    engine`` times. The running sum of that starts at one random offset and a hit is taken once for each
-    whole number it passes, so no engine strays from its target by more than its largest hit. Of
+    Hits of an engine stand by steps of size, largest first, so that each step is mixed evenly; each is expected
+    ``target / size of the engine`` times. The running sum of that starts at one random offset and a hit is taken once for each
+    whole number it passes. Of
     ``TRIES`` offsets the one that comes nearest to the target is used. Positions come from ranges of
     size and their counts: no task holds an engine.
 
@@ -56,7 +56,7 @@ def mix_engines(hits: DataFrame, weights: tuple = (1, 2, 3), most: int = 3, seed
     """
     size = F.coalesce(F.regexp_count("snippet", F.lit(WORD)), F.lit(0)).cast("long")
     rows = hits.select(F.col("hit_ord").cast("long").alias("hit_ord"), "engine", size.alias("size"), *carry) \
-        .withColumn("step", F.floor(F.log2(F.col("size") + 1) * 32)) \
+        .withColumn("step", F.floor(F.log2(F.col("size") + 1) * 2)) \
         .withColumn("salt", F.pmod(F.coalesce("hit_ord", F.lit(0)), F.lit(SALTS)))
     count = rows.groupBy("engine", "step", "salt").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("words"))
     aim = targets(count.groupBy("engine").agg(F.sum("words").alias("engine_size")), weights, most)
@@ -68,7 +68,7 @@ def mix_engines(hits: DataFrame, weights: tuple = (1, 2, 3), most: int = 3, seed
     same = lambda a, b, keys: [a[k].eqNullSafe(b[k]) for k in keys]
     part = offset.join(aim, same(offset, aim, ["engine"])) \
         .select(offset["engine"], "step", "salt", "before", "engine_size", "target", "ratio", "start")
-    inside = F.row_number().over(W.partitionBy("engine", "step", "salt").orderBy(F.desc("size"), "hit_ord"))
+    inside = F.row_number().over(W.partitionBy("engine", "step", "salt").orderBy("hit_ord", "size"))
     ranked = rows.withColumn("inside", inside)
     found = ranked.join(part, same(ranked, part, ["engine", "step", "salt"])).select(
         "hit_ord", ranked["engine"], "size", "engine_size", "target", "ratio", "start", *carry, (F.col("before") + F.col("inside")).alias("rank"))

@@ -87,7 +87,7 @@ def op4_mix_sources(spark, sf_dir):
 ORACLES["op4_mix_sources"] = """
 WITH d AS (
   SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS BIGINT) AS size FROM documents),
-c AS (SELECT *, CAST(floor(log2(size + 1) * 32) AS BIGINT) AS step, coalesce(doc_id, 0) % 64 AS salt FROM d),
+c AS (SELECT *, CAST(floor(log2(size + 1) * 2) AS BIGINT) AS step, coalesce(doc_id, 0) % 1024 AS salt FROM d),
 s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY 1),
 w AS (SELECT *, [1.0::DOUBLE, 2.0, 3.0][CAST((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1 AS INT)] AS weight FROM s),
 l AS (
@@ -98,7 +98,7 @@ t AS (
   SELECT source, source_size, least(3.0::DOUBLE * source_size, max(level) OVER () * weight) AS target,
     ('0x' || substr(md5(coalesce(source, '') || '#11'), 1, 8))::BIGINT / 4294967296.0::DOUBLE AS start FROM l),
 r AS (
-  SELECT doc_id, source, size, row_number() OVER (PARTITION BY source ORDER BY step DESC, salt, size DESC, doc_id) AS rank FROM c),
+  SELECT doc_id, source, size, row_number() OVER (PARTITION BY source ORDER BY step DESC, salt, doc_id, size) AS rank FROM c),
 q AS (SELECT r.*, t.source_size, t.target, t.start, CASE WHEN t.source_size > 0 THEN t.target / t.source_size ELSE 0 END AS q
       FROM r JOIN t ON r.source IS NOT DISTINCT FROM t.source),
 o AS (SELECT *, start + k * 0.6180339887498949::DOUBLE - floor(start + k * 0.6180339887498949::DOUBLE) AS o FROM q, range(32) AS k(k)),
