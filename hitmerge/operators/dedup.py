@@ -8,23 +8,23 @@ row before it that it matches; this is not the connected component of the match
 How it scales. Matches only exist inside buckets: (query, canonical URL), and (query, site, first
 segment, title) or (..., snippet); all of them stay inside one (query, site).
 
-* Sites with few rows in a query, the usual case, are settled in one pass: their buckets are joined
-  and each site's short, sorted list of matches is folded once.
-* Larger sites go through rounds, and their buckets are never expanded into all pairs. Each round
-  takes the first few undecided rows of every bucket as leaders and compares only those with the
-  rest of the bucket, so a bucket of copies collapses onto its first row at linear cost. A row
-  becomes a survivor once every possible absorber before it was compared and none is left; rows it
-  matches are absorbed. Buckets that stay undecided after some rounds hold rows that look alike
-  but are not copies; they are cut finer by rare shingles, which is exact: two sets with
-  Jaccard >= t share one of their |x| - ceil(t|x|) + 1 rarest elements.
-
-The result does not depend on any of these sizes.
+* Buckets of few rows list their pairs of row ids; features are attached to each pair once.
+* A site with a larger bucket first takes the first few undecided rows of every bucket as leaders and
+  compares only those with the rest, so copies collapse onto their first row at linear cost. What
+  is left then meets in buckets of rare shingles, which is exact: two sets with Jaccard >= t share
+  one of their |x| - ceil(t|x|) + 1 rarest elements.
+* Accepted matches are a narrow table of (query, i, j, reason). A site's matches are folded in order in one
+  task, or those of each connected component of them where a site has very many; a component
+  beyond that is settled in rounds over its matches, as many as it takes.
+
+Sizes choose how the rows are compared; the result is that of the plain walk.
 """
 
 from __future__ import annotations
 
 from typing import NamedTuple
 
+import pandas as pd
 from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -35,14 +35,15 @@ from hitmerge.functions.text import (
     norm_text, norm_title, number_overlap, number_set, shingles, text_jaccard,
 )
 from hitmerge.functions.urls import registrable_site, with_url_columns
+from hitmerge.operators.components import components
 from hitmerge.operators.hits import first_non_empty, longest, merged_signal_columns, pack_signals
 from hitmerge.operators.numbering import count_before
 from hitmerge.session import cut_lineage
 
-SMALL_SITE = 500      # rows of a (query, site) up to which one pass settles it
-LEADERS = 16          # leaders per bucket in the first round, doubled every round
-COARSE_ROUNDS = 4     # rounds before undecided buckets are cut by shingles
-MAX_ROUNDS = 200
+HOT_BUCKET = 64       # rows of a bucket beyond which its copies are folded onto leading rows first
+LEADERS = 16          # leading rows of a bucket
+FOLD_ROUNDS = 3       # of leading rows
+FOLD_EDGES = 1 << 20  # matches that one task folds
 
 Q, POS = "query_id", "pos"
 
@@ -187,30 +188,74 @@ def _only_shared_buckets(rows: DataFrame) -> DataFrame:
     return rows.join(kept, [Q, POS]).select(Q, POS, "grp", _pack().alias("f"), "buckets")
 
 
-def _one_pass(rows: DataFrame, texts: DataFrame) -> DataFrame:
-    """Owners in sites of bounded size: all matches of the site, folded in (i, j) order."""
-    entry = rows.select(Q, "grp", POS, "f", F.explode("buckets").alias("bucket"))
-    left = entry.select(Q, "grp", "bucket", F.col(POS).alias("i"), F.col("f").alias("a"))
-    right = entry.select(Q, "bucket", F.col(POS).alias("j"), F.col("f").alias("b"))
-    pairs = left.join(right, [Q, "bucket"]).filter("i < j").select(Q, "grp", "i", "j", "a", "b")
-    matched, cached = _matches(pairs, texts, "grp")
-    per_site = matched.groupBy(Q, "grp").agg(
-        F.array_sort(F.collect_set(F.struct("i", "j", "reason"))).alias("edges"))
-    start = F.struct(F.array().cast("array<bigint>").alias("gone"),
-                     F.array().cast(f"array<struct<{POS}:bigint,owner:bigint,reason:string>>").alias("owners"))
-
-    def absorb_next(acc: Column, e: Column) -> Column:
-        stays = F.array_contains(acc["gone"], e["i"]) | F.array_contains(acc["gone"], e["j"])
-        return F.when(stays, acc).otherwise(F.struct(
-            F.array_append(acc["gone"], e["j"]).alias("gone"),
-            F.array_append(acc["owners"], F.struct(
-                e["j"].alias(POS), e["i"].alias("owner"), e["reason"].alias("reason"))).alias("owners")))
-
-    owners = cut_lineage(per_site.select(Q, F.inline(
-        F.aggregate("edges", start, absorb_next, lambda acc: acc["owners"]))))
-    for table in cached:
-        table.unpersist()
-    return owners
+def _attached(pairs: DataFrame, rows: DataFrame) -> DataFrame:
+    """Pairs of row ids with the features of both rows as ``a`` and ``b``."""
+    info = rows.select(Q, POS, "f")
+    return pairs.join(info.withColumnsRenamed({POS: "i", "f": "a"}), [Q, "i"]) \
+        .join(info.withColumnsRenamed({POS: "j", "f": "b"}), [Q, "j"])
+
+
+def _listed(rows: DataFrame) -> DataFrame:
+    """Every pair of rows that share a bucket: query_id, grp, i, j, and whether j is still open. Absorbed rows only
+    look for an owner before the one they have."""
+    entry = rows.select(Q, "grp", POS, "open", "owner", F.explode("buckets").alias("bucket"))
+    left = entry.filter("open").select(Q, "grp", "bucket", F.col(POS).alias("i"))
+    right = entry.select(Q, "bucket", F.col(POS).alias("j"), "open", "owner")
+    return left.join(right, [Q, "bucket"]).filter("i < j and (open or i < owner)").select(Q, "grp", "i", "j", "open").distinct()
+
+
+_OWNERS = f"{Q} string, {POS} bigint, owner bigint, reason string"
+
+
+def _fold(edges: pd.DataFrame) -> pd.DataFrame:
+    """Walk matches in (i, j) order. When a row absorbs, all rows before it are decided."""
+    gone, owners = set(), {}
+    edges = edges.sort_values(["i", "j", "reason"], kind="stable")
+    for i, j, is_open, reason in zip(edges["i"], edges["j"], edges["open"], edges["reason"], strict=True):
+        if i not in gone and j not in owners:
+            owners[j] = (i, reason)
+            if is_open:
+                gone.add(j)
+    return pd.DataFrame({Q: edges[Q].iloc[0] if len(edges) else None, POS: list(owners), "owner": [o for o, _ in owners.values()],
+                         "reason": [r for _, r in owners.values()]}).astype({POS: "int64", "owner": "int64"})
+
+
+def _edge_rounds(edges: DataFrame) -> DataFrame:
+    """Owners by rounds over matches alone: a row that no undecided row before it matches survives and absorbs."""
+    found = None
+    while not edges.isEmpty():
+        waiting = edges.filter("open").select(Q, F.col("j").alias("i")).distinct()
+        firm = edges.select(Q, "i").distinct().join(waiting, [Q, "i"], "left_anti")
+        taken = cut_lineage(edges.join(firm, [Q, "i"], "left_semi").groupBy(Q, "j").agg(
+            F.min(F.struct("i", "reason")).alias("first"), F.bool_or("open").alias("was_open")))
+        found = taken if found is None else found.unionByName(taken)
+        left = edges.join(firm, [Q, "i"], "left_anti").join(
+            taken.filter("was_open").select(Q, F.col("j").alias("i")), [Q, "i"], "left_anti")
+        edges = cut_lineage(left.join(taken.select(Q, "j", "first"), [Q, "j"], "left").filter("first is null or i < first.i")
+                            .withColumn("open", F.col("open") & F.col("first").isNull()).drop("first"))
+    return found.groupBy(Q, F.col("j").alias(POS)).agg(F.min("first").alias("first")) \
+        .select(Q, POS, "first.i", "first.reason").withColumnRenamed("i", "owner")
+
+
+def _settle(edges: DataFrame, fold_edges: int) -> DataFrame:
+    """query_id, pos, owner, reason from all accepted matches (query_id, grp, i, j, open, reason)."""
+    many = edges.groupBy(Q, "grp").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > fold_edges) \
+        .select(Q, "grp").persist(StorageLevel.MEMORY_AND_DISK)
+    few = edges
+    parts = []
+    if not many.isEmpty():
+        few = edges.join(many, [Q, "grp"], "left_anti")
+        node = lambda c: F.xxhash64(Q, F.col(c))
+        rest = cut_lineage(edges.join(many, [Q, "grp"], "left_semi").withColumns({"u": node("i"), "v": node("j")}))
+        rest = rest.join(components(rest.select("u", "v")).withColumnRenamed("node", "u"), "u").drop("u", "v")
+        large = cut_lineage(rest.groupBy("component").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > fold_edges).select("component"))
+        parts.append(rest.join(large, "component", "left_anti").groupBy(Q, "component").applyInPandas(_fold, _OWNERS))
+        if not large.isEmpty():
+            parts.append(_edge_rounds(cut_lineage(rest.join(large, "component", "left_semi").select(Q, "i", "j", "open", "reason"))))
+    out = few.groupBy(Q, "grp").applyInPandas(_fold, _OWNERS)
+    for part in parts:
+        out = out.unionByName(part)
+    return out
 
 
 def _round(state: DataFrame, texts: DataFrame, leaders: int) -> DataFrame:
@@ -240,7 +285,7 @@ def _round(state: DataFrame, texts: DataFrame, leaders: int) -> DataFrame:
     after = cut_lineage(
         state.join(marks, [Q, POS], "left").join(taken, [Q, POS], "left")
         .filter(F.col("survives").isNull())
-        .select(Q, POS, "f", "buckets", (F.col("open") & ~found).alias("open"),
+        .select(Q, POS, "grp", "f", "buckets", (F.col("open") & ~found).alias("open"),
                 F.when(better, first["i"]).otherwise(F.col("owner")).alias("owner"),
                 F.when(better, first["reason"]).otherwise(F.col("reason")).alias("reason")))
     for table in cached:
@@ -249,10 +294,10 @@ def _round(state: DataFrame, texts: DataFrame, leaders: int) -> DataFrame:
 
 
 def _settled(state: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Split off absorbed rows that no open row of their query could still claim; open rows
+    """Split off absorbed rows that no open row of their site could still claim; open rows
     without a bucket have no possible absorber and survive."""
-    first_open = state.filter("open").groupBy(Q).agg(F.min(POS).alias("first_open"))
-    tagged = state.join(first_open, Q, "left")
+    first_open = state.filter("open").groupBy(Q, "grp").agg(F.min(POS).alias("first_open"))
+    tagged = state.join(first_open, [Q, "grp"], "left")
     lonely = F.size("buckets") == 0
     done = lonely | F.col("first_open").isNull() | (F.col("first_open") > F.col("owner"))
     return (tagged.filter(~F.col("open") & done).select(Q, POS, "owner", "reason"),
@@ -303,41 +348,45 @@ def _cut_finer(state: DataFrame, texts: DataFrame) -> DataFrame:
     kept = narrow.join(shared, [Q, "bucket"], "left_semi").groupBy(Q, POS).agg(
         F.collect_set("bucket").alias("buckets"))
     return state.drop("buckets").join(kept, [Q, POS], "left").select(
-        Q, POS, "f", F.coalesce("buckets", F.array().cast("array<bigint>")).alias("buckets"),
+        Q, POS, "grp", "f", F.coalesce("buckets", F.array().cast("array<bigint>")).alias("buckets"),
         "open", "owner", "reason")
 
 
-def _rounds(rows: DataFrame, texts: DataFrame, leaders: int, coarse_rounds: int) -> list[DataFrame]:
-    """Owners in sites of any size."""
-    state = rows.select(Q, POS, "f", "buckets", F.lit(True).alias("open"),
-                        F.lit(None).cast("bigint").alias("owner"), F.lit(None).cast("string").alias("reason"))
-    owners = []
-    for n in range(1, MAX_ROUNDS + 1):
-        done, state = _settled(_round(state, texts, leaders))
-        owners.append(done)
-        if state.isEmpty():
-            return owners
-        leaders *= 2
-        if n == coarse_rounds:
-            state = cut_lineage(_cut_finer(state, texts))
-            leaders = max(LEADERS, leaders // 2)
-    raise RuntimeError("rows still undecided; raise MAX_ROUNDS")
-
-
-def find_owners(hits: DataFrame, mode: str = "default", small_site: int = SMALL_SITE,
-                leaders: int = LEADERS, coarse_rounds: int = COARSE_ROUNDS) -> DataFrame:
-    """query_id, pos, owner, reason for every absorbed row."""
+def _opened(rows: DataFrame) -> DataFrame:
+    return rows.select(Q, POS, "grp", "f", "buckets", F.lit(True).alias("open"),
+                       F.lit(None).cast("bigint").alias("owner"), F.lit(None).cast("string").alias("reason"))
+
+
+def find_owners(hits: DataFrame, mode: str = "default", hot_bucket: int = HOT_BUCKET, leaders: int = LEADERS,
+                fold_rounds: int = FOLD_ROUNDS, fold_edges: int = FOLD_EDGES, feats: DataFrame | None = None) -> DataFrame:
+    """query_id, pos, owner, reason for every absorbed row. ``feats`` are stored ``features(hits, mode)``."""
     texts = snippet_texts(hits)
-    rows = cut_lineage(_only_shared_buckets(cut_lineage(features(hits, mode))))
-    large = rows.groupBy(Q, "grp").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > small_site) \
-        .select(Q, "grp").persist(StorageLevel.MEMORY_AND_DISK)
-    if large.isEmpty():
-        out = _one_pass(rows, texts)
+    rows = cut_lineage(_only_shared_buckets(features(hits, mode) if feats is None else feats))
+    hot = rows.select(Q, "grp", F.explode("buckets").alias("bucket")).groupBy(Q, "grp", "bucket") \
+        .agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > hot_bucket).select(Q, "grp").distinct() \
+        .persist(StorageLevel.MEMORY_AND_DISK)
+    if hot.isEmpty():
+        hot.unpersist()
+        pairs = _attached(_listed(_opened(rows)), rows)
+        matched, cached = _matches(pairs, texts, "grp", "open")
+        out = cut_lineage(_settle(matched, fold_edges))
     else:
-        out = _one_pass(rows.join(large, [Q, "grp"], "left_anti"), texts)
-        for more in _rounds(rows.join(large, [Q, "grp"], "left_semi"), texts, leaders, coarse_rounds):
-            out = out.unionByName(more)
-    large.unpersist()
+        state, done = _opened(rows.join(hot, [Q, "grp"], "left_semi")), []
+        for _ in range(fold_rounds):
+            settled, state = _settled(_round(state, texts, leaders))
+            done.append(settled)
+        state = cut_lineage(_cut_finer(state, texts))
+        rest = _opened(rows.join(hot, [Q, "grp"], "left_anti"))
+        matched, cached = _matches(_attached(_listed(rest.unionByName(state)), rows), texts, "grp", "open")
+        late = _settle(matched, fold_edges)
+        # Rows absorbed by a leader keep it unless a row before it survived as well.
+        held = state.filter("owner is not null").select(Q, POS, "owner", "reason").unionByName(late)
+        for part in done:
+            held = held.unionByName(part)
+        out = cut_lineage(held.groupBy(Q, POS).agg(F.min(F.struct("owner", "reason")).alias("o")).select(Q, POS, "o.owner", "o.reason"))
+        hot.unpersist()
+    for table in cached:
+        table.unpersist()
     return out
 
 

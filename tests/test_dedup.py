@@ -149,8 +149,8 @@ def sample(seed, n, copies=0.0):
 
 
 @pytest.mark.parametrize("seed,n,copies,sizes", [
-    (1, 120, 0.0, {}), (2, 120, 0.3, dict(small_site=0, leaders=2, coarse_rounds=1)),
-    (3, 80, 0.0, dict(small_site=0, leaders=1, coarse_rounds=1)), (4, 90, 0.0, dict(small_site=20, leaders=4)),
+    (1, 120, 0.0, {}), (2, 120, 0.3, dict(hot_bucket=3, leaders=2, fold_rounds=1)),
+    (3, 80, 0.0, dict(hot_bucket=1, leaders=1, fold_rounds=2, fold_edges=2)), (4, 90, 0.1, dict(hot_bucket=5, fold_edges=30)),
 ])
 def test_matches_direct_walk(spark, seed, n, copies, sizes):
     from pyspark.sql import functions as F
@@ -171,10 +171,31 @@ def test_hot_group_of_copies(spark):
     """A third of all rows are copies under one title: one survivor, few comparisons."""
     rows = [(f"https://www.a.com/news/2024?session={i:05d}x", "one hot title", SAME) for i in range(700)]
     rows += [(f"https://s{i}.org/p/{i}", f"title number {i}", f"text {i}") for i in range(300)]
-    got = owners(spark, rows, small_site=50)
+    got = owners(spark, rows)
     assert set(got) == set(range(1, 700)) and {o for o, _ in got.values()} == {0}
 
 
+def chain(n):
+    """Rows of one site and title; each is nearly the one before it, and only that."""
+    word = [f"{chr(97 + i % 26)}{i:03d}q" for i in range(n + 20)]
+    letters = str.maketrans("0123456789", "abcdefghij")
+    return [(f"https://www.a.com/news/{i * 7919:07d}".translate(letters), "one long title", "".join(word[i:i + 20]), ["e"]) for i in range(n)]
+
+
+def test_long_chain_on_a_large_site(spark):
+    from pyspark.sql import functions as F
+
+    from hitmerge.functions.text import norm_text
+
+    rows = chain(400) + [(f"https://www.a.com/news/x{i}", f"title of its own {i}", f"text {i}", ["e"]) for i in range(150)]
+    hits = table(spark, rows).cache()
+    feats = dedup.features(hits).join(dedup.snippet_texts(hits), ["query_id", "pos"]) \
+        .withColumn("utext", norm_text(F.col("url"))).orderBy("pos").collect()
+    want, _ = walk([r.asDict() for r in feats])
+    assert 150 < len(want) < 399
+    assert {r["pos"]: (r["owner"], r["reason"]) for r in dedup.find_owners(hits).collect()} == want
+
+
 def test_audit_margins(spark):
     """One merge with a thin margin, one pair that just misses."""
     n = "https://a.com/s/{}-2024"
