@@ -85,8 +85,8 @@ class Model:
         return lost.argmin(1), 1 / (1 + np.exp(-np.clip(gap, 0, 30)))
 
 
-def fit(labelled: DataFrame, sample: int = 4000, sizes: tuple = (1, 2, 3, 4), space: int = 1 << 17, bits: int = 8,
-        rounds: int = 30, chars: int = 20000) -> Model:
+def fit(labelled: DataFrame, sample: int = 1200, sizes: tuple = (1, 2, 3, 4), space: int = 1 << 17, bits: int = 8,
+        rounds: int = 30, chars: int = 4000) -> Model:
     """Classifiers of a bounded sample.
 
     :param labelled: ``snippet``, ``locale``; rows without either are left out
@@ -109,27 +109,30 @@ def fit(labelled: DataFrame, sample: int = 4000, sizes: tuple = (1, 2, 3, 4), sp
         picked = rows.orderBy("pick", "locale").limit(sample).toPandas()
     names = sorted(picked["locale"].unique())
     code = codewords(len(names), bits)
-    index, start = grams(picked["snippet"].tolist(), sizes, space)
-    row = np.repeat(np.arange(len(picked)), np.diff(np.concatenate((start, [index.size]))))
-    norm = np.sqrt(np.bincount(row, minlength=len(picked)))[row]
+    # Distinct n-grams of each text, counted a few texts at a time: the driver holds these alone.
+    row, index, value = [], [], []
+    for lo in range(0, len(picked), 50):
+        found, start = grams(picked["snippet"].iloc[lo:lo + 50].tolist(), sizes, space)
+        for i, x in enumerate(np.split(found, start[1:])):
+            gram, times = np.unique(x, return_counts=True)
+            row.append(np.full(gram.size, lo + i, np.int32))
+            index.append(gram)
+            value.append((times / np.sqrt(max(x.size, 1))).astype(np.float32))
+    row, index, value = np.concatenate(row), np.concatenate(index), np.concatenate(value)
+    first = np.searchsorted(row, np.arange(len(picked)))
     truth = code[np.searchsorted(names, picked["locale"])]
     w, bias, past = np.zeros((space, code.shape[1])), np.zeros(code.shape[1]), np.full((space, code.shape[1]), 1e-6)
-    pair = row.astype(np.int64) * space + index
-    cell, times = np.unique(pair, return_counts=True)
-    value = times / np.sqrt(np.bincount(row, minlength=len(picked)))[cell // space]
-    row, index = cell // space, cell % space
-    first = np.searchsorted(row, np.arange(len(picked)))
-    del pair, cell, norm
     by_gram = np.argsort(index, kind="stable")
     there, gram_start = np.unique(index[by_gram], return_index=True)
+    sums = lambda: np.stack([np.add.reduceat(w[index, k] * value, first) for k in range(w.shape[1])], 1)
     for _ in range(rounds):
-        margin = np.add.reduceat(w[index] * value[:, None], first, axis=0) + bias
+        margin = sums() + bias
         slope = -truth / (1 + np.exp(np.clip(truth * margin, -30, 30))) / len(picked)
-        step = np.add.reduceat((slope[row] * value[:, None])[by_gram], gram_start, axis=0)
+        step = np.stack([np.add.reduceat((slope[row, k] * value)[by_gram], gram_start) for k in range(slope.shape[1])], 1)
         past[there] += step * step
         w[there] -= 0.3 * step / np.sqrt(past[there])
         bias -= slope.sum(0)
-    margin = np.add.reduceat(w[index] * value[:, None], first, axis=0) + bias
+    margin = sums() + bias
     right = (margin * truth > 0).mean(0)
     return Model(names, code, np.concatenate((w, np.zeros((1, w.shape[1])))).astype(np.float32), bias,
                  np.maximum(right - 0.5, 0.01) / np.maximum(right - 0.5, 0.01).sum() * len(right), sizes)
