@@ -52,18 +52,16 @@ def test_numbering_in_small_chunks(spark):
     assert before == [(3, 1), (9, 2), (20, 3)]
 
 
-DECOY = [("Rust (video game) - Wikipedia", "Rust is a multiplayer survival game.", "https://en.wikipedia.org/wiki/Rust")] * 10
-GOOD = [("The Rust Ownership Model", "Ownership and borrowing rules.", "https://doc.rust-lang.org/ownership"),
-        ("Rust Borrow Checker", "How the borrow checker enforces ownership.", "https://blog.example/rust-borrow-checker"),
-        ("Understanding Ownership in Rust", "Move semantics.", "https://blog.example/ownership"),
-        ("Rust ownership vs GC", "Why borrowing replaces it.", "https://blog.example/rust-gc")]
+DECOY = [(f"Kiln, a village ({i})", "Population, history and roads of the parish.", f"https://gazetteer.test/kiln/{i}") for i in range(10)]
+GOOD = [("Glaze recipes", "What goes on the pot.", "https://clay.test/recipes"), ("Silica in the pot", "Its chemistry in short.", "https://clay.test/silica"),
+        ("Oxides", "Colours and their names.", "https://clay.test/glaze-oxides"), ("Kiln chemistry", "Heat and glaze.", "https://clay.test/heat")]
 
 
 def test_coherence_and_decoys(spark):
     buckets = [("both", "bing", DECOY), ("both", "exa", GOOD), ("alone", "bing", DECOY), ("few", "exa", GOOD[:3])]
     rows = [(q, e, i, t, u, s, "", None) for q, e, items in buckets for i, (t, s, u) in enumerate(items)]
     rows += [("one", "exa", i, t, u, s, "", None) for i, (t, s, u) in enumerate(GOOD)]
-    queries = spark.createDataFrame([(q, "rust ownership borrowing") for q in ("both", "alone", "few")] + [("one", "rust")],
+    queries = spark.createDataFrame([(q, "kiln glaze chemistry") for q in ("both", "alone", "few")] + [("one", "kiln")],
                                     "query_id string, query string")
     got = {(r["query_id"], r["engine"]): (r["coherence"], r["decoy"])
            for r in coherence.judge_decoys(coherence.bucket_scores(raw(spark, rows), queries)).collect()}

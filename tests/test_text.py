@@ -1,36 +1,38 @@
 
 from pyspark.sql import functions as F
 
+from hitmerge import fixed_values as fv
 from hitmerge.functions import terms, text
 from hitmerge.functions.columns import first_non_blank
 
 
 def test_norm_text_drops_unicode_space(apply):
-    a, b = apply(text.norm_text, ["紫色 面具　是谁 拍的", "紫色 面具 是谁 拍的"])
-    assert a == b
-    assert apply(text.norm_text, ["A-b_c|d—e．f.g/h\x1c（x）"]) == ["abcde．f.g/hx"]
+    spaced = [f"blue{chr(c)}MUG" for c in (0x09, 0x20, 0x85, 0xA0, 0x1680, 0x2003, 0x2028, 0x202F, 0x205F, 0x3000, 0x1C, 0x1F)]
+    assert set(apply(text.norm_text, spaced)) == {"bluemug"}
+    assert apply(text.norm_text, [f"a{c}b" for c in fv.TEXT_NOISE]) == ["ab"] * len(fv.TEXT_NOISE)
+    assert apply(text.norm_text, ["1.5/2=a&b%", "甲．乙｜丙"]) == ["1.5/2=a&b%", "甲．乙｜丙"]
 
 
 def test_site_suffix(apply):
-    cases = [("紫色面具_百度百科", "紫色面具"), ("最佳紫色面具相片 - Pexels", "最佳紫色面具相片"),
-             ("紫色面具是谁拍的？抓住了吗？ - 知乎", "紫色面具是谁拍的？抓住了吗？"),
-             ("标题 - 这是一个很长的副标题，不是站点名", "标题 - 这是一个很长的副标题，不是站点名"),
-             ("标题 - 一二三四五六七八九十十一十二十三", "标题 - 一二三四五六七八九十十一十二十三"),
-             ("- 知乎", "- 知乎"), ("", ""), ("a - b - c - d", "a - b"), ("x |", "x |")]
+    cases = [(f"Firing a kiln {sep} Claypots", "Firing a kiln") for sep in fv.TITLE_SEPARATORS] + [
+        ("Firing a kiln - How to - Clay", "Firing a kiln"), ("Firing - one - two - three", "Firing - one"),
+        ("烧制瓷器 - 陶艺网", "烧制瓷器"), ("Firing a kiln - Claypots, Inc", "Firing a kiln - Claypots, Inc"),
+        ("Firing a kiln - Thirteen sign", "Firing a kiln - Thirteen sign"), ("_Claypots", "_Claypots"), ("Firing a kiln -", "Firing a kiln -"),
+        ("Firing a kiln", "Firing a kiln"), ("", "")]
     assert apply(text.strip_site_suffix, [i for i, _ in cases]) == [w for _, w in cases]
 
 
 def test_mojibake(apply):
-    broken = "中文".encode().decode("latin-1")
-    assert apply(text.repair_mojibake, [broken, f"abc {broken} xyz"]) == ["中文", "abc 中文 xyz"]
-    keep = ["hello world", "福建兄妹的搜索结果", "Apple 苹果公司", "", "abc � def", "日本語", "·",
-            "é".encode().decode("latin-1"), broken + "â uu"]
+    wrong = lambda t: t.encode().decode("latin-1")
+    whole = ["瓷器", "glaze 釉 blue", "青花「瓷」", "кобальт"]
+    assert apply(text.repair_mojibake, [wrong(t) for t in whole]) == whole
+    keep = ["cobalt", "", "瓷器", "naïve", wrong("naïve"), wrong("瓷器") + "釉", wrong("瓷器")[:-1], "cobalt \ufffd", "÷"]
     assert apply(text.repair_mojibake, keep) == keep
 
 
 def test_clean_snippet(apply):
-    cases = [("见[夸克百科](https://baike.quark.cn/x)说明", "见夸克百科说明"), ("正文![alt](./a.png)结束", "正文结束"),
-             ("  普通  摘要  ", "普通 摘要"), ("", ""), ("  plain\n text  ", "plain text")]
+    cases = [("read [the glaze book](https://kiln.test/g) first", "read the glaze book first"), ("mug ![blue](b.png)bowl", "mug bowl"),
+             ("\n blue\t\tmug  ", "blue mug"), ("", ""), ("[a](b) and [c](d)", "a and c")]
     assert apply(text.clean_snippet, [i for i, _ in cases]) == [w for _, w in cases]
 
 
@@ -65,13 +67,13 @@ def test_terms(apply):
         t = apply(terms.query_terms, [q])[0]
         return list(t["anchor"]), list(t["rest"])
 
-    assert get("rust ownership borrowing") == (["rust"], ["ownership", "borrow"])
-    assert get("site:example.com postgres explain analyze") == (["postgr"], ["explain", "analyze"])
-    assert get("上海明珠塔观光攻略") == (["上海"], ["明珠", "珠塔", "塔观", "观光", "光攻", "攻略"])
-    assert get("量子计算") == (["量子"], ["计算"])
-    assert get("postgres postgresql tuning") == (["postgr"], ["tuning"])
-    assert get('a -"foo bar" go -x OR python3.12 gases gases') == (["go"], ["python3.12", "gase"])
-    assert get("rust") == (["rust"], [])
+    assert get("kiln firing glazes cracked") == (["kiln"], ["firing", "glaz", "crack"])
+    assert get("filetype:pdf kilns before:2020 glass") == (["kiln"], ["glass"])
+    assert get("青花瓷器修复") == (["青花"], ["瓷器", "器修", "修复"])
+    assert get("青花瓷 修复") == (["青花", "花瓷"], ["修复"])
+    assert get("kiln kilnwash shelf") == (["kiln"], ["shelf"])
+    assert get('the -"old blue" kiln -mug OR v1.2 shelf shelves shelf') == (["kiln"], ["v1.2", "shelf", "shelv"])
+    assert get("kiln") == (["kiln"], [])
 
 
 def test_rest_pattern_boundaries(apply):
