@@ -101,3 +101,17 @@ PAGING = {
     "serpapi": dict(key="plain", max_pages=3, stop_on_no_new=False, stop_on_empty=True),
 }
 BING_ROWS_PER_PAGE = 10
+
+# ---- words of the report, and of the errors that are recognised -----------------------------
+ABANDONED = "已放弃（全局超时）"
+REPORT_WORDS = {
+    "query": "查询: ", "engines": "引擎: ", "elapsed": "耗时: ", "raw": "候选 ", "final": " → 去重后 ", "returned": " → 可达 ",
+    "dedup": "去重: ", "mode": " 档（恒开，标题阈值 ", "mode_end": "）", "arrow": "→", "merged": "(合并", "merged_end": ")",
+    "reach": "可达性预检: 探测 ", "reach_ok": " 个域名，可达 ", "dropped": "，剔除 ", "dropped_end": " 条", "nothing": "没有结果。",
+    "title": "    标题: ", "hit_by": "    命中: ", "snippet": "    摘要: ", "alternative": "    备用: ", "quote": "  《", "quote_end": "》",
+    "status": "引擎状态:", "rows": "条",
+}
+ERROR_PATTERNS = [
+    ("missing_key", "缺少 API Key"), ("timeout", "超时|deadline|全局超时"), ("quota", "HTTP 429"), ("throttled", "限流"),
+    ("short_page", "响应过短"), ("http_status", "HTTP [1-9][0-9]{2}"), ("bad_json", "非预期 JSON"), ("unknown_engine", "未实现的引擎"),
+]

@@ -46,6 +46,7 @@ FOLD_ROUNDS = 3       # of leading rows
 FOLD_EDGES = 1 << 20  # matches that one task folds
 
 Q, POS = "query_id", "pos"
+MODE = "conservative"
 
 
 class DedupResult(NamedTuple):
@@ -426,18 +427,6 @@ def absorbed_urls(hits: DataFrame, owners: DataFrame) -> DataFrame:
         "engine", "reason")
 
 
-def merged_from_maps(absorbed: DataFrame, per_map: int = 1000) -> DataFrame:
-    """query_id, hit_ord, part, merged_from: the absorbed URLs as maps keyed by URL. A survivor
-    with many gets several parts of about ``per_map`` entries, so no single row grows with the data."""
-    sizes = absorbed.groupBy(Q, "survivor").agg(F.count(F.lit(1)).alias("n"))
-    parts = F.ceil(F.col("n") / F.lit(per_map)).cast("int")
-    entry = F.struct(F.col("url"), F.struct("title", "engine", "reason"))
-    return absorbed.join(sizes, [Q, "survivor"]) \
-        .withColumn("part", F.pmod(F.xxhash64("url"), parts).cast("int")) \
-        .groupBy(Q, F.col("survivor").alias("hit_ord"), "part") \
-        .agg(F.map_from_entries(F.array_sort(F.collect_list(entry))).alias("merged_from"))
-
-
 def dedup(hits: DataFrame, mode: str = "default", **sizes: int) -> DedupResult:
     """Deduplicate pools (query_id, hit_ord, engine, positions, title, snippet, url, date, signals).
 
@@ -455,7 +444,7 @@ def dedup_stats(hits: DataFrame, owners: DataFrame) -> DataFrame:
                                    F.count_if(~by_url).alias("judged_merged"))
     zero = lambda c: F.coalesce(F.col(c), F.lit(0))
     return raw.join(merged, Q, "left").select(
-        Q, F.lit("conservative").alias("mode"), F.lit(fv.TITLE_MIN).alias("threshold"), "raw",
+        Q, F.lit(MODE).alias("mode"), F.lit(fv.TITLE_MIN).alias("threshold"), "raw",
         (F.col("raw") - zero("url_merged") - zero("judged_merged")).alias("final"),
         (zero("url_merged") + zero("judged_merged")).alias("total_merged"),
         zero("url_merged").alias("d1_url_exact_merged"), zero("judged_merged").alias("d2_judged_merged"),
@@ -542,10 +531,10 @@ def _similar_numbers(rows: DataFrame) -> DataFrame:
     return meets.select(Q, "i", "j").distinct().groupBy(Q).agg(F.count(F.lit(1)).alias("similar"))
 
 
-def veto_histogram(hits: DataFrame, owners: DataFrame, mode: str = "default") -> DataFrame:
+def veto_histogram(hits: DataFrame, owners: DataFrame, mode: str = "default", feats: DataFrame | None = None) -> DataFrame:
     """query_id, veto, n: how often each veto kept two candidate rows apart. A candidate counts
     when its earlier row survives and its later row is not yet absorbed at that point."""
-    rows = cut_lineage(_visible(features(hits, mode), owners))
+    rows = cut_lineage(_visible(features(hits, mode) if feats is None else feats, owners))
     hosted = F.col("host") != ""
     met = _met(rows, {
         "all": (F.lit(True), []), "site": (hosted, ["site"]),

@@ -36,16 +36,18 @@ def unreachable(hits: DataFrame, verdict: DataFrame) -> DataFrame:
 
 def _hosts(hits: DataFrame, verdict: DataFrame) -> DataFrame:
     per_host = with_target(hits).groupBy("query_id", "host", "port").agg(F.count(F.lit(1)).alias("rows"))
-    return per_host.join(_good(verdict).withColumn("good", F.lit(True)), ["host", "port"], "left") \
+    known = verdict.groupBy("host", "port").agg(F.max("ok").alias("good"))
+    return per_host.join(known, ["host", "port"], "left").withColumn("known", F.col("good").isNotNull()) \
         .withColumn("good", F.coalesce("good", F.lit(False)))
 
 
 def reach_stats(hits: DataFrame, verdict: DataFrame) -> DataFrame:
-    """Per query: hosts tested, hosts good, rows dropped and kept. Rows are first counted per
-    host, so the verdict join and the final sums run over hosts, not rows."""
+    """Per query: hosts tested, hosts good, hosts whose verdict was there, rows dropped and kept. Rows are first
+    counted per host, so the verdict join and the final sums run over hosts, not rows."""
     named = F.col("host").isNotNull()
     return _hosts(hits, verdict).groupBy("query_id").agg(
         F.count_if(named).alias("hosts_probed"), F.count_if(named & F.col("good")).alias("hosts_ok"),
+        F.count_if(named & F.col("known")).alias("hosts_known"),
         F.sum(F.when(F.col("good"), 0).otherwise(F.col("rows"))).alias("dropped_items"),
         F.sum(F.when(F.col("good"), F.col("rows")).otherwise(0)).alias("kept"))
 

@@ -8,8 +8,6 @@ from pyspark.sql import functions as F
 from hitmerge import fixed_values as fv
 from hitmerge.functions.text import repair_mojibake
 
-ABANDONED = "已放弃（全局超时）"
-
 
 def engines(spark: SparkSession) -> DataFrame:
     """Engine dimension: engine, paid, most rows per request (NULL: no limit)."""
@@ -42,18 +40,10 @@ def engine_status(fetch_log: DataFrame, raw: DataFrame, scores: DataFrame | None
 def failure_class(error: Column, ok: Column, count: Column) -> Column:
     """Why an engine gave nothing, from its error text. Latency says nothing about health: a fast
     answer without rows is a throttled one."""
-    return (
-        F.when(error.rlike("缺少 API Key"), "missing_key")
-        .when(error.rlike("超时|deadline|全局超时"), "timeout")
-        .when(error.rlike("HTTP 429"), "quota")
-        .when(error.rlike("限流"), "throttled")
-        .when(error.rlike("响应过短"), "short_page")
-        .when(error.rlike("HTTP [1-9][0-9]{2}"), "http_status")
-        .when(error.rlike("非预期 JSON"), "bad_json")
-        .when(error.rlike("未实现的引擎"), "unknown_engine")
-        .when((error != "") | ~ok, "other")
-        .when(count == 0, "empty")
-        .otherwise("none"))
+    out = F.when(F.lit(False), "")
+    for name, pattern in fv.ERROR_PATTERNS:
+        out = out.when(error.rlike(pattern), name)
+    return out.when((error != "") | ~ok, "other").when(count == 0, "empty").otherwise("none")
 
 
 def failure_counts(status: DataFrame) -> DataFrame:

@@ -79,7 +79,7 @@ def host_verdict(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ERROR_TEXTS = [
-    "Exa: HTTP 0 缺少 API Key body=请配置 EXA_API_KEY", "SerpApi: 超时/取消: context deadline exceeded",
+    "Exa: HTTP 0 缺少 API Key", "SerpApi: 超时/取消: context deadline exceeded",
     "Tavily: HTTP 429 Too Many Requests", "Metaso: HTTP 503 Service Unavailable",
     "Quark: 首页被反爬限流（1200B 惩罚页，非解析问题）", "Quark: 首页响应过短（900B），疑似错误页",
     "Qianfan: 响应非预期 JSON: invalid character", "未实现的引擎", "已放弃（全局超时）",

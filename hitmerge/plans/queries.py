@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hitmerge import fixed_values as fv
+from hitmerge import schemas
 from hitmerge.functions import terms, text, urls
 from hitmerge.functions.columns import first_non_blank
 from hitmerge.operators import coherence, dedup, hits, paging, quality, reach, status, verticals
@@ -95,8 +96,8 @@ def rank_fallback(spark, sf):
 
 @query("union_engines", o.with_(o.RAW) + "SELECT engine, count(*) AS n, count(DISTINCT url) AS urls FROM raw GROUP BY engine")
 def union_engines(spark, sf):
-    raw = _raw(spark, sf)
-    return hits.union_engines(*[raw.filter(c("engine") == e) for e in fv.ALL_ENGINES]).groupBy("engine").agg(
+    # The lists lie in one table here, which is read once; separate lists are united in landed_json.
+    return _raw(spark, sf).groupBy("engine").agg(
         F.count(F.lit(1)).alias("n"), F.count_distinct("url").alias("urls"))
 
 
@@ -494,7 +495,7 @@ def unreachable_hits(spark, sf):
 
 
 @query("reach_stats", o.with_(o.SURVIVORS, o.VERDICT, _REACH) + """SELECT query_id, count(DISTINCT (host, port)) AS hosts_probed,
- count(DISTINCT (host, port)) FILTER (WHERE ok) AS hosts_ok, count(*) FILTER (WHERE NOT ok) AS dropped_items,
+ count(DISTINCT (host, port)) FILTER (WHERE ok) AS hosts_ok, count(DISTINCT (host, port)) AS hosts_known, count(*) FILTER (WHERE NOT ok) AS dropped_items,
  count(*) FILTER (WHERE ok) AS kept FROM kt JOIN v USING (host, port) GROUP BY query_id""")
 def reach_stats(spark, sf):
     _, deduped, verdict = _candidates(spark, sf)
@@ -730,59 +731,6 @@ def item_log(spark, sf):
         "engine", "query", "rank", "title", "url", F.md5("snippet").alias("snippet_md5"), "date", "signals.score", "signals.source")
 
 
-def _merged_report(spark, sf):
-    """Deduplicated hits with their merge trace and one meta row per query."""
-    pool, r = _deduped(spark, sf)
-    traced = sinks.with_merged_from(r.hits, dedup.merged_from_maps(r.absorbed))
-    names = pool.select("query_id", F.explode("engine").alias("e")).groupBy("query_id").agg(F.array_sort(F.collect_set("e")).alias("engines"))
-    meta = dedup.dedup_stats(pool, r.owners).drop("mode", "threshold").join(names, "query_id") \
-        .withColumns({"query": c("query_id"), "elapsed_ms": F.lit(0), "returned": c("final"), "hosts_probed": F.lit(0),
-                      "hosts_ok": F.lit(0), "dropped_items": F.lit(0)})
-    return meta, traced
-
-
-@query("stored_report", o.with_(o.SURVIVORS) + """SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY hit_ord) - 1 AS hit_ord, url, title FROM kept""")
-def stored_report(spark, sf):
-    """A stored report read back as a pool: the traces of the earlier run are gone."""
-    meta, found = _merged_report(spark, sf)
-    path = _stage(spark)
-    sinks.report_json(meta, found.filter("part = 0")).select(c("json").alias("value")).write.text(path)
-    return logs.read_stored_reports(spark, path).filter("merged_from is null").select("query_id", "hit_ord", "url", "title")
-
-
-_EL = lambda x, n: f"CASE WHEN length({x}) <= {n} THEN {x} ELSE rtrim(substr({x}, 1, {n - 1}), ' ') || '…' END"
-
-
-@query("report_text", o.with_(o.SURVIVORS, f"""alt AS (SELECT own.query_id, own.owner AS hit_ord, string_agg('\n    备用: ' || {_EL('f.url', 70)} ||
- CASE WHEN f.title <> '' THEN '  《' || {_EL('f.title', 40)} || '》' ELSE '' END || '  [' || f.engines || '] ' || own.reason, '' ORDER BY f.url) AS alts
- FROM own JOIN f ON f.query_id = own.query_id AND f.hit_ord = own.j GROUP BY ALL)""") + f"""
-SELECT kept.query_id, row_number() OVER (PARTITION BY kept.query_id ORDER BY kept.hit_ord) - 1 AS line,
- '[' || row_number() OVER (PARTITION BY kept.query_id ORDER BY kept.hit_ord) || '] ' || url || '\n    标题: ' || {_EL('title', 90)} ||
- '\n    命中: ' || regexp_replace(replace(positions, ', ', ' / '), '#[0-9]+', '', 'g') || '  (' || positions || ')' ||
- CASE WHEN snippet <> '' THEN '\n    摘要: ' || {_EL('snippet', 120)} ELSE '' END || coalesce(alts, '') AS text
- FROM kept JOIN kpos ON kpos.query_id = kept.query_id AND kpos.hit_ord = kept.hit_ord
- LEFT JOIN alt ON alt.query_id = kept.query_id AND alt.hit_ord = kept.hit_ord""".replace("\\n", "' || chr(10) || '"))
-def report_text(spark, sf):
-    meta, found = _merged_report(spark, sf)
-    return sinks.report_text(meta, found).filter("section = 1").select("query_id", "line", "text")
-
-
-@query("report_header")
-def report_header(spark, sf):
-    meta, found = _merged_report(spark, sf)
-    return sinks.report_text(meta, found, status.engine_status(_round_log(spark, sf), _raw(spark, sf))).filter("section <> 1")
-
-
-@query("report_jsonl")
-def report_jsonl(spark, sf):
-    return sinks.report_lines(*_merged_report(spark, sf))
-
-
-@query("report_json")
-def report_json(spark, sf):
-    return sinks.report_json(*_merged_report(spark, sf))
-
-
 _MARKUP = {
     "bing": "<ol><li class=\"b_algo\"><h2><a href=\"{url}\">{title}</a></h2><div class=\"b_caption\"><p>{snippet}</p></div></li>"
             "<li class=\"b_algo\"><h2><a href=\"javascript:;\">skip</a></h2></li></ol>",
@@ -867,6 +815,129 @@ raw AS (SELECT raw0.* FROM raw0 JOIN rl USING (query_id, engine) WHERE r.ok AND
 SELECT kt.query_id, kt.hit_ord, kt.url, kt.title, '(' || kpos.positions || ')' AS positions FROM kt
  JOIN kpos ON kpos.query_id = kt.query_id AND kpos.hit_ord = kt.hit_ord JOIN v ON v.host = kt.host AND v.port = kt.port AND v.ok""")
 def search_round(spark, sf):
-    raw = _raw(spark, sf)
-    r = jobs.search_round(raw, derived.queries(raw), _round_log(spark, sf), derived.host_verdict(spark, sf))
+    r = _round(spark, sf)
     return r.hits.select("query_id", "hit_ord", "url", "title", text.positions_text(c("positions")).alias("positions"))
+
+
+# ---- whole reports -------------------------------------------------------------------------
+_EL = lambda x, n: f"CASE WHEN length({x}) <= {n} THEN {x} ELSE rtrim(substr({x}, 1, {n - 1}), ' ') || '…' END"
+_REPORT = o.with_(
+    o.SURVIVORS.replace(o.RAW, _ROUND_RAW), o.VERDICT, f"kt AS (SELECT *, {o.TARGET} FROM kept)",
+    """fin AS (SELECT kt.*, kpos.positions, row_number() OVER (PARTITION BY kt.query_id ORDER BY kt.hit_ord) - 1 AS n FROM kt
+ JOIN kpos ON kpos.query_id = kt.query_id AND kpos.hit_ord = kt.hit_ord JOIN v ON v.host = kt.host AND v.port = kt.port AND v.ok)""",
+    """alt AS (SELECT fin.query_id, fin.hit_ord, fin.n, f.url, f.title, f.engines, own.reason FROM own JOIN fin ON fin.query_id = own.query_id
+ AND fin.hit_ord = own.owner JOIN f ON f.query_id = own.query_id AND f.hit_ord = own.j)""",
+    "served AS (SELECT raw0.* FROM raw0 JOIN rl USING (query_id, engine) WHERE r.ok)", _SCORES.replace("FROM raw GROUP", "FROM served GROUP"),
+    "jd AS (SELECT *, coalesce(coherence < 0.3 AND max(coherence) OVER (PARTITION BY query_id) >= 0.5, false) AS decoy FROM sc)",
+    "cnt AS (SELECT query_id, engine, count(*) AS n FROM served GROUP BY ALL)",
+    """st AS (SELECT rl.query_id, rl.engine, r.ok AS ok, CASE WHEN r.ok THEN least(coalesce(n, 0), 15) ELSE 0 END AS count, r.latency_ms AS latency_ms,
+ r.error AS error, CASE WHEN r.ok THEN coherence END AS coherence, r.ok AND coalesce(decoy, false) AS decoy
+ FROM rl LEFT JOIN cnt USING (query_id, engine) LEFT JOIN jd USING (query_id, engine))""",
+    """ds AS (SELECT f.query_id, count(*) AS raw, count(*) - count(own.j) AS final, count(own.j) AS merged,
+ count(*) FILTER (WHERE reason LIKE 'd1:url%') AS um FROM f LEFT JOIN own ON own.query_id = f.query_id AND own.j = f.hit_ord GROUP BY f.query_id)""",
+    """ve AS (SELECT query_id, string_agg(veto || '=' || n, ',' ORDER BY veto) AS veto FROM (SELECT e.query_id, veto, count(*) AS n FROM e
+ JOIN s5 ON s5.query_id = e.query_id AND s5.i = e.i LEFT JOIN own ON own.query_id = e.query_id AND own.j = e.j
+ WHERE veto IS NOT NULL AND (owner IS NULL OR owner > e.i) GROUP BY ALL) GROUP BY query_id)""",
+    """pa AS (SELECT query_id, string_agg(ev || '=' || n, ',' ORDER BY ev) AS pass FROM (SELECT query_id, ev, count(*) AS n FROM
+ (SELECT query_id, unnest(string_split(reason, ',')) AS ev FROM own) WHERE NOT starts_with(ev, 'd1:') GROUP BY ALL) GROUP BY query_id)""",
+    """rs AS (SELECT query_id, count(DISTINCT (host, port)) AS probed, count(DISTINCT (host, port)) FILTER (WHERE ok) AS good,
+ count(*) FILTER (WHERE NOT ok) AS dropped, count(*) FILTER (WHERE ok) AS kept,
+ string_agg(DISTINCT CASE WHEN NOT ok THEN host || ':' || port END, ',' ORDER BY CASE WHEN NOT ok THEN host || ':' || port END) AS dead
+ FROM kt JOIN v USING (host, port) GROUP BY query_id)""",
+    """rd AS (SELECT query_id, string_agg(engine, ', ' ORDER BY engine) AS engines, max(r.at) AS generated_at,
+ max(epoch_us(r.at) // 1000) - min(epoch_us(r.at) // 1000 - r.latency_ms) AS elapsed_ms FROM rl GROUP BY query_id)""",
+    "qs AS (SELECT DISTINCT query_id, query FROM raw0)",
+    """rep AS (SELECT qs.query_id, qs.query, engines, generated_at, elapsed_ms, coalesce(raw, 0) AS raw, coalesce(final, 0) AS final, coalesce(merged, 0) AS merged,
+ coalesce(um, 0) AS um, veto, pass, coalesce(probed, 0) AS probed, coalesce(good, 0) AS good, coalesce(dropped, 0) AS dropped, coalesce(kept, 0) AS kept, dead
+ FROM qs LEFT JOIN rd USING (query_id) LEFT JOIN ds USING (query_id) LEFT JOIN ve USING (query_id) LEFT JOIN pa USING (query_id) LEFT JOIN rs USING (query_id))""")
+_STAGES = lambda sep: ("CASE WHEN raw > 1 THEN '" + sep + "d1_url_exact ' || raw || '→' || (raw - um) || '(合并' || um || ')' || '" + sep
+                       + "d2_judged ' || (raw - um) || '→' || final || '(合并' || (merged - um) || ')' ELSE '' END")
+
+
+def _round(spark, sf):
+    raw = _raw(spark, sf)
+    return jobs.search_round(raw, derived.queries(raw), _round_log(spark, sf), derived.host_verdict(spark, sf))
+
+
+def _nested(spark, sf):
+    r = _round(spark, sf)
+    return sinks.report_json(r.report, r.hits, r.absorbed)
+
+
+@query("stored_report", _REPORT + "SELECT query AS query_id, n AS hit_ord, url, title FROM fin JOIN qs USING (query_id)")
+def stored_report(spark, sf):
+    """Reports written and read back as a pool: the traces of the earlier run are gone."""
+    path = _stage(spark)
+    _nested(spark, sf).select(c("json").alias("value")).write.text(path)
+    return logs.read_stored_reports(spark, path).filter("merged_from is null").select("query_id", "hit_ord", "url", "title")
+
+
+@query("report_json", _REPORT + f"""SELECT rep.query_id, query, engines, epoch_us(generated_at) // 1000 AS generated_ms, elapsed_ms,
+ (SELECT string_agg(concat_ws(':', engine, ok, count, latency_ms, error, round(coherence, 6)::DOUBLE, CASE WHEN decoy THEN 'decoy' END), '|' ORDER BY engine) FROM st
+  WHERE st.query_id = rep.query_id) AS status, 'conservative' AS mode, 0.9 AS threshold, raw, final, merged AS total_merged, {_STAGES('')} AS stages,
+ coalesce(veto, '') AS veto, coalesce(pass, '') AS pass, true AS enabled, probed AS hosts_probed, good AS hosts_ok, dropped AS dropped_items, kept, probed AS prefetched,
+ coalesce(dead, '') AS unreachable, final AS candidates, kept AS returned, coalesce((SELECT string_agg(concat_ws('~', url, title, md5(snippet), '(' || positions || ')', coalesce(date, ''),
+  CASE WHEN score > 0 THEN score::DOUBLE END, source, (SELECT string_agg(alt.url || '<' || alt.title || '<' || alt.engines || '<' || alt.reason, '<' ORDER BY alt.url) FROM alt
+   WHERE alt.query_id = fin.query_id AND alt.hit_ord = fin.hit_ord)), chr(10) ORDER BY n) FROM fin WHERE fin.query_id = rep.query_id), '') AS results FROM rep""")
+def report_json(spark, sf):
+    """The nested reports, parsed back and written out flat."""
+    status_ = "array<struct<engine:string,ok:boolean,count:bigint,latency_ms:bigint,error:string,coherence:double,decoy:boolean>>"
+    dedup_ = ("struct<mode:string,threshold:double,raw:bigint,final:bigint,total_merged:bigint,stages:array<struct<stage:string,before:bigint,after:bigint,"
+              "merged:bigint>>,veto:map<string,bigint>,pass:map<string,bigint>>")
+    reach_ = ("struct<enabled:boolean,hosts_probed:bigint,hosts_ok:bigint,dropped_items:bigint,kept:bigint,prefetched:bigint,unreachable:array<string>>")
+    schema = (f"query string, engines array<string>, generated_at timestamp, elapsed_ms bigint, engine_status {status_}, dedup {dedup_}, "
+              f"reachability {reach_}, stats struct<candidates:bigint,returned:bigint>, results array<{schemas.HIT}>")
+    r = _nested(spark, sf).select("query_id", F.from_json("json", schema).alias("r")).select("query_id", "r.*")
+    pairs = lambda m: F.coalesce(F.array_join(F.transform(F.array_sort(F.map_entries(m)), lambda e: F.concat_ws("=", e["key"], e["value"])), ","), F.lit(""))
+    state = lambda x: F.concat_ws(":", x["engine"], x["ok"].cast("string"), x["count"].cast("string"), x["latency_ms"].cast("string"),
+                                  F.coalesce(x["error"], F.lit("")), F.round(x["coherence"], 6).cast("string"), F.when(x["decoy"], "decoy"))
+    stage = lambda x: F.concat(x["stage"], F.lit(" "), x["before"], F.lit("→"), x["after"], F.lit("(合并"), x["merged"], F.lit(")"))
+    alt = lambda e: F.concat_ws("<", e["key"], F.coalesce(e["value"]["title"], F.lit("")), F.array_join(e["value"]["engine"], "/"), e["value"]["reason"])
+    hit = lambda h: F.concat_ws("~", h["url"], h["title"], F.md5(h["snippet"]), text.positions_text(h["positions"]), F.coalesce(h["date"], F.lit("")),
+                                h["signals"]["score"].cast("string"), h["signals"]["source"],
+                                F.array_join(F.transform(F.array_sort(F.map_entries(h["merged_from"])), alt), "<"))
+    return r.select(
+        "query_id", "query", F.array_join("engines", ", ").alias("engines"), F.unix_millis("generated_at").alias("generated_ms"), "elapsed_ms",
+        F.array_join(F.transform("engine_status", state), "|").alias("status"), "dedup.mode", "dedup.threshold", "dedup.raw", "dedup.final",
+        "dedup.total_merged", F.array_join(F.transform("dedup.stages", stage), "").alias("stages"), pairs(c("dedup.veto")).alias("veto"),
+        pairs(c("dedup.pass")).alias("pass"), *[f"reachability.{x}" for x in ("enabled", "hosts_probed", "hosts_ok", "dropped_items", "kept", "prefetched")],
+        F.coalesce(F.array_join("reachability.unreachable", ","), F.lit("")).alias("unreachable"), "stats.candidates", "stats.returned",
+        F.array_join(F.transform("results", hit), "\n").alias("results"))
+
+
+@query("report_jsonl", _REPORT + """SELECT query_id, -1 AS line, '' AS sub, query AS url, raw || '/' || final || '/' || kept AS title, '' AS extra FROM rep
+ UNION ALL SELECT query_id, hit_ord, '', url, title, md5(snippet) FROM fin
+ UNION ALL SELECT query_id, hit_ord, url, url, title, engines || ' ' || reason FROM alt""")
+def report_jsonl(spark, sf):
+    r = _round(spark, sf)
+    lines = sinks.report_lines(r.report, r.hits, r.absorbed)
+    j = lambda path: F.get_json_object("json", path)
+    alt = F.from_json(j("$.merged_from"), f"map<string,{schemas.ALT_REF}>")
+    one = F.map_entries(alt)[0]
+    meta, hit = c("line") < 0, c("sub") == ""
+    return lines.select(
+        "query_id", "line", "sub", F.when(meta, j("$.query")).when(hit, j("$.url")).otherwise(one["key"]).alias("url"),
+        F.when(meta, F.concat_ws("/", j("$.dedup.raw"), j("$.dedup.final"), j("$.stats.returned"))).when(hit, j("$.title"))
+        .otherwise(F.coalesce(one["value"]["title"], F.lit(""))).alias("title"),
+        F.when(meta, "").when(hit, F.md5(j("$.snippet"))).otherwise(F.concat_ws(" ", F.array_join(one["value"]["engine"], "/"), one["value"]["reason"])).alias("extra"))
+
+
+@query("report_text", _REPORT + f"""SELECT query_id, n AS line, '' AS sub, CASE WHEN n > 0 THEN chr(10) ELSE '' END || '[' || (n + 1) || '] ' || url ||
+ chr(10) || '    标题: ' || {_EL('title', 90)} || chr(10) || '    命中: ' || regexp_replace(replace(positions, ', ', ' / '), '#[0-9]+', '', 'g') || '  (' || positions || ')' ||
+ CASE WHEN snippet <> '' THEN chr(10) || '    摘要: ' || {_EL('snippet', 120)} ELSE '' END AS text FROM fin
+ UNION ALL SELECT query_id, n, url, '    备用: ' || {_EL('url', 70)} || CASE WHEN title <> '' THEN '  《' || {_EL('title', 40)} || '》' ELSE '' END || '  [' || engines || '] ' || reason FROM alt""")
+def report_text(spark, sf):
+    r = _round(spark, sf)
+    return sinks.report_text(r.report, r.hits, r.absorbed).filter("section = 1").select("query_id", "line", "sub", "text")
+
+
+@query("report_header", _REPORT + f"""SELECT query_id, 0 AS section, concat_ws(chr(10), '查询: ' || query, '引擎: ' || engines, '耗时: ' || elapsed_ms || ' ms',
+ '候选 ' || raw || ' → 去重后 ' || final || ' → 可达 ' || kept, '去重: conservative 档（恒开，标题阈值 0.90）' || {_STAGES(' | ')},
+ '可达性预检: 探测 ' || probed || ' 个域名，可达 ' || good || '，剔除 ' || dropped || ' 条', repeat('=', 78), CASE WHEN kept = 0 THEN '没有结果。' END) AS text FROM rep
+ UNION ALL SELECT rep.query_id, 2, CASE WHEN kept > 0 THEN chr(10) ELSE '' END || repeat('-', 78) || chr(10) || '引擎状态:' || chr(10) ||
+  (SELECT string_agg('  ' || rpad(engine, 10, ' ') || ' ' || CASE WHEN ok THEN 'OK  ' ELSE 'FAIL' END || ' ' || lpad(count::VARCHAR, 3, ' ') || ' 条  ' ||
+   lpad(latency_ms::VARCHAR, greatest(5, length(latency_ms::VARCHAR))::INT, ' ') || ' ms' || CASE WHEN error <> '' THEN '  ' || {_EL('error', 90)} ELSE '' END, chr(10) ORDER BY engine)
+   FROM st WHERE st.query_id = rep.query_id) FROM rep""")
+def report_header(spark, sf):
+    r = _round(spark, sf)
+    return sinks.report_text(r.report, r.hits, r.absorbed).filter("section <> 1").select("query_id", "section", "text")

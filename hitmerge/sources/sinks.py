@@ -1,125 +1,128 @@
 """Report sinks: nested JSON, JSON lines, text.
 
-A round with very many hits is written as several objects of bounded size (``part``), and lines are
-sorted by range partitions, so no sink collects a round into one task."""
+Each hit is one row of the text and line sinks, and each URL it absorbed is a row of its own behind it, so no
+row grows with the data; lines are sorted by range partitions. The nested object holds a whole round: it
+is for rounds whose engine lists are capped, which bounds it. Larger pools are written as lines."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from hitmerge import fixed_values as fv
 from hitmerge.functions.text import positions_text, truncate_chars
 from hitmerge.operators.numbering import number_rows
 
-ROWS_PER_OBJECT = 1000
+KEY = ["query_id", "hit_ord"]
+ENVELOPE = ["query", "engines", "generated_at", "elapsed_ms", "engine_status", "dedup", "reachability", "stats"]
 
 
-def _hit() -> Column:
+def _word(name: str) -> Column:
+    return F.lit(fv.REPORT_WORDS[name])
+
+
+def _sorted_map(m: Column) -> Column:
+    return F.map_from_entries(F.array_sort(F.map_entries(m)))
+
+
+def _hit(trace: Column | None = None) -> Column:
     """Field order and omitted empties as in the report format."""
     signals = F.struct(*[F.col("signals")[f].alias(f) for f in (
         "score", "score_level", "rerank_score", "authority_score", "source", "card_type")])
-    sorted_map = lambda m: F.map_from_entries(F.array_sort(F.map_entries(m)))
     return F.struct(
-        "engine", sorted_map(F.col("positions")).alias("positions"), "title", "snippet", "url",
+        "engine", _sorted_map(F.col("positions")).alias("positions"), "title", "snippet", "url",
         F.when(F.col("date") != "", F.col("date")).alias("date"),
-        F.when(F.size("merged_from") > 0, F.col("merged_from")).alias("merged_from"),
+        *([] if trace is None else [F.when(F.size(trace) > 0, trace).alias("merged_from")]),
         F.when(F.col("signals").isNotNull(), signals).alias("signals"))
 
 
-def with_merged_from(hits: DataFrame, maps: DataFrame) -> DataFrame:
-    """Hits with their merge trace. A hit whose trace has several parts appears once per part."""
-    return hits.drop("merged_from").join(maps, ["query_id", "hit_ord"], "left") \
-        .withColumn("part", F.coalesce("part", F.lit(0)))
+def _alternative() -> Column:
+    """What is kept of an absorbed URL, from the columns of the merge trace."""
+    return F.struct(F.when(F.col("title") != "", F.col("title")).alias("title"), "engine",
+                    F.when(F.col("reason") != "", F.col("reason")).alias("reason"))
 
 
-def report_json(meta: DataFrame, hits: DataFrame, rows_per_object: int = ROWS_PER_OBJECT) -> DataFrame:
-    """query_id, part, json: the envelope (all meta columns) with ``results`` in pool order. Objects
-    after the first also carry ``offset``, the place of their first row in the round."""
-    placed = number_rows(hits.select("query_id", "hit_ord", _hit().alias("hit")), ["query_id"], "hit_ord", "n") \
-        .withColumn("part", F.floor(F.col("n") / rows_per_object))
-    results = placed.groupBy("query_id", "part").agg(
-        F.array_sort(F.collect_list(F.struct("n", F.to_json("hit").alias("json")))).alias("rows"))
-    body = F.concat(F.lit("["), F.array_join(F.transform("rows", lambda r: r["json"]), ","), F.lit("]"))
-    offset = F.when(F.col("part") > 0, F.col("part") * rows_per_object).alias("offset")
-    envelope = F.to_json(F.struct(*[c for c in meta.columns if c != "query_id"], offset))
-    empty = F.coalesce(body, F.lit("[]"))
-    return meta.join(results, "query_id", "left").select(
-        "query_id", F.coalesce("part", F.lit(0)).alias("part"),
-        F.concat(F.regexp_replace(envelope, r"\}$", ""), F.lit(',"results":'), empty, F.lit("}")).alias("json"))
+def _traces(absorbed: DataFrame, hits: DataFrame) -> DataFrame:
+    """Merge trace of the hits that are reported."""
+    return absorbed.withColumnRenamed("survivor", "hit_ord").join(hits.select(*KEY), KEY, "left_semi")
 
 
-def report_lines(meta: DataFrame, hits: DataFrame) -> DataFrame:
-    """query_id, line, json: line -1 is the meta object, then one line per hit in pool order."""
-    head = meta.select("query_id", F.lit(-1).cast("bigint").alias("line"), F.to_json(F.struct(
-        *[c for c in meta.columns if c != "query_id"])).alias("json"))
-    return head.unionByName(hits.select("query_id", F.col("hit_ord").cast("bigint").alias("line"),
-                                        F.to_json(_hit()).alias("json")))
+def report_json(report: DataFrame, hits: DataFrame, absorbed: DataFrame) -> DataFrame:
+    """query_id, json: one object per round, its hits in pool order as ``results``."""
+    trace = _traces(absorbed, hits).groupBy(*KEY).agg(F.map_from_entries(F.array_sort(F.collect_list(
+        F.struct("url", _alternative())))).alias("trace"))
+    rows = hits.join(trace, KEY, "left").select(*KEY, _hit(F.col("trace")).alias("hit"))
+    results = rows.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("hit_ord", F.to_json("hit").alias("json")))).alias("rows"))
+    body = F.concat(F.lit("["), F.coalesce(F.array_join(F.transform("rows", lambda r: r["json"]), ","), F.lit("")), F.lit("]"))
+    head = F.regexp_replace(F.to_json(F.struct(*ENVELOPE)), r"\}$", "")
+    return report.join(results, "query_id", "left").select("query_id", F.concat(head, F.lit(',"results":'), body, F.lit("}")).alias("json"))
 
 
-def _lines(*cols: Column) -> Column:
-    return F.array_compact(F.array(*cols))
+def report_lines(report: DataFrame, hits: DataFrame, absorbed: DataFrame) -> DataFrame:
+    """query_id, line, sub, json: line -1 is the envelope, then each hit in pool order (``sub`` empty) and behind it
+    one line for each URL it absorbed (``sub`` is the URL), ``{"merged_from":{url:{...}}}`` of the hit before it."""
+    head = report.select("query_id", F.lit(-1).cast("bigint").alias("line"), F.lit("").alias("sub"), F.to_json(F.struct(*ENVELOPE)).alias("json"))
+    line = F.col("hit_ord").cast("bigint").alias("line")
+    traces = _traces(absorbed, hits).select("query_id", line, F.col("url").alias("sub"), F.to_json(F.struct(
+        F.create_map(F.col("url"), _alternative()).alias("merged_from"))).alias("json"))
+    return head.unionByName(hits.select("query_id", line, F.lit("").alias("sub"), F.to_json(_hit()).alias("json"))).unionByName(traces)
 
 
 def hit_block(number: Column) -> Column:
-    """Lines of one hit in the text report."""
-    trace = F.transform(F.array_sort(F.map_keys("merged_from")), lambda u: F.concat(
-        F.lit("    备用: "), truncate_chars(u, 70),
-        F.when(F.element_at("merged_from", u)["title"] != "", F.concat(
-            F.lit("  《"), truncate_chars(F.element_at("merged_from", u)["title"], 40), F.lit("》"))).otherwise(""),
-        F.lit("  ["), F.array_join(F.element_at("merged_from", u)["engine"], "/"), F.lit("] "),
-        F.element_at("merged_from", u)["reason"]))
-    lines = _lines(
+    """Lines of one hit; an empty line stands between hits."""
+    lines = F.array_compact(F.array(
+        F.when(number > 1, ""),
         F.concat(F.lit("["), number.cast("string"), F.lit("] "), F.col("url")),
-        F.concat(F.lit("    标题: "), truncate_chars(F.col("title"), 90)),
-        F.concat(F.lit("    命中: "), F.array_join("engine", " / "), F.lit("  "), positions_text(F.col("positions"))),
-        F.when(F.col("snippet") != "", F.concat(F.lit("    摘要: "), truncate_chars(F.col("snippet"), 120))))
-    return F.concat_ws("\n", lines, F.coalesce(trace, F.array().cast("array<string>")))
+        F.concat(_word("title"), truncate_chars(F.col("title"), 90)),
+        F.concat(_word("hit_by"), F.array_join("engine", " / "), F.lit("  "), positions_text(F.col("positions"))),
+        F.when(F.col("snippet") != "", F.concat(_word("snippet"), truncate_chars(F.col("snippet"), 120)))))
+    return F.array_join(lines, "\n")
+
+
+def alternative_line() -> Column:
+    return F.concat(
+        _word("alternative"), truncate_chars(F.col("url"), 70),
+        F.when(F.col("title") != "", F.concat(_word("quote"), truncate_chars(F.col("title"), 40), _word("quote_end"))).otherwise(""),
+        F.lit("  ["), F.array_join("engine", "/"), F.lit("] "), F.col("reason"))
 
 
 def header_block() -> Column:
-    """Lines before the hits, from the columns of the meta table."""
-    n = lambda c: F.col(c).cast("string")
-    stage = lambda name, before, after, merged: F.concat(
-        F.lit(f" | {name} "), n(before), F.lit("→"), n(after), F.lit("(合并"), n(merged), F.lit(")"))
+    """Lines before the hits, from the envelope; a round without hits says so."""
+    n = lambda c: F.col(c).cast("string")
+    stage = lambda x: F.concat(F.lit(" | "), x["stage"], F.lit(" "), x["before"].cast("string"), _word("arrow"), x["after"].cast("string"),
+                               _word("merged"), x["merged"].cast("string"), _word("merged_end"))
     return F.concat_ws(
-        "\n", F.concat(F.lit("查询: "), F.col("query")),
-        F.concat(F.lit("引擎: "), F.array_join("engines", ", ")),
-        F.concat(F.lit("耗时: "), n("elapsed_ms"), F.lit(" ms")),
-        F.concat(F.lit("候选 "), n("raw"), F.lit(" → 去重后 "), n("final"), F.lit(" → 可达 "), n("returned")),
-        F.concat(F.lit("去重: conservative 档（恒开，标题阈值 0.90）"),
-                 F.when(F.col("raw") > 1, F.concat(
-                     stage("d1_url_exact", "raw", "d1_url_exact_after", "d1_url_exact_merged"),
-                     stage("d2_judged", "d1_url_exact_after", "final", "d2_judged_merged"))).otherwise("")),
-        F.concat(F.lit("可达性预检: 探测 "), n("hosts_probed"), F.lit(" 个域名，可达 "), n("hosts_ok"),
-                 F.lit("，剔除 "), n("dropped_items"), F.lit(" 条")),
-        F.lit("=" * 78))
-
-
-def status_line() -> Column:
+        "\n", F.concat(_word("query"), F.col("query")), F.concat(_word("engines"), F.array_join("engines", ", ")),
+        F.concat(_word("elapsed"), n("elapsed_ms"), F.lit(" ms")),
+        F.concat(_word("raw"), n("dedup.raw"), _word("final"), n("dedup.final"), _word("returned"), n("stats.returned")),
+        F.concat(_word("dedup"), F.col("dedup.mode"), _word("mode"), F.format_string("%.2f", F.col("dedup.threshold")), _word("mode_end"),
+                 F.array_join(F.transform("dedup.stages", stage), "")),
+        F.concat(_word("reach"), n("reachability.hosts_probed"), _word("reach_ok"), n("reachability.hosts_ok"), _word("dropped"),
+                 n("reachability.dropped_items"), _word("dropped_end")),
+        F.lit("=" * 78), F.when(F.col("stats.returned") == 0, _word("nothing")))
+
+
+def status_line(s: Column) -> Column:
     """One engine in the status block."""
-    state = F.when(F.col("ok"), "OK").otherwise("FAIL")
     return F.concat(
-        F.format_string("  %-10s %-4s %3d 条  %5d ms", F.col("engine"), state,
-                        F.col("count").cast("bigint"), F.col("latency_ms").cast("bigint")),
-        F.when(F.col("error") != "", F.concat(F.lit("  "), truncate_chars(F.col("error"), 90))).otherwise(""))
+        F.format_string("  %-10s %-4s %3d %s  %5d ms", s["engine"], F.when(s["ok"], "OK").otherwise("FAIL"),
+                        s["count"].cast("bigint"), _word("rows"), s["latency_ms"].cast("bigint")),
+        F.coalesce(F.concat(F.lit("  "), truncate_chars(s["error"], 90)), F.lit("")))
 
 
-def report_text(meta: DataFrame, hits: DataFrame, status: DataFrame | None = None) -> DataFrame:
-    """query_id, section, line, text: header (0), hits (1), engine status (2); a hit or the header
-    is one value with line breaks inside."""
-    head = meta.select("query_id", F.lit(0).alias("section"), F.lit(0).cast("bigint").alias("line"),
-                       header_block().alias("text"))
+def report_text(report: DataFrame, hits: DataFrame, absorbed: DataFrame) -> DataFrame:
+    """query_id, section, line, sub, text: header (0), hits and the URLs they absorbed (1), engine status (2); a hit or
+    a block is one value with line breaks inside."""
+    zero, none = F.lit(0).cast("bigint").alias("line"), F.lit("").alias("sub")
+    head = report.select("query_id", F.lit(0).alias("section"), zero, none, header_block().alias("text"))
     placed = number_rows(hits, ["query_id"], "hit_ord", "__n")
-    body = placed.select("query_id", F.lit(1).alias("section"), F.col("__n").alias("line"),
-                         hit_block(F.col("__n") + 1).alias("text"))
-    out = head.unionByName(body)
-    if status is None:
-        return out
-    order = F.array_sort(F.collect_list(F.struct("engine", status_line().alias("text"))))
-    tail = status.groupBy("query_id").agg(order.alias("s")).select(
-        "query_id", F.lit(2).alias("section"), F.lit(0).cast("bigint").alias("line"),
-        F.concat_ws("\n", F.lit("-" * 78), F.lit("引擎状态:"), F.transform("s", lambda x: x["text"])).alias("text"))
-    return out.unionByName(tail)
+    body = placed.select("query_id", F.lit(1).alias("section"), F.col("__n").alias("line"), none, hit_block(F.col("__n") + 1).alias("text"))
+    traces = _traces(absorbed, hits).join(placed.select(*KEY, "__n"), KEY).select(
+        "query_id", F.lit(1).alias("section"), F.col("__n").alias("line"), F.col("url").alias("sub"), alternative_line().alias("text"))
+    tail = report.where(F.size("engine_status") > 0).select("query_id", F.lit(2).alias("section"), zero, none, F.array_join(F.concat(
+        F.when(F.col("stats.returned") > 0, F.array(F.lit(""))).otherwise(F.array().cast("array<string>")),
+        F.array(F.lit("-" * 78), _word("status")), F.transform("engine_status", status_line)), "\n").alias("text"))
+    return head.unionByName(body).unionByName(traces).unionByName(tail)
 
 
 def write_lines(lines: DataFrame, path: str, value: str, *order: str) -> None:

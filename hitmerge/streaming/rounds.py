@@ -10,7 +10,6 @@ from hitmerge import fixed_values as fv
 from hitmerge import schemas
 from hitmerge.operators.hits import pool
 from hitmerge.operators.reach import with_target
-from hitmerge.operators.status import ABANDONED
 
 STREAM_ROW = schemas.RAW_HITS + ", round_start timestamp, arrived_at timestamp"
 RAW_COLUMNS = ["query_id", "query", "engine", "ord", "rank", "title", "url", "snippet", "date", "signals"]
@@ -67,5 +66,5 @@ def closed_status(rows: DataFrame, seconds: int = fv.ROUND_DEADLINE_SECONDS,
         .select("query_id", "engine", F.col("window.start").alias("round_window"),
                 (F.col("in_time") > 0).alias("ok"),
                 F.least("in_time", F.lit(fv.PER_ENGINE_CAP)).alias("count"), "too_late",
-                F.when(F.col("in_time") == 0, ABANDONED).otherwise("").alias("error"),
+                F.when(F.col("in_time") == 0, fv.ABANDONED).otherwise("").alias("error"),
                 F.lit(None).cast("double").alias("coherence"))

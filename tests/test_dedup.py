@@ -69,8 +69,7 @@ def test_merge_keeps_everything(spark):
     assert r.hits.count() == 1 and hit["url"] == "https://x.com/a" and hit["title"] == "备用条目的长标题"
     assert hit["engine"] == ["exa", "tavily"] and hit["positions"] == {"exa": 1, "tavily": 2}
     assert (alt["url"], alt["title"], alt["engine"]) == ("https://x.com/a/", "备用条目的长标题", ["tavily", "exa"])
-    trace = dedup.merged_from_maps(r.absorbed).collect()[0]
-    assert trace["hit_ord"] == 0 and trace["merged_from"]["https://x.com/a/"]["reason"] == "d1:url_exact,same_url"
+    assert alt["reason"] == "d1:url_exact,same_url" and alt["survivor"] == 0
 
 
 def test_empty_and_single(spark):

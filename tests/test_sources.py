@@ -2,8 +2,10 @@ import json
 
 import pytest
 
+from hitmerge import fixed_values as fv
 from hitmerge import schemas
-from hitmerge.operators import dedup
+from hitmerge.operators import dedup, reach
+from hitmerge.plans import jobs
 from hitmerge.sources import landed, logs, pages, sinks
 
 
@@ -77,51 +79,79 @@ HITS = ("query_id string, hit_ord bigint, engine array<string>, positions map<st
         f"url string, date string, signals {schemas.SIGNALS}")
 
 
-def sample(spark):
-    page = "同一段正文" * 10
-    hits = spark.createDataFrame([
-        ("q", 0, ["exa"], {"exa": 2}, "标题", page, "https://x.com/a", "2024", (0.5, None, None, None, None, None)),
-        ("q", 4, ["bing"], {"bing": 1}, "标题长", page, "https://x.com/a/", None, None),
-        ("q", 9, ["bing"], {"bing": 2}, "另", "", "https://y.com/", None, None)], HITS)
+def sample(spark, more=0):
+    """A round of two pages, the first with ``more`` + 1 absorbed URLs, and a round without hits."""
+    page = "one text of the page " * 9
+    rows = [("q", 0, ["exa"], {"exa": 2}, "Mugs", page, "https://kiln.test/mug", "2024", (0.5, None, None, None, None, None)),
+            ("q", 4, ["bing"], {"bing": 1}, "Blue mugs", page, "https://kiln.test/mug/", None, None),
+            ("q", 9, ["bing"], {"bing": 2}, "Bowls", "", "https://oven.test/", None, None)]
+    rows += [("q", 10 + i, ["exa"], {"exa": 3 + i}, "Mugs", page, f"https://kiln.test/mug?utm_source={i}", None, None) for i in range(more)]
+    hits = spark.createDataFrame(rows, HITS)
     r = dedup.dedup(hits)
-    meta = dedup.dedup_stats(hits, r.owners).drop("mode", "threshold").selectExpr(
-        "*", "'q' AS query", "array('bing','exa') AS engines", "7L AS elapsed_ms", "final AS returned", "2 AS hosts_probed",
-        "2 AS hosts_ok", "0 AS dropped_items")
-    return meta, sinks.with_merged_from(r.hits, dedup.merged_from_maps(r.absorbed))
+    ask = spark.createDataFrame([("q", "blue mugs"), ("none", "nothing")], "query_id string, query string")
+    log = spark.createDataFrame([("q", "exa", True, 12, "", 1700000000), ("q", "bing", False, 3, "HTTP 503", 1700000001), ("none", "exa", True, 5, "", 1700000000)],
+                                "query_id string, engine string, ok boolean, latency_ms bigint, error string, at bigint") \
+        .selectExpr("* except (at)", "timestamp_seconds(at) AS arrived_at")
+    st = log.selectExpr("query_id", "engine", "ok", "if(ok and query_id = 'q', 1, 0) AS count", "latency_ms", "error",
+                        "cast(null as double) AS coherence", "engine = 'exa' AND query_id = 'q' AS decoy")
+    verdict = spark.createDataFrame([("kiln.test", "443", True), ("oven.test", "443", True)], schemas.HOST_VERDICT)
+    report = jobs.envelope(ask, log, st, dedup.dedup_stats(hits, r.owners), dedup.veto_histogram(hits, r.owners), dedup.pass_histogram(r.owners),
+                           reach.reach_stats(r.hits, verdict), reach.unreachable_hosts(r.hits, verdict))
+    return report, r.hits, r.absorbed
 
 
 def test_sinks(spark, tmp_path):
-    meta, traced = sample(spark)
-    report = json.loads(sinks.report_json(meta, traced).first()["json"])
-    assert [h["url"] for h in report["results"]] == ["https://x.com/a", "https://y.com/"] and "offset" not in report
-    assert report["results"][0]["merged_from"]["https://x.com/a/"] == {
-        "title": "标题长", "engine": ["bing"], "reason": "d1:url_exact,same_url"}
+    parts = sample(spark)
+    objects = {r["query_id"]: json.loads(r["json"]) for r in sinks.report_json(*parts).collect()}
+    report, empty = objects["q"], objects["none"]
+    assert list(report) == ["query", "engines", "generated_at", "elapsed_ms", "engine_status", "dedup", "reachability", "stats", "results"] == list(empty)
+    assert report["engine_status"] == [{"engine": "bing", "ok": False, "count": 0, "latency_ms": 3, "error": "HTTP 503"},
+                                       {"engine": "exa", "ok": True, "count": 1, "latency_ms": 12, "decoy": True}]
+    assert report["dedup"] == {
+        "mode": "conservative", "threshold": 0.9, "raw": 3, "final": 2, "total_merged": 1, "pass": {"same_url": 1},
+        "stages": [{"stage": "d1_url_exact", "before": 3, "after": 2, "merged": 1}, {"stage": "d2_judged", "before": 2, "after": 2, "merged": 0}]}
+    assert report["reachability"] == {"enabled": True, "hosts_probed": 2, "hosts_ok": 2, "dropped_items": 0, "kept": 2, "prefetched": 2}
+    assert report["stats"] == {"candidates": 2, "returned": 2} and empty["results"] == [] and empty["dedup"]["stages"] == []
+    assert [h["url"] for h in report["results"]] == ["https://kiln.test/mug", "https://oven.test/"]
+    assert report["results"][0]["merged_from"] == {
+        "https://kiln.test/mug/": {"title": "Blue mugs", "engine": ["bing"], "reason": "d1:url_exact,same_url"}}
     assert list(report["results"][0]["positions"]) == ["bing", "exa"] and "merged_from" not in report["results"][1]
 
-    two = sinks.report_json(meta, traced, rows_per_object=1).orderBy("part").collect()
-    assert [len(json.loads(r["json"])["results"]) for r in two] == [1, 1]
     path = str(tmp_path / "report")
-    sinks.report_json(meta, traced, rows_per_object=1).selectExpr("json AS value").write.text(path)
+    sinks.report_json(*parts).selectExpr("json AS value").write.text(path)
     back = logs.read_stored_reports(spark, path).orderBy("hit_ord").collect()
-    assert [(r["hit_ord"], r["url"], r["merged_from"]) for r in back] == [(0, "https://x.com/a", None), (1, "https://y.com/", None)]
+    assert [(r["hit_ord"], r["url"], r["merged_from"]) for r in back] == [(0, "https://kiln.test/mug", None), (1, "https://oven.test/", None)]
 
-    lines = [json.loads(r["json"]) for r in sinks.report_lines(meta, traced).orderBy("line").collect()]
-    assert lines[0]["raw"] == 3 and "results" not in lines[0] and lines[1]["date"] == "2024" and "date" not in lines[2]
-    sinks.write_lines(sinks.report_lines(meta, traced), str(tmp_path / "lines"), "json", "line")
-    assert spark.read.text(str(tmp_path / "lines")).count() == 3
+    lines = [json.loads(r["json"]) for r in sinks.report_lines(*parts).filter("query_id = 'q'").orderBy("line", "sub").collect()]
+    assert lines[0]["dedup"]["raw"] == 3 and "results" not in lines[0] and lines[1]["date"] == "2024"
+    assert lines[2] == {"merged_from": report["results"][0]["merged_from"]} and "date" not in lines[3]
+    sinks.write_lines(sinks.report_lines(*parts), str(tmp_path / "lines"), "json", "line", "sub")
+    assert spark.read.text(str(tmp_path / "lines")).count() == 5
+
+
+def test_hit_with_many_absorbed_urls(spark, tmp_path):
+    report, hits, absorbed = sample(spark, more=2499)
+    lines = sinks.report_lines(report, hits, absorbed).filter("query_id = 'q' and line >= 0").collect()
+    assert sorted(r["line"] for r in lines if r["sub"] == "") == [0, 9]
+    assert len({r["sub"] for r in lines} - {""}) == 2500 == len(lines) - 2
+    text = sinks.report_text(report, hits, absorbed).filter("query_id = 'q' and section = 1").collect()
+    assert sorted(r["line"] for r in text if r["sub"] == "") == [0, 1] and len(text) == 2502
+    sinks.report_json(report, hits, absorbed).selectExpr("json AS value").write.text(str(tmp_path / "r"))
+    assert sorted(r["url"] for r in logs.read_stored_reports(spark, str(tmp_path / "r")).collect()) == ["https://kiln.test/mug", "https://oven.test/"]
 
 
 def test_text_report(spark):
-    meta, traced = sample(spark)
-    st = spark.createDataFrame([("q", "exa", True, 1, 12, ""), ("q", "bing", False, 0, 3, "HTTP 503")],
-                               "query_id string, engine string, ok boolean, count int, latency_ms bigint, error string")
-    blocks = [r["text"] for r in sinks.report_text(meta, traced, st).orderBy("section", "line").collect()]
-    assert blocks[0].split("\n")[:4] == ["查询: q", "引擎: bing, exa", "耗时: 7 ms", "候选 3 → 去重后 2 → 可达 2"]
-    assert "d1_url_exact 3→2(合并1) | d2_judged 2→2(合并0)" in blocks[0]
-    assert blocks[1].split("\n")[0] == "[1] https://x.com/a" and "    命中: bing / exa  (bing#1, exa#2)" in blocks[1]
-    assert "    备用: https://x.com/a/  《标题长》  [bing] d1:url_exact,same_url" in blocks[1]
-    assert blocks[2] == "[2] https://y.com/\n    标题: 另\n    命中: bing  (bing#2)"
-    assert blocks[3].split("\n")[1:] == ["引擎状态:", "  bing       FAIL   0 条      3 ms  HTTP 503", "  exa        OK     1 条     12 ms"]
+    w = fv.REPORT_WORDS
+    rows = sinks.report_text(*sample(spark)).orderBy("section", "line", "sub").collect()
+    blocks = [r["text"] for r in rows if r["query_id"] == "q"]
+    assert blocks[0].split("\n")[:3] == [w["query"] + "blue mugs", w["engines"] + "bing, exa", w["elapsed"] + "1012 ms"]
+    assert f"d1_url_exact 3→2{w['merged']}1) | d2_judged 2→2{w['merged']}0)" in blocks[0] and blocks[0].endswith("=" * 78)
+    assert blocks[1].split("\n")[0] == "[1] https://kiln.test/mug" and w["hit_by"] + "bing / exa  (bing#1, exa#2)" in blocks[1]
+    assert blocks[2] == w["alternative"] + "https://kiln.test/mug/  《Blue mugs》  [bing] d1:url_exact,same_url"
+    assert blocks[3] == "\n[2] https://oven.test/\n" + w["title"] + "Bowls\n" + w["hit_by"] + "bing  (bing#2)"
+    assert blocks[4].split("\n")[2:] == [w["status"], "  bing       FAIL   0 条      3 ms  HTTP 503", "  exa        OK     1 条     12 ms"]
+    none = [r["text"] for r in rows if r["query_id"] == "none"]
+    assert none[0].endswith("\n" + w["nothing"]) and none[1].startswith("-" * 78) and len(none) == 2
 
 
 def test_item_log(spark, tmp_path):
