@@ -11,28 +11,15 @@ from hitmerge.functions.text import CJK
 
 _NO_TERMS = "array<string>"
 _OPERATOR = "(?i)^[+-]?(?:" + "|".join(fv.QUERY_OPERATORS) + "):"
+# From a token that starts with -" to the first one that ends with a quote, or to the end.
+_EXCLUDED = '(?<![^ ])-"(?:[^ ]*?"(?= |$)|.*?"(?= |$)|.*$)'
 _QUOTES = "\"'“”《》「」"
 
 
 def content_tokens(query: Column) -> Column:
     """White-space tokens without operators, booleans, exclusions and excluded phrases."""
-    tokens = F.filter(F.split(squeeze_white(query), " "), lambda t: t != "")
-    start = F.struct(F.lit(False).alias("skipping"), F.array().cast(_NO_TERMS).alias("kept"))
-
-    def step(acc: Column, tok: Column) -> Column:
-        def state(skipping: Column, kept: Column) -> Column:
-            return F.struct(skipping.alias("skipping"), kept.alias("kept"))
-
-        closes = F.endswith(tok, F.lit('"'))
-        dropped = tok.isin(fv.BOOLEAN_WORDS) | F.startswith(tok, F.lit("-")) | tok.rlike(_OPERATOR)
-        return (
-            F.when(acc["skipping"], state(~closes, acc["kept"]))
-            .when(F.startswith(tok, F.lit('-"')),
-                  state(~((F.octet_length(tok) > 2) & closes), acc["kept"]))
-            .when(dropped, state(F.lit(False), acc["kept"]))
-            .otherwise(state(F.lit(False), F.array_append(acc["kept"], tok))))
-
-    return F.aggregate(tokens, start, step, lambda acc: acc["kept"])
+    kept = F.regexp_replace(squeeze_white(query), _EXCLUDED, " ")
+    return F.filter(F.split(kept, " "), lambda t: (t != "") & ~t.isin(fv.BOOLEAN_WORDS) & ~F.startswith(t, F.lit("-")) & ~t.rlike(_OPERATOR))
 
 
 def bigrams(run: Column, start: int = 1) -> Column:

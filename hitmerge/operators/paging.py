@@ -27,7 +27,8 @@ def page_merge(rows: DataFrame, engine: str, limit: int, page_log: DataFrame | N
     if engine == "bing":
         pages = min(pages, math.ceil(limit / fv.BING_ROWS_PER_PAGE))
 
-    listed = rows.filter(F.col("page") <= pages).filter(F.col("url") != "")
+    asked = rows.filter(F.col("page") <= pages)
+    listed = asked.filter(F.col("url") != "")
     if rule["key"] == "shell":
         listed = listed.filter((trim_white(F.col("title")) != "")
                                & ~url_class(F.col("url")).isin("media", "transit")) \
@@ -42,7 +43,8 @@ def page_merge(rows: DataFrame, engine: str, limit: int, page_log: DataFrame | N
 
     stops = None
     if rule["stop_on_no_new"] or rule["stop_on_empty"]:
-        counted = first if rule["stop_on_no_new"] else listed
+        # A page of rows without links is not an empty page.
+        counted = first if rule["stop_on_no_new"] else asked
         start = 2 if rule["stop_on_no_new"] else 1
         per_page = counted.groupBy("query_id").agg(
             *[F.count_if(F.col("page") == p).alias(f"p{p}") for p in range(1, pages + 1)])

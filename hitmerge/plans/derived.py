@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from hitmerge import fixed_values as fv
 from hitmerge import schemas
+from hitmerge.functions.columns import squeeze_white
 from hitmerge.functions.urls import probe_target
 from hitmerge.operators.numbering import number_rows
 
@@ -26,12 +27,13 @@ def _engine(n: Column) -> Column:
 
 
 def page_fields(pages: DataFrame) -> DataFrame:
-    """page_id, url, query_id, title, snippet of raw pages."""
+    """page_id, url, query_id, title, snippet (the text of all paragraphs) of raw pages."""
     html = F.col("html")
+    body = F.regexp_replace(F.regexp_extract(html, "(?s)</h1>(.*?)</article>", 1), "</?b>", "")
     return pages.select(
         "page_id", "url", F.regexp_extract("url", "^https?://[^/]+/([a-z]{2})/", 1).alias("query_id"),
         F.regexp_extract(html, "<title>([^<]*)</title>", 1).alias("title"),
-        F.regexp_extract(html, "<p>(?:<b>)?([^<]{20,})", 1).alias("snippet"))
+        squeeze_white(F.regexp_replace(body, "<[^>]*>", " ")).alias("snippet"))
 
 
 def raw_hits(spark: SparkSession, sf_dir: str) -> DataFrame:

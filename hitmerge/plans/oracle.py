@@ -46,9 +46,9 @@ def jaccard(a: str, b: str) -> str:
             f"(len({a}) + len({b}) - len(list_intersect({a}, {b})))::DOUBLE END")
 
 
-PAGES = """p AS (SELECT page_id, url, regexp_extract(url, '^https?://[^/]+/([a-z]{2})/', 1) AS query_id,
- regexp_extract(html, '<title>([^<]*)</title>', 1) AS title,
- regexp_extract(html, '<p>(?:<b>)?([^<]{20,})', 1) AS snippet, html FROM pages)"""
+_BODY = squeeze("regexp_replace(regexp_replace(regexp_extract(html, '(?s)</h1>(.*?)</article>', 1), '</?b>', '', 'g'), '<[^>]*>', ' ', 'g')")
+PAGES = f"""p AS (SELECT page_id, url, regexp_extract(url, '^https?://[^/]+/([a-z]{{2}})/', 1) AS query_id,
+ regexp_extract(html, '<title>([^<]*)</title>', 1) AS title, {_BODY} AS snippet, html FROM pages)"""
 
 _QTEXT = "CASE query_id " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in QUERY_TEXTS.items()) + " ELSE '' END"
 RAW = PAGES + f""",

@@ -473,6 +473,20 @@ def near_misses(spark, sf):
     return dedup.near_misses(docs, dedup.find_owners(docs))
 
 
+@query("doc_veto_histogram", _DOC_DEDUP + """SELECT e.query_id, veto, count(*) AS n FROM e JOIN s5 ON s5.query_id = e.query_id AND s5.i = e.i
+ LEFT JOIN own ON own.query_id = e.query_id AND own.j = e.j WHERE veto IS NOT NULL AND (owner IS NULL OR owner > e.i) GROUP BY ALL""")
+def doc_veto_histogram(spark, sf):
+    docs = cut_lineage(derived.document_hits(spark, sf))
+    feats = cut_lineage(dedup.features(docs))
+    return dedup.veto_histogram(docs, dedup.find_owners(docs, feats=feats), feats=feats)
+
+
+@query("doc_pass_histogram", _DOC_DEDUP + """SELECT query_id, evidence, count(*) AS n FROM (SELECT query_id, unnest(string_split(reason, ',')) AS evidence FROM own)
+ WHERE NOT starts_with(evidence, 'd1:') GROUP BY ALL""")
+def doc_pass_histogram(spark, sf):
+    return dedup.pass_histogram(dedup.find_owners(cut_lineage(derived.document_hits(spark, sf))))
+
+
 # ---- reachability --------------------------------------------------------------------------
 _REACH = f"kt AS (SELECT query_id, url, {o.TARGET} FROM kept)"
 
@@ -737,7 +751,7 @@ _MARKUP = {
     "quark": "<div class=\"sc\" data-sc='{{\"sc\":\"ss_text\"}}'><a class=\"qk-link-wrapper\" data-openpageurl=\"{url}\"><span class=\"qk-title-text\">{title}</span>"
              "<div class=\"qk-paragraph-text\">x</div></a><a class=\"qk-link-wrapper\"><div class=\"qk-paragraph-text\">{snippet}</div></a></div>",
 }
-_PLAIN = lambda x: "replace(replace(replace(" + x + ", '&lt;', '<'), '&gt;', '>'), '&amp;', '&')"
+_PLAIN = lambda x: "replace(replace(replace(replace(replace(" + x + ", '&lt;', '<'), '&gt;', '>'), '&quot;', chr(34)), '&#x27;', chr(39)), '&amp;', '&')"
 
 
 @query("html_hits", o.with_(o.PAGES) + "SELECT page_id AS page, engine, url, " + o.squeeze(_PLAIN("title")) + " AS title, "
@@ -756,6 +770,15 @@ def html_hits(spark, sf):
     return hits.union_engines(*parts)
 
 
+@query("page_articles", o.with_(o.PAGES) + "SELECT page_id AS page, md5(" + o.squeeze(_PLAIN("regexp_extract(html, '(?s)<h1>(.*?)</h1>', 1)")) + ") AS title_md5, md5("
+       + o.squeeze(_PLAIN("snippet")) + ") AS snippet_md5 FROM p")
+def page_articles(spark, sf):
+    """The extractor over the landed pages themselves: one container, its title and all of its paragraphs."""
+    p = derived.table(spark, sf, "pages").select(F.lit("q").alias("query_id"), c("page_id").alias("page"), "html")
+    rows = page_source.html_rows(p, "page")
+    return rows.select("page", F.md5(text.squeeze_white(c("title"))).alias("title_md5"), F.md5(text.squeeze_white(c("snippet"))).alias("snippet_md5"))
+
+
 def _staged_stream(spark, sf):
     """The lists as landed rows: each engine answers a few seconds after its round started, one
     engine after the deadline."""
@@ -798,12 +821,21 @@ def stream_deadline(spark, sf):
     return _append(spark, late, "query_id string, engine string, url string")
 
 
-@query("stream_status")
+@query("stream_status", o.with_(o.RAW, "c AS (SELECT query_id, engine, count(*) AS n FROM raw GROUP BY ALL)",
+       f"eng AS (SELECT unnest({o.ENGINES}) AS engine, unnest(range(1, 10)) AS i)", "q AS (SELECT DISTINCT query_id FROM raw)") + f"""
+SELECT query_id, engine, coalesce(n, 0) > 0 AND engine <> 'serpapi' AS ok, CASE WHEN engine = 'serpapi' THEN 0 ELSE least(coalesce(n, 0), 15) END AS count,
+ CASE WHEN engine = 'serpapi' THEN coalesce(n, 0) ELSE 0 END AS too_late, CASE WHEN n > 0 AND engine <> 'serpapi' THEN i * 4000 END AS latency_ms,
+ CASE WHEN coalesce(n, 0) > 0 AND engine <> 'serpapi' THEN '' ELSE '{fv.ABANDONED}' END AS error
+ FROM q CROSS JOIN eng LEFT JOIN c USING (query_id, engine) WHERE ascii(query_id) < (SELECT max(ascii(query_id)) FROM q)""")
 def stream_status(spark, sf):
-    """Status of the rounds the watermark has closed."""
-    st = rounds.closed_status(rounds.read_rows(spark, _staged_stream(spark, sf)))
-    return _append(spark, st, "query_id string, engine string, round_window timestamp, ok boolean, count bigint, "
-                              "too_late bigint, error string, coherence double")
+    """Status of the rounds the watermark has closed, silent engines included."""
+    asked, path = _stage(spark), _staged_stream(spark, sf)
+    engines = F.explode(F.array(*[F.lit(e) for e in fv.ALL_ENGINES])).alias("engine")
+    spark.read.schema(rounds.STREAM_ROW).json(path).select("query_id", "round_start").distinct() \
+        .select("query_id", engines, "round_start").write.json(asked)
+    st = rounds.closed_status(rounds.read_rows(spark, path), spark.readStream.schema("query_id string, engine string, round_start timestamp").json(asked))
+    out = _append(spark, st, "query_id string, engine string, ok boolean, count bigint, too_late bigint, latency_ms bigint, error string")
+    return out
 
 
 # ---- whole jobs ----------------------------------------------------------------------------

@@ -27,4 +27,8 @@ HIT = (
     "struct<engine:array<string>,positions:map<string,bigint>,title:string,snippet:string,"
     f"url:string,date:string,merged_from:map<string,{ALT_REF}>,signals:{SIGNALS}>"
 )
+POOL = (
+    "query_id string, url string, engine array<string>, positions map<string,bigint>, title string, "
+    f"snippet string, date string, signals {SIGNALS}, hit_ord bigint"
+)
 REPORT = f"query string, results array<{HIT}>"

@@ -29,13 +29,23 @@ class _Node:
         return cls in (self.attrs.get("class") or "").split()
 
     def walk(self):
-        for k in self.kids:
+        """All elements below, in page order; however deep they are nested."""
+        todo = self.kids[::-1]
+        while todo:
+            k = todo.pop()
             if isinstance(k, _Node):
                 yield k
-                yield from k.walk()
+                todo += k.kids[::-1]
 
     def text(self):
-        return "".join(k if isinstance(k, str) else k.text() for k in self.kids)
+        todo, out = self.kids[::-1], []
+        while todo:
+            k = todo.pop()
+            if isinstance(k, str):
+                out.append(k)
+            else:
+                todo += k.kids[::-1]
+        return "".join(out)
 
     def first(self, test):
         return next((n for n in self.walk() if test(n)), None)
@@ -132,7 +142,18 @@ def _quark(root):
                 yield title.text(), link, _quark_snippet(a), card.attrs.get("data-sc") or ""
 
 
-_READERS = {"bing": _bing, "quark": _quark}
+def page_reader(container: str, title: str, paragraph: str):
+    """Reader of landed pages that are one hit each: the first ``container``, its first ``title`` and the text of all its
+    ``paragraph`` elements."""
+    def read(root):
+        block = root.first(lambda n: n.tag == container)
+        if block is not None:
+            head = block.first(lambda n: n.tag == title)
+            yield head.text() if head else "", "", " ".join(p.text() for p in block.all(lambda n: n.tag == paragraph)), ""
+    return read
+
+
+_READERS = {"bing": _bing, "quark": _quark, "page": page_reader("article", "h1", "p")}
 
 
 def _extractor(engine: str):

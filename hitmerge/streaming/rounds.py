@@ -31,19 +31,26 @@ def after_deadline(rows: DataFrame, seconds: int = fv.ROUND_DEADLINE_SECONDS) ->
     return rows.filter(F.col("arrived_at") > F.col("round_start") + F.expr(f"INTERVAL {seconds} SECONDS"))
 
 
-def merge_stream(rows: DataFrame, table_path: str, checkpoint: str) -> StreamingQuery:
-    """Append each micro-batch to the row table, one folder per batch, so a repeated batch replaces
-    itself. The pool is an aggregate of the table, read with ``current_pool`` at any time."""
+def merge_stream(rows: DataFrame, table_path: str, checkpoint: str, **trigger) -> StreamingQuery:
+    """Merge each micro-batch into the pools of the queries it has rows of; other queries are not touched.
+
+    Rows are kept by batch and query, so a repeated batch replaces itself, and the pools of the affected
+    queries are made anew from their rows. ``trigger`` as in ``DataStreamWriter.trigger``."""
     def store(batch: DataFrame, batch_id: int) -> None:
-        batch.select(*RAW_COLUMNS).write.mode("overwrite").parquet(f"{table_path}/batch={batch_id}")
+        spark = batch.sparkSession
+        batch.select(*RAW_COLUMNS).write.mode("overwrite").partitionBy("query_id").parquet(f"{table_path}/rows/batch={batch_id}")
+        affected = batch.select("query_id").distinct()
+        known = spark.read.schema(schemas.RAW_HITS + ", batch bigint").parquet(f"{table_path}/rows").select(*RAW_COLUMNS)
+        pool(known.join(affected, "query_id", "left_semi")).write.mode("overwrite").option("partitionOverwriteMode", "dynamic") \
+            .partitionBy("query_id").parquet(f"{table_path}/pool")
 
     return rows.writeStream.foreachBatch(store).option("checkpointLocation", checkpoint) \
-        .trigger(availableNow=True).start()
+        .trigger(**(trigger or {"availableNow": True})).start()
 
 
 def current_pool(spark: SparkSession, table_path: str) -> DataFrame:
     """Exact-URL pool over everything merged so far."""
-    return pool(spark.read.schema(schemas.RAW_HITS).parquet(table_path).select(*RAW_COLUMNS))
+    return spark.read.schema(schemas.POOL).parquet(f"{table_path}/pool")
 
 
 def new_hosts(rows: DataFrame, delay: str = "10 minutes") -> DataFrame:
@@ -53,18 +60,24 @@ def new_hosts(rows: DataFrame, delay: str = "10 minutes") -> DataFrame:
         .dropDuplicatesWithinWatermark(["host", "port"]).select("host", "port", "arrived_at")
 
 
-def closed_status(rows: DataFrame, seconds: int = fv.ROUND_DEADLINE_SECONDS,
+def closed_status(rows: DataFrame, asked: DataFrame, seconds: int = fv.ROUND_DEADLINE_SECONDS,
                   delay: str = "1 minute") -> DataFrame:
-    """Engine status of each round once the watermark has passed its deadline: rows in time (up to
-    the cap), rows too late, the error of an engine that only answered late. Coherence is not
-    judged here: a round cut by its deadline has none."""
+    """Status of every engine of a round once the watermark has passed the round's deadline: rows in time (up to
+    the cap), rows too late, latency of the last row in time, and an error for an engine that answered late or never.
+
+    ``asked`` is the stream of (query_id, engine, round_start) of the requests; it gives silent engines their row.
+    Coherence is not judged here: a round cut by its deadline has none."""
     late = F.col("arrived_at") > F.col("round_start") + F.expr(f"INTERVAL {seconds} SECONDS")
+    in_time = F.col("arrived_at").isNotNull() & ~late
+    seen = ["query_id", "engine", "round_start", "arrived_at"]
+    events = rows.select(*seen).unionByName(asked.select(*seen[:3], F.lit(None).cast("timestamp").alias("arrived_at")))
     # The round itself is the event time: it closes when later rounds have moved the watermark on.
-    return rows.withWatermark("round_start", delay) \
+    return events.withWatermark("round_start", delay) \
         .groupBy(F.window("round_start", f"{seconds} seconds"), "query_id", "engine").agg(
-            F.count_if(~late).alias("in_time"), F.count_if(late).alias("too_late")) \
+            F.count_if(in_time).alias("in_time"), F.count_if(late).alias("too_late"),
+            F.max(F.when(in_time, F.unix_millis("arrived_at") - F.unix_millis("round_start"))).alias("latency_ms")) \
         .select("query_id", "engine", F.col("window.start").alias("round_window"),
                 (F.col("in_time") > 0).alias("ok"),
-                F.least("in_time", F.lit(fv.PER_ENGINE_CAP)).alias("count"), "too_late",
+                F.least("in_time", F.lit(fv.PER_ENGINE_CAP)).alias("count"), "too_late", "latency_ms",
                 F.when(F.col("in_time") == 0, fv.ABANDONED).otherwise("").alias("error"),
                 F.lit(None).cast("double").alias("coherence"))
