@@ -510,25 +510,33 @@ def _met(rows: DataFrame, levels: dict[str, tuple[Column, list[str]]]) -> DataFr
 
 
 def _similar_numbers(rows: DataFrame) -> DataFrame:
-    """Per query the encounters within one section whose number sets overlap enough. Partners must
-    share one of their rarest numbers, so a common year or port does not pair everything."""
-    place = [F.col("site"), F.col("head_key")]
-    keyed = rows.filter(_placed() & (F.size("nums") > 0))
-    narrow = None
-    for label, text in (("title", "tkey"), ("snippet", "shash")):
-        part = _rare(keyed.filter(F.col(text) != ""), F.col("nums"), fv.NUMBERS_MIN, label, *place, F.col(text))
-        narrow = part if narrow is None else narrow.unionByName(part)
-    info = rows.select(Q, POS, "limit", "owner", F.struct(
-        "site", "head_key", "tkey", "shash", "nums").alias("f"))
-    entries = narrow.join(info, [Q, POS])
-    left = entries.filter(F.col("owner").isNull()).select(Q, "bucket", F.col(POS).alias("i"), F.col("f").alias("a"))
-    right = entries.select(Q, "bucket", F.col(POS).alias("j"), "limit", F.col("f").alias("b"))
-    a, b = F.col("a"), F.col("b")
-    meets = left.join(right, [Q, "bucket"]).filter(F.col("i") < F.col("limit")) \
-        .filter((a["site"] == b["site"]) & (a["head_key"] == b["head_key"])
-                & (_same(a, b, "tkey") | _same(a, b, "shash"))
-                & (number_overlap(a["nums"], b["nums"]) >= fv.NUMBERS_MIN))
-    return meets.select(Q, "i", "j").distinct().groupBy(Q).agg(F.count(F.lit(1)).alias("similar"))
+    """Per query the encounters within one section whose number sets overlap enough.
+
+    Only distinct number sets of a (section, title or snippet) are compared, those that share one of their
+    rarest numbers; the rows behind two similar sets are counted by running counts, never paired."""
+    tags = []
+    for sign, kind, text in ((1, "t", ["tkey"]), (1, "s", ["shash"]), (-1, "ts", ["tkey", "shash"])):
+        filled = F.lit(True)
+        for c in text:
+            filled = filled & (F.col(c) != "")
+        tags.append(F.when(filled, F.struct(F.lit(sign).alias("sign"), F.md5(F.concat_ws(
+            "\u0001", F.lit(kind), *text, "site", "head_key")).alias("scope"))))
+    tagged = rows.filter(_placed() & (F.size("nums") > 0)) \
+        .select(Q, POS, "limit", "owner", F.array_sort("nums").alias("nums"), F.explode(F.array_compact(F.array(*tags))).alias("k")) \
+        .select(Q, POS, "limit", "owner", "nums", "k.sign", "k.scope").withColumn("set", F.xxhash64("scope", "nums"))
+    sets = cut_lineage(tagged.select(Q, "scope", "set", "nums").distinct())
+    rare = _rare(sets.withColumnRenamed("set", POS), F.col("nums"), fv.NUMBERS_MIN, "numbers", F.col("scope"))
+    met = rare.withColumnRenamed(POS, "mine").join(rare.withColumnRenamed(POS, "theirs"), [Q, "bucket"]) \
+        .filter("mine <> theirs").select(Q, "mine", "theirs").distinct()
+    side = lambda name: sets.select(Q, F.col("set").alias(name), F.col("nums").alias(f"n_{name}"), F.col("scope").alias(f"s_{name}"))
+    near = met.join(side("mine"), [Q, "mine"]).join(side("theirs"), [Q, "theirs"]) \
+        .filter((F.col("s_mine") == F.col("s_theirs")) & (number_overlap(F.col("n_mine"), F.col("n_theirs")) >= fv.NUMBERS_MIN))
+    pairs = near.select(Q, "mine", "theirs").unionByName(sets.select(Q, F.col("set").alias("mine"), F.col("set").alias("theirs")))
+    probes = tagged.withColumnRenamed("set", "theirs").join(pairs, [Q, "theirs"]).select(
+        Q, "sign", F.col("mine").alias("set"), F.col("limit").alias("x"), F.lit(0).alias("mark"))
+    counted = tagged.filter(F.col("owner").isNull()).select(Q, "sign", "set", F.col(POS).alias("x"), F.lit(1).alias("mark"))
+    return count_before(probes.unionByName(counted), [Q, "sign", "set"]).groupBy(Q).agg(
+        F.sum(F.col("sign") * F.col("before")).alias("similar"))
 
 
 def veto_histogram(hits: DataFrame, owners: DataFrame, mode: str = "default", feats: DataFrame | None = None) -> DataFrame:
@@ -580,16 +588,14 @@ def near_misses(hits: DataFrame, owners: DataFrame, mode: str = "default",
     less than ``gap``: query_id, i, j, gap. Only rows sharing a rare shingle are compared."""
     rows = cut_lineage(_visible(features(hits, mode), owners))
     texts = snippet_texts(hits)
-    info = rows.select(Q, POS, "limit", "owner", _pack().alias("f"))
-    entries = _fine_buckets(rows, texts, gap).distinct().join(info, [Q, POS])
-    left = entries.filter(F.col("owner").isNull()).select(
-        Q, "bucket", F.col(POS).alias("i"), F.col("f").alias("a"))
-    right = entries.select(Q, "bucket", F.col(POS).alias("j"), "limit", F.col("f").alias("b"))
+    entries = _fine_buckets(rows, texts, gap).distinct().join(rows.select(Q, POS, "limit", "owner"), [Q, POS])
+    left = entries.filter(F.col("owner").isNull()).select(Q, "bucket", F.col(POS).alias("i"))
+    right = entries.select(Q, "bucket", F.col(POS).alias("j"), "limit")
+    met = left.join(right, [Q, "bucket"]).filter(F.col("i") < F.col("limit")).select(Q, "i", "j").distinct()
     a, b = F.col("a"), F.col("b")
     r = relation(a, b)
-    open_pairs = left.join(right, [Q, "bucket"]).filter(F.col("i") < F.col("limit")) \
-        .filter((r["same_title"] | r["same_snippet"]) & veto(r).isNull()) \
-        .groupBy(Q, "i", "j").agg(F.first("a").alias("a"), F.first("b").alias("b"))
+    open_pairs = _attached(met, rows.select(Q, POS, _pack().alias("f"))) \
+        .filter((r["same_title"] | r["same_snippet"]) & veto(r).isNull())
     scored = open_pairs.select(
         Q, "i", "j", r["host_same"].alias("host_same"), (fv.TITLE_MIN - title_similarity(a, b)).alias("t"),
         (fv.URL_MIN - url_similarity(a, b)).alias("u")).filter(F.col("t") < gap)

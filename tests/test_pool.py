@@ -120,3 +120,9 @@ def test_status(spark):
 def test_requested_limit(spark):
     d = spark.createDataFrame([("exa", 500), ("metaso", 500), ("bing", 0), ("tavily", 30)], "e string, n int")
     assert [r[0] for r in d.select(hits.requested_limit(F.col("n"), F.col("e"))).collect()] == [100, 500, 1, 20]
+
+
+def test_page_of_rows_without_links_is_not_empty(spark):
+    items = [(1, "a", "u1"), (2, "b", ""), (3, "c", "u3")]
+    assert [r[1] for r in listed(paging.page_merge(pages(spark, items), "serpapi", 30))] == ["u1", "u3"]
+    assert [r[1] for r in listed(paging.page_merge(pages(spark, [items[0], items[2]]), "serpapi", 30))] == ["u1"]

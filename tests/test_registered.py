@@ -6,11 +6,11 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
-from hitmerge.streaming import rounds
+from hitmerge import fixed_values as fv
 
 SF = "/root/testdata/sf0.001"
 FEW = ["exact_url_merge", "page_merge", "dedup_hits", "search_round", "sub_domain", "html_hits", "stream_merge",
-       "stream_new_hosts", "stream_deadline", "flip_audit"]
+       "stream_new_hosts", "stream_deadline", "stream_status", "report_json", "report_header", "page_articles", "flip_audit"]
 here = pytest.mark.skipif(not os.path.isdir(SF), reason="no data folder")
 
 
@@ -45,10 +45,11 @@ def test_entry(spark):
 
 @here
 def test_closed_rounds(spark):
+    """Every engine of a closed round has its row."""
     st = entry.queries()["stream_status"](spark, SF).collect()
-    assert st and all(r["coherence"] is None for r in st)
-    late = [r for r in st if r["engine"] == "serpapi"]
-    assert all(not r["ok"] and r["count"] == 0 and r["error"] == rounds.ABANDONED for r in late)
+    per_round = {q: sorted(r["engine"] for r in st if r["query_id"] == q) for q in {r["query_id"] for r in st}}
+    assert per_round and all(e == fv.ALL_ENGINES for e in per_round.values())
+    assert all(not r["ok"] and r["count"] == 0 and r["error"] == fv.ABANDONED for r in st if r["engine"] == "serpapi")
 
 
 def test_names():

@@ -159,3 +159,11 @@ def test_item_log(spark, tmp_path):
     logs.write_item_log(raw, str(tmp_path / "log"))
     r = logs.read_item_log(spark, str(tmp_path / "log")).first()
     assert (r["engine"], r["query"], r["rank"], r["snippet"], r["signals"]["source"]) == ("exa", "text", 1, "s\nx", "src")
+
+
+def test_deeply_nested_page(spark):
+    deep = "<article><h1>Mug</h1>" + "<div>" * 5000 + "<p>blue</p>" + "</div>" * 5000 + "<p>red <b>and</b> green</article>"
+    bing = "<ol>" + "<span>" * 5000 + '<li class="b_algo"><h2><a href="https://kiln.test/">Kiln</a></h2><p>wares</p></li></ol>'
+    df = spark.createDataFrame([("q", 1, deep), ("q", 2, bing), ("q", 3, None)], "query_id string, page bigint, html string")
+    assert [(r["page"], r["title"], r["snippet"]) for r in pages.html_rows(df, "page").collect()] == [(1, "Mug", "blue red and green")]
+    assert [(r["url"], r["snippet"]) for r in pages.html_rows(df, "bing").collect()] == [("https://kiln.test/", "wares")]
