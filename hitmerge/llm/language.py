@@ -9,11 +9,11 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-
+from hitmerge.llm.texts import by_bytes
 
 UNKNOWN = "und"
 _EVEN = np.uint64(0x9E3779B97F4A7C15)
@@ -138,12 +138,13 @@ def fit(labelled: DataFrame, sample: int = 1200, sizes: tuple = (1, 2, 3, 4), sp
                  np.maximum(right - 0.5, 0.01) / np.maximum(right - 0.5, 0.01).sum() * len(right), sizes)
 
 
-def identify(hits: DataFrame, model: Model, doubt: float = 0.6, batch_chars: int = 1 << 20, carry: tuple = ()) -> DataFrame:
+def identify(hits: DataFrame, model: Model, doubt: float = 0.6, batch_bytes: int = 1 << 17, carry: tuple = ()) -> DataFrame:
     """Language of every whole snippet.
 
     :param hits: ``hit_ord``, ``snippet``; other columns are not read, whatever their names
     :param model: from ``fit``
     :param doubt: a text with a lower score is flagged
+    :param batch_bytes: texts decoded at a time; each byte takes some 300 bytes of a task's memory
     :param carry: columns of ``hits`` to return as well
     :return: one row per row of ``hits`` with ``hit_ord``, ``locale``, ``score`` (0 to 1; share of the best
         codeword against the next) and ``ambiguous``. A snippet that is null or has no letter, and every
@@ -155,18 +156,18 @@ def identify(hits: DataFrame, model: Model, doubt: float = 0.6, batch_chars: int
     def run(batches):
         m = shared.value
         for b in batches:
-            best, score = np.full(len(b), -1), np.zeros(len(b))
-            clear = np.flatnonzero([bool(m.languages) and isinstance(t, str) and any(map(str.isalpha, t)) for t in b["snippet"]])
-            texts = b["snippet"].to_numpy()[clear]
-            ends = np.cumsum([len(t) for t in texts])
-            cuts = np.unique(np.searchsorted(ends, np.arange(0, ends[-1] + batch_chars, batch_chars), "right")) if len(texts) else []
-            for lo, hi in zip([0, *cuts], [*cuts, len(texts)], strict=True):
-                if hi > lo:
-                    best[clear[lo:hi]], score[clear[lo:hi]] = m.decode(texts[lo:hi].tolist())
-            yield pd.DataFrame({
-                "hit_ord": b["hit_ord"], "locale": [m.languages[i] if i >= 0 else UNKNOWN for i in best], "score": score,
-                "ambiguous": score < doubt, **{c: b[c] for c in carry}})
+            best, score, at = np.full(b.num_rows, -1), np.zeros(b.num_rows), 0
+            for texts in by_bytes(b.column("snippet"), batch_bytes):
+                clear = [i for i, t in enumerate(texts) if m.languages and t is not None and any(map(str.isalpha, t))]
+                if clear:
+                    rows = at + np.array(clear)
+                    best[rows], score[rows] = m.decode([texts[i] for i in clear])
+                at += len(texts)
+            names = pa.array([m.languages[i] if i >= 0 else UNKNOWN for i in best], pa.string())
+            yield pa.RecordBatch.from_arrays(
+                [b.column("hit_ord"), names, pa.array(score), pa.array(score < doubt), *(b.column(c) for c in carry)],
+                ["hit_ord", "locale", "score", "ambiguous", *carry])
 
     rows = hits.select(F.col("hit_ord").cast("long").alias("hit_ord"), "snippet", *[c for c in carry if c != "snippet"])
     kinds = "".join(f", `{c}` {rows.schema[c].dataType.simpleString()}" for c in carry)
-    return rows.mapInPandas(run, "hit_ord long, locale string, score double, ambiguous boolean" + kinds)
+    return rows.mapInArrow(run, "hit_ord long, locale string, score double, ambiguous boolean" + kinds)

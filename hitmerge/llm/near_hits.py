@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from hitmerge.operators.components import components
-from hitmerge.llm.texts import mix, shingle_hashes
+from hitmerge.llm.texts import mix, shingle_hashes, small
 from hitmerge.session import cut_lineage
 
 SMALL = 8         # hits of a word that meet as pairs of names; larger groups are compared in tiles
@@ -86,11 +86,14 @@ def _similar(percent: int, both, a, b):
 
 def _name(words):
     def run(batches):
-        for batch in batches:
-            sets = [_set(t, words) for t in batch.column("snippet").to_pylist()]
+        for batch in small(batches):
+            size, name = [], []
+            for t in batch.column("snippet").to_pylist():
+                s = _set(t, words)
+                size.append(s.size)
+                name.append(_digest(s) if s.size else None)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("hit_ord"), pa.array([s.size for s in sets], pa.int64()),
-                 pa.array([_digest(s) if s.size else None for s in sets], pa.int64())], ["hit_ord", "n_shingles", "name"])
+                [batch.column("hit_ord"), pa.array(size, pa.int64()), pa.array(name, pa.int64())], ["hit_ord", "n_shingles", "name"])
     return run
 
 
@@ -98,7 +101,7 @@ def _deal(words, percent, parts):
     """Keys of a batch, packed for each part that will sort them."""
     def run(batches):
         sketch = Sketch(percent)
-        for batch in batches:
+        for batch in small(batches):
             keys, names, seen = [], [], set()
             for t in batch.column("snippet").to_pylist():
                 s = _set(t, words)
@@ -151,7 +154,7 @@ def _meet(batches):
 
 def _sets(words):
     def run(batches):
-        for batch in batches:
+        for batch in small(batches):
             yield pa.RecordBatch.from_arrays(
                 [batch.column("name"), pa.array([_set(t, words).tobytes() for t in batch.column("snippet").to_pylist()], pa.binary())],
                 ["name", "shingles"])

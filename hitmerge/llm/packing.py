@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from hitmerge.llm.texts import by_bytes
+from hitmerge.llm.texts import by_bytes, small
 from hitmerge.llm.tokens import encode, encoder
 from hitmerge.session import cut_lineage
 
@@ -108,7 +108,7 @@ def _cut(vocabulary, pattern, special, end, capacity, batch_bytes, piece_chars):
     """Pieces of each snippet: where its ids are cut, and the CRC of the ids of each piece."""
     def run(batches):
         enc = encoder(vocabulary, pattern, special)
-        for b in batches:
+        for b in small(batches):
             keys, at = b.column("hit_ord").to_pylist(), 0
             out: list = [[], [], [], [], []]
             for part in by_bytes(b.column("snippet"), batch_bytes):

@@ -13,7 +13,7 @@ SPACE = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
 
 _MEMORY: dict[bytes, int] = {}
-_MEMORY_ROWS = 400_000
+_MEMORY_ROWS = 200_000
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _MUL = np.uint64(0xBF58476D1CE4E5B9)
 
@@ -68,3 +68,17 @@ def by_bytes(column: pa.Array, limit: int) -> Iterator[list]:
             start, held = i, 0
         held += n
     yield column.slice(start).to_pylist()
+
+
+def small(batches: Iterator[pa.RecordBatch], column: str = "snippet", limit: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    """The batches cut so that none has more than ``limit`` bytes of text; a longer text stands alone. Python objects are
+    then made of a few megabytes at a time, whatever the size of the batches."""
+    for b in batches:
+        size = np.asarray(pc.fill_null(pc.binary_length(b.column(column)), 0), dtype=np.int64)
+        start, held = 0, 0
+        for i, n in enumerate(size.tolist()):
+            if i > start and held + n > limit:
+                yield b.slice(start, i - start)
+                start, held = i, 0
+            held += n
+        yield b.slice(start)
