@@ -115,6 +115,24 @@ def test_repeated_passages_nearly(spark):
     assert repeated_passages(spark.createDataFrame([], HITS)).collect() == []
 
 
+def test_repeated_passages_of_late_hits_within_a_common_line(spark):
+    """All hits have one line; two late ones share a passage that is mostly that line, others nearly so."""
+    rng = random.Random(21)
+    line = words(rng, 40)
+    rows = [(i, " ".join(words(rng, 60) + line + words(rng, 60))) for i in range(60)]
+    want = set()
+    for n in range(6):
+        tail = words(rng, 14 + n)
+        other = list(tail)
+        if n % 2:
+            other[-3] = "edit"                          # near, not word by word
+        for i, t in ((100 + n, tail), (200 + n, other)):
+            rows.append((i, " ".join(words(rng, 60) + line + t + words(rng, 60))))
+        want.add((200 + n, 100 + n))
+    got = repeated_passages(spark.createDataFrame(rows, HITS)).collect()
+    assert {(r["hit_ord"], r["first_ord"]) for r in got} == want
+
+
 def test_near_vectors_against_all_pairs(spark):
     rng = random.Random(1)
     rows = []
