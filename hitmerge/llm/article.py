@@ -1,9 +1,10 @@
 """Main text of landed pages by the distribution of text over line blocks.
 
 The page is cut into blocks at block-level tags. What cannot be part of an article by its element or
-its name (menus, scripts, forms, adverts, comments, ...) holds no text. Sums of text lengths over
-sliding windows of blocks then show where the text surges and where it dives, and the blocks between are
-the article. Where the page itself marks its article, the window runs inside that mark."""
+its name (menus, scripts, forms, adverts, comments, ...) holds no text; a name does not count where it
+would hide the densest text of the page. Sums of text lengths over sliding windows of blocks then show where
+the text surges and where it dives, and the blocks between are the article. Where the page itself marks an
+article, and the marked blocks hold the fullest window, surge and dive are sought inside the marks."""
 
 from __future__ import annotations
 
@@ -37,42 +38,52 @@ RAW = re.compile(r"(?i)<(script|style|textarea|title|noscript|iframe)\b(?:[^>\"'
 SPACE = re.compile(r"\s+")
 
 
-def _aside(tag: str, attributes: str) -> bool:
+def _named(value: str) -> bool:
+    return NAMED.search(value) is not None
+
+
+def _aside(tag: str, attributes: str) -> tuple[bool, bool]:
+    """Whether an element holds no text, and whether only its name says so."""
     if tag in NO_TEXT or tag in AROUND:
-        return True
-    if not attributes.strip() or tag in ("html", "body", "article", "main"):
-        return False
+        return True, False
+    if not attributes.strip() or tag in ("html", "body"):
+        return False, False
+    named = False
     for name, *values in ATTRIBUTE.findall(attributes):
         value = "".join(values)
         if name.lower() == "hidden" and not value.lower() == "until-found" or name.lower() == "aria-hidden" and value.lower() == "true":
-            return True
-        if name.lower() in ("class", "id", "role") and NAMED.search(value):
-            return True
-    return False
+            return True, False
+        named = named or name.lower() in ("class", "id", "role") and _named(value)
+    return named, named
 
 
-def blocks(body: str) -> list[tuple[str, bool, int]]:
-    """(text, inside an article mark, characters of links) of each block of a page, in page order."""
-    out: list[tuple[str, bool, int]] = []
+def blocks(body: str) -> tuple[list[tuple[str, int, int, int]], list[int]]:
+    """(text, outermost article mark, characters of links, innermost named element) of each block of a page, in page order,
+    and for each named element the next one around it; -1: none."""
+    out: list[tuple[str, int, int, int]] = []
+    around: list[int] = []
     text: list[str] = []
-    open_: list[tuple[str, bool, bool]] = []            # tag, hides its text, marks the article
-    hidden = marked = links = linked = 0
+    open_: list[tuple[str, bool, bool, bool]] = []      # tag, hides its text, marks the article, hides it by name
+    hidden = marked = links = linked = marks_seen = 0
+    name = -1
 
     def flush():
         nonlocal links
         line = SPACE.sub(" ", unescape("".join(text))).strip()
         if line:
-            out.append((line, marked > 0, links))
+            out.append((line, marks_seen if marked else -1, links, name))
         text.clear()
         links = 0
 
     def close(upto: int):
-        nonlocal hidden, marked, linked
+        nonlocal hidden, marked, linked, name
         while len(open_) > upto:
-            tag, hides, marks = open_.pop()
-            if tag in BLOCK:
+            tag, hides, marks, names = open_.pop()
+            if tag in BLOCK or names:
                 flush()
             hidden, marked, linked = hidden - hides, marked - marks, linked - (tag == "a")
+            if names:
+                name = around[name]
 
     def say(piece: str):
         nonlocal links
@@ -114,38 +125,100 @@ def blocks(body: str) -> list[tuple[str, bool, int]]:
                             break
             if tag in VOID or attributes.rstrip().endswith("/") and tag not in BLOCK:
                 continue
-            hides, marks = _aside(tag, attributes), tag in ("article", "main")
-            open_.append((tag, hides, marks))
+            aside, names = _aside(tag, attributes)
+            hides, marks = aside and not names, tag in ("article", "main") and not aside
+            open_.append((tag, hides, marks, names))
+            if names:
+                flush()
+                around.append(name)
+                name = len(around) - 1
+            marks_seen += marks and not marked
             hidden, marked, linked = hidden + hides, marked + marks, linked + (tag == "a")
     say(body[at:])
     close(0)
     flush()
-    return out
+    return out, around
+
+
+def _fullest(own: np.ndarray, window: int) -> np.ndarray:
+    return np.convolve(own, np.ones(window, np.int64))[(window - 1) // 2:][:own.size]
+
+
+def _visible(found: list, around: list[int], own: np.ndarray, window: int) -> np.ndarray:
+    """Blocks that no name hides. A name does not count where it hides the fullest window (of the marked blocks, if
+    there are any) and the page has no window half as full without it."""
+    name = np.array([b[3] for b in found])
+    mark = np.array([b[1] >= 0 for b in found])
+    asked = own * mark if (own * mark).any() else own
+    shown: set[int] = set()
+    while True:
+        top: list[int] = []                             # outermost element that hides the blocks of each
+        for n, outer in enumerate(around):
+            above = top[outer] if outer >= 0 else -1
+            top.append(above if above >= 0 else -1 if n in shown else n)
+        hider = np.array([*top, -1])[name]
+        seen = hider < 0
+        if seen.all():
+            return seen
+        # The blocks of an element stand together.
+        cut = np.flatnonzero(np.diff(hider)) + 1
+        most, best = max((int(_fullest(asked[x], window).max()), int(hider[x[0]])) for x in np.split(np.arange(own.size), cut) if hider[x[0]] >= 0)
+        if most <= 2 * _fullest(own * seen, window).max():
+            return seen
+        shown.add(best)
 
 
 def article(body: str | None, window: int = 3, surge: int = 80) -> list[str]:
     """Blocks of the article, between the first surge and the last dive of text.
 
     Each window sums the text of ``window`` blocks, without links. Text surges where a window reaches
-    ``surge`` characters, or half of the fullest window if that is less, and dives where it falls below. In a
-    marked article every block belongs to it: headline, short lines and all."""
-    found = blocks(body) if body else []
-    if any(marked for _, marked, _ in found):
-        return [t for t, marked, _ in found if marked]
+    ``surge`` characters, or half of the fullest window if that is less, and dives where it falls below. If the
+    blocks that the page marks as article hold the fullest window, each mark with a surge is an article from its
+    first to its last block: headline, short lines and all, but for lists of links before the surge and after the dive."""
+    found, around = blocks(body) if body else ([], [])
     if not found:
         return []
-    own = np.array([len(t) - min(links, len(t)) for t, _, links in found])
-    total = np.convolve(own, np.ones(window, np.int64), "same")[:own.size]
-    level = min(surge, total.max() / 2)
+    own = np.array([len(t) - min(links, len(t)) for t, _, links, _ in found])
+    seen = _visible(found, around, own, window)
+    found, own = [b for b, s in zip(found, seen, strict=True) if s], own[seen]
+    if not found:
+        return []
+    mark = np.array([b[1] for b in found])
+    inside = mark >= 0
+    most = _fullest(own * inside, window).max()
+    if inside.any() and most >= _fullest(own * ~inside, window).max():
+        out: list[str] = []
+        for m in np.unique(mark[inside]):
+            at = np.flatnonzero(mark == m)
+            ends = _between(own[at], window, min(surge, most / 2))
+            if ends is None and most:
+                continue
+            first, last = ends or (0, at.size - 1)
+            link = own[at] == 0
+            # A link on its own may be a line of the article, several are a list.
+            several = link & (np.append(link[1:], False) | np.append(False, link[:-1]))
+            out += [found[i][0] for k, i in enumerate(at) if first <= k <= last or not several[k]]
+        return out
+    # Marks beside fuller text are teasers or the like: none of them is where the text begins or ends.
+    own = own * ~inside
+    ends = _between(own, window, min(surge, _fullest(own, window).max() / 2), True)
+    return [b[0] for b in found[ends[0]:ends[1] + 1]] if ends else []
+
+
+def _between(own: np.ndarray, window: int, level: float, short: bool = False) -> tuple[int, int] | None:
+    """First and last block between surge and dive, if there is text; with ``short`` also the short blocks beside them."""
+    total = _fullest(own, window)
     dense = np.flatnonzero((total >= level) & (own > 0))
     if dense.size == 0:
-        return []
+        return None
     # The surge and the dive lie at blocks, not at the windows around them that they fill.
     heavy = dense[own[dense] >= min(level / window, own.max() / 2)]
     first, last = (heavy[0], heavy[-1]) if heavy.size else (dense[0], dense[-1])
-    while first > 0 and own[first - 1] > 0 and total[first - 1] >= level:
+    while short and first > 0 and own[first - 1] > 0 and total[first - 1] >= level:
         first -= 1
-    return [t for t, _, links in found[first:last + 1] if links < len(t) or links == 0]
+    while short and last + 1 < own.size and own[last + 1] > 0 and total[last + 1] >= level:
+        last += 1
+    return int(first), int(last)
 
 
 def main_text(pages: DataFrame, window: int = 3, surge: int = 80) -> DataFrame:

@@ -133,6 +133,16 @@ def test_article():
     assert article.article("<article>a &#x41;&eacute; &nbsp;b<!-- no --> <![CDATA[c & d]]></article>") == ["a Aé b c & d"]
 
 
+def test_article_marks_are_only_a_prior():
+    text = f"<div class=content><p>{LONG}</p><p>{LONG}</p></div>"
+    cards = "<article><h3>Card</h3><p>Short teaser.</p></article>" * 3
+    comment = f"<article class=comment><p>{LONG * 3}</p></article>"
+    assert article.article(PAGE % (text + comment)) == [LONG, LONG]
+    assert article.article(PAGE % (cards + text)) == [LONG, LONG]
+    menu = "<ul><li><a href=/a>One</a><li><a href=/b>Two</a></ul>"
+    assert article.article(f"<main><h1>Head</h1>{menu}<p>{LONG}</p><p><a href=/c>Source</a></p><p>End.</p>{menu}</main>") == ["Head", LONG, "Source", "End."]
+
+
 def test_main_text(spark):
     rows = [(1, "u", PAGE % "<article><p>One<p>Two</article>", "x"), (2, None, None, "x"), (None, "u", "", None), (1, "u", "<article>again</article>", "x")]
     got = article.main_text(spark.createDataFrame(rows, "page_id long, url string, body string, snippet string")).collect()
