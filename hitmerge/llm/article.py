@@ -25,12 +25,15 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 # Elements that their own kind ends, and where that stops.
 ENDS_ITSELF = {"p": BLOCK, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr"}, "td": {"td", "th", "tr"}, "th": {"td", "th", "tr"},
                "option": {"option"}}
-# Words in a class, id or role that name parts around an article.
+# Names of parts around an article, and words that go with them: a token of a class, id or role is such a name, or several
+# of these joined by - or _. Any other word beside a name (has-sidebar, share-enabled) says something about an element that is none.
 NAMED = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|adsense|sponsor\w*|promo\w*|banner\w*|nav\w*|menu\w*|breadcrumbs?|sidebar\w*|side-bar|widget\w*|footer\w*|"
+    r"ads?|advert\w*|adsense|sponsor\w*|promo\w*|banner\w*|nav\w*|menu\w*|breadcrumbs?|sidebar\w*|side-bar|widget\w*|footer\w*|"
     r"header|masthead|topbar|comments?|commentlist|respond|replies|reply|disqus\w*|cookies?|consent|gdpr|notices?|alert|popup|modal|overlay|"
     r"newsletter|subscribe\w*|signup|login|social\w*|share|sharing|related\w*|recommend\w*|pagination|pager|toolbar|skip-link|copyright|legal|"
-    r"navigation|complementary|contentinfo|search\w*|discussion|feedback)(?=$|[\s_-])", re.I)
+    r"navigation|complementary|contentinfo|search\w*|discussion|feedback", re.I)
+BESIDE = frozenset("""area bar block blocks body bottom box button buttons card cards container form group holder icons inner item items left link
+links list main outer panel posts primary right row secondary section site slot text thread title top unit wrap wrapper""".split())
 TAG = re.compile(
     r"<!--.*?(?:-->|$)|<!\[CDATA\[(.*?)\]\]>|<[!?][^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
 ATTRIBUTE = re.compile(r"""(class|id|role|hidden|aria-hidden)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
@@ -39,7 +42,12 @@ SPACE = re.compile(r"\s+")
 
 
 def _named(value: str) -> bool:
-    return NAMED.search(value) is not None
+    for token in value.split():
+        parts = [x for x in re.split("[-_]+", token) if x and not x.isdigit()]
+        names = [bool(NAMED.fullmatch(x)) for x in parts]
+        if NAMED.fullmatch(token) or any(names) and all(n or x.lower() in BESIDE for n, x in zip(names, parts, strict=True)):
+            return True
+    return False
 
 
 def _aside(tag: str, attributes: str) -> tuple[bool, bool]:

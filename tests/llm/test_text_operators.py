@@ -143,6 +143,15 @@ def test_article_marks_are_only_a_prior():
     assert article.article(f"<main><h1>Head</h1>{menu}<p>{LONG}</p><p><a href=/c>Source</a></p><p>End.</p>{menu}</main>") == ["Head", LONG, "Source", "End."]
 
 
+def test_names_do_not_hide_the_text():
+    for wrap in ("layout has-sidebar", "no-sidebar", "page with-nav", "content legal", "post share-enabled"):
+        for inner in (f"<article><p>{LONG}</p></article>", f"<p>{LONG}</p><p>{LONG}</p>"):
+            assert set(article.article(PAGE % f'<div class="{wrap}">{inner}</div>')) == {LONG}, wrap
+    lines = f"<p>{LONG}</p><p><a href=/x>Linked line</a></p><p>{LONG}</p><p>The end.</p>"
+    assert article.article(PAGE % f"<div>{lines}</div>") == [LONG, "Linked line", LONG, "The end."]
+    assert article.article(PAGE % f'<div><p>{LONG}</p></div><div class="share-buttons"><p>Tell all of your friends about it now</p></div>') == [LONG]
+
+
 def test_main_text(spark):
     rows = [(1, "u", PAGE % "<article><p>One<p>Two</article>", "x"), (2, None, None, "x"), (None, "u", "", None), (1, "u", "<article>again</article>", "x")]
     got = article.main_text(spark.createDataFrame(rows, "page_id long, url string, body string, snippet string")).collect()
