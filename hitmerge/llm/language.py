@@ -17,6 +17,7 @@ from hitmerge.llm.texts import by_bytes
 
 UNKNOWN = "und"
 _EVEN = np.uint64(0x9E3779B97F4A7C15)
+PIECES = 8          # of a long text that is fitted on
 
 
 def codewords(languages: int, bits: int, seed: int = 7) -> np.ndarray:
@@ -91,11 +92,16 @@ def fit(labelled: DataFrame, sample: int = 1200, sizes: tuple = (1, 2, 3, 4), sp
 
     :param labelled: ``snippet``, ``locale``; rows without either are left out
     :param sample: rows fitted on, at most; about as many of each language, picked by a hash of the text
-    :param chars: characters of a sampled text that are fitted on, at most
+    :param chars: characters of a sampled text that are fitted on, at most (but for spaces between pieces); of a longer text, pieces
+        from evenly spread places
     """
+    piece, last = chars // PIECES, F.char_length("snippet") - chars // PIECES
+    spread = [F.substring("snippet", F.floor(last * i / (PIECES - 1)).cast("int") + 1, F.lit(piece)) for i in range(PIECES)]
+    some = F.when(F.char_length("snippet") <= chars, F.col("snippet")).otherwise(F.concat_ws(" ", *spread))
     rows = labelled.where("locale is not null and snippet rlike '\\\\S'") \
-        .select("locale", F.substring("snippet", 1, chars).alias("snippet"), F.xxhash64("snippet").alias("pick"))
-    held = {r["locale"]: r["n"] for r in rows.groupBy("locale").agg(F.count(F.lit(1)).alias("n")).collect()}
+        .select("locale", some.alias("snippet"), F.xxhash64("snippet").alias("pick"))
+    # Copies of a text are one example, so they count once.
+    held = {r["locale"]: r["n"] for r in rows.select("locale", "pick").distinct().groupBy("locale").agg(F.count(F.lit(1)).alias("n")).collect()}
     if not held:
         return Model([], np.zeros((0, 0)), np.zeros((space + 1, 0), np.float32), np.zeros(0), np.zeros(0), sizes)
     each = sample // len(held)

@@ -108,6 +108,17 @@ def test_language_of_held_out_texts(spark):
     assert language.identify(spark.createDataFrame([(1, "text")], HITS), none).first()["locale"] == "und"
 
 
+def test_language_examples_count_texts_not_copies(spark, monkeypatch):
+    rows = [("copied aa", "aa")] * 3000 + [(f"text aa {i}", "aa") for i in range(200)] + [(f"text bb {i}", "bb") for i in range(200)]
+    rows += [("foreign " * 500 + "own words " * 1500, "cc")]
+    taken, grams = [], language.grams
+    monkeypatch.setattr(language, "grams", lambda texts, *a: (taken.extend(texts), grams(texts, *a))[1])
+    language.fit(spark.createDataFrame(rows, "snippet string, locale string"), sample=90, space=1 << 12)
+    assert [sum(k in x for x in taken) for k in (" aa", " bb")] == [30, 30]
+    long = [x for x in taken if "foreign" in x]
+    assert len(long) == 1 and len(long[0]) <= 4007 and long[0].count("own words") > 2 * long[0].count("foreign")
+
+
 def test_codewords_differ():
     for n in range(1, 12):
         code = language.codewords(n, 8)
