@@ -158,6 +158,8 @@ def test_names_do_not_hide_the_text():
     for wrap in ("layout has-sidebar", "no-sidebar", "page with-nav", "content legal", "post share-enabled"):
         for inner in (f"<article><p>{LONG}</p></article>", f"<p>{LONG}</p><p>{LONG}</p>"):
             assert set(article.article(PAGE % f'<div class="{wrap}">{inner}</div>')) == {LONG}, wrap
+        if wrap != "content legal":
+            assert article.article(PAGE % f'<div class="{wrap}"><p>{LONG}</p></div><div><p>{LONG}</p></div>') == [LONG, LONG], wrap
     lines = f"<p>{LONG}</p><p><a href=/x>Linked line</a></p><p>{LONG}</p><p>The end.</p>"
     assert article.article(PAGE % f"<div>{lines}</div>") == [LONG, "Linked line", LONG, "The end."]
     assert article.article(PAGE % f'<div><p>{LONG}</p></div><div class="share-buttons"><p>Tell all of your friends about it now</p></div>') == [LONG]
