@@ -169,3 +169,64 @@ def op7_substring_dedup(spark, sf_dir):
     found = repeated_passages(hits(spark, sf_dir))
     return found.select(F.col("hit_ord").alias("doc_id"), "start", "n_words", F.col("first_ord").alias("first_doc_id"), "first_start",
                         "first_words", "similarity")
+
+
+@register
+def op13_conversation_repair(spark, sf_dir):
+    from hitmerge.llm.conversations import damage, repair
+
+    return repair(damage(table(spark, sf_dir, "conversations")))
+
+
+ORACLES["op13_conversation_repair"] = r"""
+WITH RECURSIVE c AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+    -- crc32: a byte is added, then eight times a bit is shifted out (-1).
+    xor(list_reduce([4294967295] || flatten(list_transform(
+        string_split(coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' '), ''),
+        lambda x: [CAST(ascii(x) AS BIGINT), -1, -1, -1, -1, -1, -1, -1, -1])),
+      lambda c, x: CASE WHEN x >= 0 THEN xor(c, x) ELSE xor(c >> 1, 3988292384 * (c & 1)) END), 4294967295) % 20 AS f FROM conversations),
+d AS (
+  SELECT conv_id, turn, CASE WHEN f = 4 THEN 'user' ELSE role END AS role,
+    CASE f WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text,
+    unnest(CASE WHEN f = 3 THEN [0, 1] ELSE [0] END) AS k FROM c WHERE f <> 0),
+o AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, k) AS i FROM d),
+q AS (
+  SELECT *, CASE WHEN NOT regexp_matches(text, '[^\x20\x09-\x0D]') THEN 'blank'
+    WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 THEN 'duplicate'
+    WHEN NOT regexp_matches(text, '[.!?][\x20\x09-\x0D]*$') THEN 'truncated' ELSE '' END AS fault,
+    substr(role, 1, 1) AS r, lag(substr(role, 1, 1)) OVER (PARTITION BY conv_id ORDER BY i) AS before FROM o),
+n AS (
+  SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'blank') AS blank,
+    count(*) FILTER (fault = 'duplicate') AS duplicate, count(*) FILTER (fault = 'truncated') AS truncated,
+    count(*) FILTER (before IS NOT NULL AND (before || r) NOT IN ('su', 'ua', 'au')) AS illegal, max(i) AS rows FROM q GROUP BY 1),
+-- State 0: nothing kept, 1: after s, 2: after u, 3: after a. A turn made to fit leads to 2, or from 2 to 3.
+made(s, t, role) AS (VALUES (0, 2, 'user'), (1, 2, 'user'), (3, 2, 'user'), (2, 3, 'assistant')),
+kept(r, s, t) AS (VALUES ('s', 0, 1), ('u', 0, 2), ('u', 1, 2), ('u', 3, 2), ('a', 2, 3)),
+more AS (
+  SELECT s, s AS t, 0 AS cost, '' AS audit, CAST([] AS VARCHAR[]) AS lines FROM made
+  UNION ALL SELECT s, t, 3, 'I', [role || ':'] FROM made
+  UNION ALL SELECT a.s, b.t, 6, 'II', [a.role || ':', b.role || ':'] FROM made a JOIN made b ON a.t = b.s),
+walk AS (
+  SELECT conv_id, CAST(0 AS BIGINT) AS i, 0 AS s, CAST(0 AS BIGINT) AS cost, '' AS audit, CAST([] AS VARCHAR[]) AS lines FROM n
+  UNION ALL
+  SELECT conv_id, i, s, cost, audit, lines FROM (
+    SELECT w.conv_id, w.i + 1 AS i, e.t AS s, w.cost + m.cost + e.cost AS cost, w.audit || m.audit || e.letter AS audit,
+      w.lines || m.lines || e.lines AS lines,
+      row_number() OVER (PARTITION BY w.conv_id, e.t ORDER BY w.cost + m.cost + e.cost, w.audit || m.audit || e.letter) AS place
+    FROM walk w JOIN more m ON m.s = w.s JOIN q ON q.conv_id IS NOT DISTINCT FROM w.conv_id AND q.i = w.i + 1,
+      LATERAL (
+        SELECT m.t AS t, 4 AS cost, 'D' AS letter, CAST([] AS VARCHAR[]) AS lines
+        UNION ALL SELECT k.t, CASE q.fault WHEN 'truncated' THEN 3 ELSE 0 END, 'K', [q.role || ':' || q.text] FROM kept k
+          WHERE k.s = m.t AND k.r = q.r AND q.fault IN ('', 'truncated')
+        UNION ALL SELECT v.t, CASE q.fault WHEN 'truncated' THEN 6 ELSE 3 END, 'R', [v.role || ':' || q.text] FROM made v
+          WHERE v.s = m.t AND q.fault IN ('', 'truncated')) e) WHERE place = 1),
+best AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY cost, audit) AS place FROM (
+    SELECT w.conv_id, w.cost + m.cost AS cost, w.audit || m.audit AS audit, w.lines || m.lines AS lines
+    FROM walk w JOIN n ON n.conv_id IS NOT DISTINCT FROM w.conv_id AND n.rows = w.i JOIN more m ON m.s = w.s WHERE m.t IN (0, 3))),
+ids AS (SELECT DISTINCT conv_id FROM conversations)
+SELECT ids.conv_id, CAST(coalesce(n.gaps, 0) AS BIGINT) AS gaps, coalesce(n.blank, 0) AS blank, coalesce(n.duplicate, 0) AS duplicate,
+  coalesce(n.truncated, 0) AS truncated, coalesce(n.illegal, 0) AS illegal, coalesce(b.cost, 0) AS cost, coalesce(b.audit, '') AS audit,
+  sha256(coalesce(array_to_string(b.lines, chr(10)), '')) AS repaired_sha256
+FROM ids LEFT JOIN n ON n.conv_id IS NOT DISTINCT FROM ids.conv_id LEFT JOIN best b ON b.conv_id IS NOT DISTINCT FROM ids.conv_id AND b.place = 1"""

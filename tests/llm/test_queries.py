@@ -16,6 +16,8 @@ COLUMNS = {
     "op5_best_fit_packing": "doc_id piece start length ids_crc32 sequence_id offset", "op6_token_counts": "doc_id n_bytes n_tokens over_limit",
     "op7_substring_dedup": "doc_id start n_words first_doc_id", "op8_toxicity": "doc_id held_out score predicted",
     "op9_embedding_near_dedup": "vec_id n_links component_id kept",
+    "op11_quality_classifier": "doc_id held_out score predicted", "op12_ranked_search": "item_id rank doc_id score",
+    "op13_conversation_repair": "conv_id gaps blank duplicate truncated illegal cost audit repaired_sha256",
     "op10_fingerprints": "doc_id n_chars edited_sha256 fingerprint edited_fingerprint near_edited near_next",
 }
 
@@ -27,7 +29,7 @@ def same(a, b):
 @pytest.mark.parametrize("name", sorted(ORACLES))
 def test_against_sql(spark, name):
     con = duckdb.connect()
-    for t in ("documents", "embeddings"):
+    for t in ("documents", "embeddings", "benchmark", "conversations"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
     cur = con.execute(ORACLES[name])
     names = [d[0] for d in cur.description]
