@@ -230,3 +230,27 @@ SELECT ids.conv_id, CAST(coalesce(n.gaps, 0) AS BIGINT) AS gaps, coalesce(n.blan
   coalesce(n.truncated, 0) AS truncated, coalesce(n.illegal, 0) AS illegal, coalesce(b.cost, 0) AS cost, coalesce(b.audit, '') AS audit,
   sha256(coalesce(array_to_string(b.lines, chr(10)), '')) AS repaired_sha256
 FROM ids LEFT JOIN n ON n.conv_id IS NOT DISTINCT FROM ids.conv_id LEFT JOIN best b ON b.conv_id IS NOT DISTINCT FROM ids.conv_id AND b.place = 1"""
+
+
+@register
+def op12_ranked_search(spark, sf_dir):
+    from hitmerge.llm.ranking import index, search
+
+    asked = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
+    return search(index(hits(spark, sf_dir)), asked).select(F.col("query_id").alias("item_id"), "rank", F.col("hit_ord").alias("doc_id"), "score")
+
+
+_TERMS = "regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+')"
+ORACLES["op12_ranked_search"] = f"""
+WITH d AS (SELECT row_number() OVER () AS k, doc_id, {_TERMS} AS t FROM documents),
+g AS (SELECT CAST(count(*) AS BIGINT) AS hits, CAST(sum(len(t)) AS BIGINT) AS total FROM d WHERE len(t) > 0),
+m AS (SELECT k, doc_id, 75 + (25 * len(t) * hits) // total AS m FROM d, g WHERE len(t) > 0),
+b AS (SELECT row_number() OVER () AS q, item_id, {_TERMS} AS t FROM benchmark),
+i AS (SELECT q, term, count(*) AS times FROM (SELECT q, unnest(t) AS term FROM b) GROUP BY 1, 2),
+p AS (SELECT k, term, count(*) AS tf FROM (SELECT k, unnest(t) AS term FROM d) SEMI JOIN i USING (term) GROUP BY 1, 2),
+w AS (SELECT term, CAST(floor(1000 * ln((2 * hits + 2) / (2 * count(*) + 1))) AS BIGINT) AS w FROM p, g GROUP BY term, hits),
+s AS (
+  SELECT q, k, CAST(sum(times * w * ((1000000000 * tf) // (1000 * tf + 12 * m))) AS BIGINT) AS score
+  FROM i JOIN p USING (term) JOIN w USING (term) JOIN m USING (k) GROUP BY 1, 2 HAVING score > 0),
+r AS (SELECT q, doc_id, score, CAST(row_number() OVER (PARTITION BY q ORDER BY score DESC, doc_id NULLS LAST) AS INT) AS rank FROM s JOIN m USING (k))
+SELECT b.item_id, rank, doc_id, score FROM r JOIN b USING (q) WHERE rank <= 20"""
