@@ -24,7 +24,6 @@ from pyspark.sql import functions as F
 from hitmerge.llm.texts import small
 from hitmerge.session import cut_lineage
 
-TERM = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 SPAN = 256                  # hits of a block
 SHARD_HITS = 1 << 14
 SHARD_BYTES = 12 << 20
@@ -33,17 +32,22 @@ PIECE = 1 << 22             # bytes of a text that are cut into words at a time
 _FOLD = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 
 
+def _pieces(text: str | None) -> Iterator[list[bytes]]:
+    """Terms of a text in order, those of a long one a piece at a time."""
+    folded = text.encode("utf-8").translate(_FOLD) if text else b""
+    lo = 0
+    while lo < len(folded):
+        hi = folded.find(b" ", lo + PIECE)
+        hi = len(folded) if hi < 0 else hi
+        yield folded[lo:hi].split()
+        lo = hi
+
+
 def terms(text: str | None) -> Counter:
     """Terms of a text with their counts: runs of letters, digits and characters beyond ASCII, A-Z in lower case."""
     found: Counter = Counter()
-    if text:
-        folded = text.encode("utf-8").translate(_FOLD)
-        lo = 0
-        while lo < len(folded):
-            hi = folded.find(b" ", lo + PIECE)
-            hi = len(folded) if hi < 0 else hi
-            found.update(folded[lo:hi].split())
-            lo = hi
+    for piece in _pieces(text):
+        found.update(piece)
     return found
 
 
@@ -165,6 +169,13 @@ class Index:
     total: int
 
 
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Number of hits with terms, and of all their terms."""
+    for b in small(batches):
+        n = [sum(len(p) for p in _pieces(t)) for t in b.column("snippet").to_pylist()]
+        yield pa.RecordBatch.from_arrays([pa.array([sum(x > 0 for x in n)], pa.int64()), pa.array([sum(n)], pa.int64())], ["hits", "total"])
+
+
 def _build(hits: int, total: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ords, counted, held = [], [], 0
@@ -196,9 +207,9 @@ def index(hits: DataFrame) -> Index:
         list. Rows that repeat a ``hit_ord``, or have none, are hits of their own.
     """
     rows = hits.select(F.col("hit_ord").cast("long").alias("hit_ord"), "snippet")
-    n = F.regexp_count("snippet", F.lit(TERM)).cast("long")
-    held = rows.select(n.alias("n")).where("n > 0").agg(F.count(F.lit(1)), F.sum("n")).first()
-    return Index(cut_lineage(rows.mapInArrow(_build(held[0], held[1] or 1), _SHARD)), held[0], held[1] or 1)
+    held = rows.select("snippet").mapInArrow(_counted, "hits long, total long").agg(F.sum("hits"), F.sum("total")).first()
+    n, total = held[0] or 0, held[1] or 1
+    return Index(cut_lineage(rows.mapInArrow(_build(n, total), _SHARD)), n, total)
 
 
 def _opened(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
