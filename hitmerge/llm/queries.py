@@ -254,3 +254,13 @@ s AS (
   FROM i JOIN p USING (term) JOIN w USING (term) JOIN m USING (k) GROUP BY 1, 2 HAVING score > 0),
 r AS (SELECT q, doc_id, score, CAST(row_number() OVER (PARTITION BY q ORDER BY score DESC, doc_id NULLS LAST) AS INT) AS rank FROM s JOIN m USING (k))
 SELECT b.item_id, rank, doc_id, score FROM r JOIN b USING (q) WHERE rank <= 20"""
+
+
+@register
+def op11_quality_classifier(spark, sf_dir):
+    from hitmerge.llm.line_quality import fit, judge
+
+    out = F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(3)) == 1, F.lit(False)).alias("held_out")
+    judged = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("hit_ord"), (F.col("quality") == 0).alias("bad"), out).where("not held_out")
+    found = judge(hits(spark, sf_dir), fit(judged, hits(spark, sf_dir))).withColumnRenamed("hit_ord", "doc_id")
+    return found.select("doc_id", out, "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "n_lines", "bad_lines")
