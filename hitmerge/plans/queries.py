@@ -815,10 +815,40 @@ def stream_new_hosts(spark, sf):
     return _append(spark, rounds.new_hosts(rows, "2 days").select("host", "port"), "host string, port string")
 
 
+def _asked_and_rows(spark, sf):
+    """Streams of the requests (every engine of every round) and of the landed rows."""
+    asked, path = _stage(spark), _staged_stream(spark, sf)
+    engines = F.explode(F.array(*[F.lit(e) for e in fv.ALL_ENGINES])).alias("engine")
+    spark.read.schema(rounds.STREAM_ROW).json(path).select("query_id", "round_start").distinct() \
+        .select("query_id", engines, "round_start").write.json(asked)
+    return spark.readStream.schema("query_id string, engine string, round_start timestamp").json(asked), rounds.read_rows(spark, path)
+
+
+def _ledger(spark, sf):
+    table, marks = _stage(spark), _stage(spark)
+    asked, rows = _asked_and_rows(spark, sf)
+    rounds.ledger_stream(rounds.ledger(rows, asked, delay="10 seconds"), table, marks).awaitTermination()
+    return table
+
+
 @query("stream_deadline", o.with_(o.RAW) + "SELECT query_id, engine, url FROM raw WHERE engine = 'serpapi'")
 def stream_deadline(spark, sf):
-    late = rounds.after_deadline(rounds.read_rows(spark, _staged_stream(spark, sf))).select("query_id", "engine", "url")
-    return _append(spark, late, "query_id string, engine string, url string")
+    """Rows that came after the deadline of their round, kept apart by the job that also writes the status."""
+    return rounds.late_rows(spark, _ledger(spark, sf)).select("query_id", "engine", "url")
+
+
+@query("stream_round", o.with_(o.RAW, "c AS (SELECT query_id, engine, count(*) AS n FROM raw GROUP BY ALL)",
+       f"eng AS (SELECT unnest({o.ENGINES}) AS engine, unnest(range(1, 10)) AS i)",
+       "q AS (SELECT DISTINCT query_id, 600 * ascii(query_id) AS start FROM raw)",
+       "seen AS (SELECT max(start + CASE engine WHEN 'serpapi' THEN 75 ELSE i * 4 END) AS last FROM c JOIN q USING (query_id) JOIN eng USING (engine))") + f"""
+SELECT query_id, engine, CASE WHEN n IS NULL THEN 'silent' WHEN engine = 'serpapi' THEN 'late' ELSE 'ok' END AS outcome,
+ CASE WHEN engine = 'serpapi' THEN 0 ELSE least(coalesce(n, 0), 15) END AS count, CASE WHEN engine = 'serpapi' THEN coalesce(n, 0) ELSE 0 END AS too_late,
+ CASE WHEN n > 0 AND engine <> 'serpapi' THEN i * 4000 END AS latency_ms,
+ CASE WHEN n > 0 AND engine <> 'serpapi' THEN '' ELSE '{fv.ABANDONED}' END AS error
+ FROM q CROSS JOIN eng CROSS JOIN seen LEFT JOIN c USING (query_id, engine) WHERE start + 60 <= last - 10""")
+def stream_round(spark, sf):
+    """Status of every asked engine by a timer at the deadline of its round: in time, late or silent."""
+    return rounds.round_status(spark, _ledger(spark, sf)).select("query_id", "engine", "outcome", "count", "too_late", "latency_ms", "error")
 
 
 @query("stream_status", o.with_(o.RAW, "c AS (SELECT query_id, engine, count(*) AS n FROM raw GROUP BY ALL)",
@@ -829,11 +859,8 @@ SELECT query_id, engine, coalesce(n, 0) > 0 AND engine <> 'serpapi' AS ok, CASE
  FROM q CROSS JOIN eng LEFT JOIN c USING (query_id, engine) WHERE ascii(query_id) < (SELECT max(ascii(query_id)) FROM q)""")
 def stream_status(spark, sf):
     """Status of the rounds the watermark has closed, silent engines included."""
-    asked, path = _stage(spark), _staged_stream(spark, sf)
-    engines = F.explode(F.array(*[F.lit(e) for e in fv.ALL_ENGINES])).alias("engine")
-    spark.read.schema(rounds.STREAM_ROW).json(path).select("query_id", "round_start").distinct() \
-        .select("query_id", engines, "round_start").write.json(asked)
-    st = rounds.closed_status(rounds.read_rows(spark, path), spark.readStream.schema("query_id string, engine string, round_start timestamp").json(asked))
+    asked, rows = _asked_and_rows(spark, sf)
+    st = rounds.closed_status(rows, asked)
     out = _append(spark, st, "query_id string, engine string, ok boolean, count bigint, too_late bigint, latency_ms bigint, error string")
     return out
 

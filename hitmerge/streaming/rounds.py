@@ -1,4 +1,4 @@
-"""Rounds as streams of landed rows: incremental merge, deadline, status of closed rounds."""
+"""Rounds as streams of landed rows: incremental merge, deadline, status and late rows of closed rounds."""
 
 from __future__ import annotations
 
@@ -8,8 +8,9 @@ from pyspark.sql.streaming import StreamingQuery
 
 from hitmerge import fixed_values as fv
 from hitmerge import schemas
-from hitmerge.operators.hits import pool
+from hitmerge.operators.hits import drop_blank_urls, pool_order, with_rank
 from hitmerge.operators.reach import with_target
+from hitmerge.streaming.keyed import ANSWER, MERGED_HIT, MergedHit, RoundLedger, as_hits, start_keyed
 
 STREAM_ROW = schemas.RAW_HITS + ", round_start timestamp, arrived_at timestamp"
 RAW_COLUMNS = ["query_id", "query", "engine", "ord", "rank", "title", "url", "snippet", "date", "signals"]
@@ -31,26 +32,35 @@ def after_deadline(rows: DataFrame, seconds: int = fv.ROUND_DEADLINE_SECONDS) ->
     return rows.filter(F.col("arrived_at") > F.col("round_start") + F.expr(f"INTERVAL {seconds} SECONDS"))
 
 
+def merged_hits(rows: DataFrame) -> DataFrame:
+    """Stream of hits as they are made and changed by the rows of each batch, one row per changed (query, URL).
+
+    State is kept by (query, URL), a few fields per engine that names the URL: a busy query is spread over all tasks, and a
+    batch reads and writes the state of its own URLs only."""
+    flat = with_rank(drop_blank_urls(rows)).select("query_id", "url", "engine", "ord", "rank", "title", "snippet", "date", "signals.*")
+    return flat.groupBy("query_id", "url").transformWithStateInPandas(MergedHit(), MERGED_HIT, "Update", "None")
+
+
 def merge_stream(rows: DataFrame, table_path: str, checkpoint: str, **trigger) -> StreamingQuery:
-    """Merge each micro-batch into the pools of the queries it has rows of; other queries are not touched.
+    """Keep the pools of all queries up to date: each micro-batch writes the hits that it made or changed, nothing else.
 
-    Rows are kept by batch and query, so a repeated batch replaces itself, and the pools of the affected
-    queries are made anew from their rows. ``trigger`` as in ``DataStreamWriter.trigger``."""
+    A repeated batch replaces itself. ``trigger`` as in ``DataStreamWriter.trigger``."""
     def store(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        batch.select(*RAW_COLUMNS).write.mode("overwrite").partitionBy("query_id").parquet(f"{table_path}/rows/batch={batch_id}")
-        affected = batch.select("query_id").distinct()
-        known = spark.read.schema(schemas.RAW_HITS + ", batch bigint").parquet(f"{table_path}/rows").select(*RAW_COLUMNS)
-        pool(known.join(affected, "query_id", "left_semi")).write.mode("overwrite").option("partitionOverwriteMode", "dynamic") \
-            .partitionBy("query_id").parquet(f"{table_path}/pool")
+        batch.write.mode("overwrite").parquet(f"{table_path}/changes/batch={batch_id}")
+
+    return start_keyed(merged_hits(rows).writeStream.outputMode("update").foreachBatch(store), rows.sparkSession, checkpoint, **trigger)
+
 
-    return rows.writeStream.foreachBatch(store).option("checkpointLocation", checkpoint) \
-        .trigger(**(trigger or {"availableNow": True})).start()
+def current_hits(spark: SparkSession, table_path: str) -> DataFrame:
+    """Last state of every hit merged so far."""
+    changes = spark.read.schema(MERGED_HIT + ", batch bigint").parquet(f"{table_path}/changes")
+    rest = [c for c in changes.columns if c not in ("query_id", "url", "batch")]
+    return changes.groupBy("query_id", "url").agg(F.max_by(F.struct(*rest), "batch").alias("hit")).select("query_id", "url", "hit.*")
 
 
 def current_pool(spark: SparkSession, table_path: str) -> DataFrame:
     """Exact-URL pool over everything merged so far."""
-    return spark.read.schema(schemas.POOL).parquet(f"{table_path}/pool")
+    return pool_order(as_hits(current_hits(spark, table_path)))
 
 
 def new_hosts(rows: DataFrame, delay: str = "10 minutes") -> DataFrame:
@@ -81,3 +91,52 @@ def closed_status(rows: DataFrame, asked: DataFrame, seconds: int = fv.ROUND_DEA
                 F.least("in_time", F.lit(fv.PER_ENGINE_CAP)).alias("count"), "too_late", "latency_ms",
                 F.when(F.col("in_time") == 0, fv.ABANDONED).otherwise("").alias("error"),
                 F.lit(None).cast("double").alias("coherence"))
+
+
+def ledger(rows: DataFrame, asked: DataFrame, seconds: int = fv.ROUND_DEADLINE_SECONDS, delay: str = "1 minute",
+           forget: int = 3600) -> DataFrame:
+    """One stream of the outcome of rounds: a status row for each asked engine, when the watermark passes the round's deadline,
+    and every row that arrived after the deadline, as it comes.
+
+    A timer in event time closes an engine's part of a round, so silent and late engines get their row like the others, once;
+    what comes later is only a late row. Rows may come out of order by ``delay``; Spark drops older ones and counts them in its
+    progress.
+
+    :param rows: landed rows with ``round_start`` and ``arrived_at``
+    :param asked: stream of ``query_id``, ``engine``, ``round_start`` of the requests
+    :param forget: seconds after the deadline for which a closed part is remembered
+    :return: ``ANSWER`` columns; ``kind`` is status or late
+    """
+    key = ["query_id", "engine", "round_start"]
+    seen = rows.select(*key, "arrived_at", F.to_json(F.struct(*[c for c in RAW_COLUMNS if c not in key])).alias("row"))
+    gone = asked.select(*key, F.lit(None).cast("timestamp").alias("arrived_at"), F.lit(None).cast("string").alias("row"))
+    events = seen.unionByName(gone).withColumn("at", F.coalesce("arrived_at", "round_start")).withWatermark("at", delay) \
+        .withColumn("after_ms", F.unix_millis("arrived_at") - F.unix_millis("round_start")) \
+        .withColumn("deadline_ms", F.unix_millis("round_start") + seconds * 1000)
+    return events.groupBy(*key).transformWithStateInPandas(RoundLedger(seconds * 1000, forget * 1000), ANSWER, "Append", "EventTime")
+
+
+def ledger_stream(outcome: DataFrame, table_path: str, checkpoint: str, **trigger) -> StreamingQuery:
+    """Write the status rows and the late rows of ``ledger`` as two tables; a repeated batch replaces its own."""
+    def store(batch: DataFrame, batch_id: int) -> None:
+        kept = batch.persist()
+        kept.where("kind = 'status'").write.mode("overwrite").parquet(f"{table_path}/status/batch={batch_id}")
+        kept.where("kind = 'late'").write.mode("overwrite").parquet(f"{table_path}/late/batch={batch_id}")
+        kept.unpersist()
+
+    return start_keyed(outcome.writeStream.outputMode("append").foreachBatch(store), outcome.sparkSession, checkpoint, **trigger)
+
+
+def round_status(spark: SparkSession, table_path: str) -> DataFrame:
+    """Status of every asked engine of the rounds closed so far; coherence is not judged for rounds cut by their deadline."""
+    s = spark.read.schema(ANSWER).parquet(f"{table_path}/status")
+    silent = F.col("outcome") != "ok"
+    return s.select("query_id", "engine", "round_start", "outcome", (~silent).alias("ok"), F.least("in_time", F.lit(fv.PER_ENGINE_CAP)).alias("count"),
+                    "too_late", "latency_ms", F.when(silent, fv.ABANDONED).otherwise("").alias("error"), F.lit(None).cast("double").alias("coherence"))
+
+
+def late_rows(spark: SparkSession, table_path: str) -> DataFrame:
+    """Rows that came after the deadline of their round, as they were landed."""
+    s = spark.read.schema(ANSWER).parquet(f"{table_path}/late")
+    return s.withColumn("r", F.from_json("row", schemas.RAW_HITS)).select(
+        *[F.col(c) if c in ("query_id", "engine") else F.col(f"r.{c}") for c in RAW_COLUMNS], "round_start", "arrived_at")
