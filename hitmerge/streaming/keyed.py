@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter, StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
 from hitmerge import schemas
+from hitmerge.operators.hits import pack_signals
 
 _PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 _ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -26,7 +26,13 @@ ANSWER = (
 _FIRSTS = ("date", *schemas.SIGNAL_STRINGS)
 _ENTRY = ("rank bigint, ord bigint, title string, title_ord bigint, snippet string, snippet_ord bigint, "
           + ", ".join(f"{n} string, {n}_ord bigint" for n in _FIRSTS) + ", " + ", ".join(f"{n} double" for n in schemas.SIGNAL_NUMBERS))
-_FIELDS = [f.split()[0] for f in _ENTRY.split(", ")]
+
+
+def _columns(schema: str) -> list[str]:
+    return [f.split()[0] for f in schema.split(", ")]
+
+
+_FIELDS = _columns(_ENTRY)
 
 
 def start_keyed(writer: DataStreamWriter, spark: SparkSession, checkpoint: str, **trigger) -> StreamingQuery:
@@ -92,24 +98,23 @@ def merged(query_id: str, url: str, entries: dict[str, dict]) -> dict:
 
 
 class MergedHit(StatefulProcessor):
-    """Exact merge of one URL of a query: an entry per engine, whatever the number of its rows."""
+    """Exact merge of one URL of a query: an entry per engine, whatever the number of its rows; read and written once a batch."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.engines = handle.getMapState("engines", "engine string", _ENTRY)
+        self.engines = handle.getValueState("engines", f"entries array<struct<engine:string,{_ENTRY.replace(' ', ':').replace(',:', ',')}>>")
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        entries = {k[0]: dict(zip(_FIELDS, v, strict=True)) for k, v in self.engines.iterator()}
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+        held = self.engines.get()
+        entries = {e[0]: dict(zip(_FIELDS, e[1:], strict=True)) for e in held[0]} if held is not None else {}
         before = merged(*key, entries) if entries else None
-        touched: dict[str, dict] = {}
-        for part in rows:
-            for row in part.itertuples(index=False):
-                touched[row.engine] = add_sighting(touched.get(row.engine) or entries.get(row.engine), row)
-        for engine, entry in touched.items():
-            if entry != entries.get(engine):
-                self.engines.updateValue((engine,), tuple(entry[f] for f in _FIELDS))
-        now = merged(*key, {**entries, **touched})
-        if now != before:
-            yield pd.DataFrame([now])[[c.split()[0] for c in MERGED_HIT.split(", ")]]
+        now = dict(entries)
+        for row in rows:
+            now[row.engine] = add_sighting(now.get(row.engine), row)
+        if now != entries:
+            self.engines.update(([(engine, *(entry[f] for f in _FIELDS)) for engine, entry in now.items()],))
+        after = merged(*key, now)
+        if after != before:
+            yield Row(**{c: after[c] for c in _columns(MERGED_HIT)})
 
     def close(self) -> None:
         pass
@@ -117,14 +122,16 @@ class MergedHit(StatefulProcessor):
 
 def as_hits(changed: DataFrame) -> DataFrame:
     """Hits of ``MERGED_HIT`` columns in the form of the pool, without its order."""
-    from hitmerge.operators.hits import pack_signals
-
     packed = changed.select("query_id", "url", "engine", F.map_from_arrays("engine", "ranks").alias("positions"), "title", "snippet", "date",
                             F.struct(F.col("lead").alias("engine"), F.col("first_ord").alias("ord")).alias("first_seen"),
                             *[F.col(n).alias(f"__s_{n}") for n in schemas.SIGNAL_FIELDS])
     return pack_signals(packed)
 
 
+def _answer(*values) -> Row:
+    return Row(**dict(zip(_columns(ANSWER), values, strict=True)))
+
+
 class RoundLedger(StatefulProcessor):
     """One engine's part of a round: rows in time and too late until the timer at the deadline closes it."""
 
@@ -135,27 +142,26 @@ class RoundLedger(StatefulProcessor):
         self.handle = handle
         self.part = handle.getValueState("part", "asked boolean, in_time bigint, too_late bigint, last_ms bigint, closed boolean")
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
         held = self.part.get()
         asked, in_time, too_late, last, closed = held if held is not None else (False, 0, 0, None, False)
         deadline, late = None, []
-        for part in rows:
-            for row in part.itertuples(index=False):
-                deadline = int(row.deadline_ms)
-                if row.row is None:
-                    asked = True
-                elif row.after_ms <= self.limit_ms:
-                    in_time, last = in_time + 1, max(last or 0, int(row.after_ms))
-                else:
-                    too_late += 1
-                    late.append((row.arrived_at, row.row))
+        for row in rows:
+            deadline = row.deadline_ms
+            if row.row is None:
+                asked = True
+            elif row.after_ms <= self.limit_ms:
+                in_time, last = in_time + 1, max(last or 0, row.after_ms)
+            else:
+                too_late += 1
+                late.append((row.arrived_at, row.row))
         if held is None and deadline is not None:
             self.handle.registerTimer(deadline)
         self.part.update((asked, in_time, too_late, last, closed))
-        if late:
-            yield self._rows(key, "late", late)
+        for at, row in late:
+            yield _answer("late", *key, None, None, None, None, at, row)
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
         asked, in_time, too_late, last, closed = self.part.get()
         if closed:
             self.part.clear()
@@ -164,18 +170,7 @@ class RoundLedger(StatefulProcessor):
         self.handle.registerTimer(expiredTimerInfo.getExpiryTimeInMs() + self.forget_ms)
         if asked:
             outcome = "ok" if in_time else "late" if too_late else "silent"
-            yield self._rows(key, "status", [(None, None)], outcome, in_time, too_late, last)
-
-    @staticmethod
-    def _rows(key, kind, rows, outcome=None, in_time=None, too_late=None, last=None) -> pd.DataFrame:
-        query_id, engine, start = key
-        out = pd.DataFrame([(kind, query_id, engine, pd.Timestamp(start), outcome, in_time, too_late, last, at, row) for at, row in rows],
-                           columns=[c.split()[0] for c in ANSWER.split(", ")])
-        for name in ("in_time", "too_late", "latency_ms"):
-            out[name] = out[name].astype("Int64")
-        for name in ("round_start", "arrived_at"):
-            out[name] = pd.to_datetime(out[name])
-        return out
+            yield _answer("status", *key, outcome, in_time, too_late, last, None, None)
 
     def close(self) -> None:
         pass

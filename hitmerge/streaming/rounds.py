@@ -38,7 +38,7 @@ def merged_hits(rows: DataFrame) -> DataFrame:
     State is kept by (query, URL), a few fields per engine that names the URL: a busy query is spread over all tasks, and a
     batch reads and writes the state of its own URLs only."""
     flat = with_rank(drop_blank_urls(rows)).select("query_id", "url", "engine", "ord", "rank", "title", "snippet", "date", "signals.*")
-    return flat.groupBy("query_id", "url").transformWithStateInPandas(MergedHit(), MERGED_HIT, "Update", "None")
+    return flat.groupBy("query_id", "url").transformWithState(MergedHit(), MERGED_HIT, "Update", "None")
 
 
 def merge_stream(rows: DataFrame, table_path: str, checkpoint: str, **trigger) -> StreamingQuery:
@@ -113,7 +113,7 @@ def ledger(rows: DataFrame, asked: DataFrame, seconds: int = fv.ROUND_DEADLINE_S
     events = seen.unionByName(gone).withColumn("at", F.coalesce("arrived_at", "round_start")).withWatermark("at", delay) \
         .withColumn("after_ms", F.unix_millis("arrived_at") - F.unix_millis("round_start")) \
         .withColumn("deadline_ms", F.unix_millis("round_start") + seconds * 1000)
-    return events.groupBy(*key).transformWithStateInPandas(RoundLedger(seconds * 1000, forget * 1000), ANSWER, "Append", "EventTime")
+    return events.groupBy(*key).transformWithState(RoundLedger(seconds * 1000, forget * 1000), ANSWER, "Append", "EventTime")
 
 
 def ledger_stream(outcome: DataFrame, table_path: str, checkpoint: str, **trigger) -> StreamingQuery:
