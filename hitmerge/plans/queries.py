@@ -815,6 +815,20 @@ def stream_new_hosts(spark, sf):
     return _append(spark, rounds.new_hosts(rows, "2 days").select("host", "port"), "host string, port string")
 
 
+@query("stream_reach", o.with_(o.RAW, o.VERDICT, f"rt AS (SELECT *, {o.TARGET} FROM raw)", "last AS (SELECT max(ascii(query_id)) AS a FROM raw)") + """
+SELECT query_id, engine, url, coalesce(g.ok, false) AS reachable FROM rt CROSS JOIN last LEFT JOIN (SELECT * FROM v WHERE ok) g USING (host, port)
+ WHERE g.ok OR ascii(query_id) < a""")
+def stream_reach(spark, sf):
+    """Rows of all rounds with the verdicts that come in while their round runs; rows of the last round still wait for theirs."""
+    tested, path = _stage(spark), _staged_stream(spark, sf)
+    starts = spark.read.schema(rounds.STREAM_ROW).json(path).select("round_start").distinct()
+    derived.host_verdict(spark, sf).select("host", "port", "ok").crossJoin(F.broadcast(starts)).select(
+        "host", "port", "ok", (c("round_start") + F.expr("INTERVAL 30 SECONDS")).alias("tested_at")).write.json(tested)
+    verdicts = spark.readStream.schema("host string, port string, ok boolean, tested_at timestamp").json(tested)
+    out = rounds.with_verdicts(rounds.read_rows(spark, path), verdicts, delay="1 minute")
+    return _append(spark, out.select("query_id", "engine", "url", "reachable"), "query_id string, engine string, url string, reachable boolean")
+
+
 def _asked_and_rows(spark, sf):
     """Streams of the requests (every engine of every round) and of the landed rows."""
     asked, path = _stage(spark), _staged_stream(spark, sf)

@@ -70,6 +70,27 @@ def new_hosts(rows: DataFrame, delay: str = "10 minutes") -> DataFrame:
         .dropDuplicatesWithinWatermark(["host", "port"]).select("host", "port", "arrived_at")
 
 
+def with_verdicts(rows: DataFrame, verdicts: DataFrame, seconds: int = fv.ROUND_DEADLINE_SECONDS, delay: str = "1 minute") -> DataFrame:
+    """Stream of rows joined with the verdicts of their hosts as these come in: ``reachable`` is true if a good verdict of the host
+    was made up to the deadline of the row's round. Each row comes once: at once with its verdict, or without one (dropped)
+    as soon as the watermarks say that none can come in time. A row whose URL names no host has no verdict to wait for; it is
+    dropped with the others. Verdicts made before a round count for it while they are ``2 * delay`` old at most.
+
+    Rows and verdicts are kept in state only as long as they can still meet, by (host, port).
+
+    :param rows: landed rows with ``round_start`` and ``arrived_at``
+    :param verdicts: ``host``, ``port``, ``ok``, ``tested_at``; a row that several good ones meet still comes once, so rows are
+        told apart by query, engine, place, URL and round
+    """
+    good = verdicts.where("ok").withWatermark("tested_at", delay).select(F.col("host").alias("v_host"), F.col("port").alias("v_port"), "tested_at")
+    named = with_target(rows).withColumns({"host": F.coalesce("host", F.lit("")), "port": F.coalesce("port", F.lit(""))}) \
+        .withWatermark("round_start", delay)
+    meet = F.expr(f"host = v_host AND port = v_port AND tested_at >= round_start - 2 * INTERVAL {delay} "
+                  f"AND tested_at <= round_start + INTERVAL {seconds} SECONDS")
+    return named.join(good, meet, "left_outer").withColumn("reachable", F.col("v_host").isNotNull()).drop("v_host", "v_port", "tested_at") \
+        .dropDuplicates(["query_id", "engine", "ord", "url", "round_start"])
+
+
 def closed_status(rows: DataFrame, asked: DataFrame, seconds: int = fv.ROUND_DEADLINE_SECONDS,
                   delay: str = "1 minute") -> DataFrame:
     """Status of every engine of a round once the watermark has passed the round's deadline: rows in time (up to

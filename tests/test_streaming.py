@@ -121,3 +121,32 @@ def test_ledger_forgets_closed_parts(spark, folders):
         drop(folders / "in", f"{i}.json", [answer("z", "exa", i, at, start=at)])
         status, _ = run_ledger(spark, folders, delay="1 second", forget=100)
     assert status == {("a", "bing"): ("ok", 1, 0, 5000, True)}
+
+
+def test_rows_wait_for_the_verdict_of_their_host(spark, folders):
+    (folders / "verdicts").mkdir()
+    rows, verdicts = folders / "in", folders / "verdicts"
+
+    def verdict(host, ok, at):
+        return {"host": host, "port": "443", "ok": ok, "tested_at": stamp(at)}
+
+    def run():
+        v = spark.readStream.schema("host string, port string, ok boolean, tested_at timestamp").json(str(verdicts))
+        out = rounds.with_verdicts(rounds.read_rows(spark, str(rows)), v, delay="10 seconds").select("query_id", "url", "reachable")
+        out.writeStream.format("parquet").option("path", str(folders / "out")).option("checkpointLocation", str(folders / "marks")) \
+            .outputMode("append").trigger(availableNow=True).start().awaitTermination()
+        return sorted(tuple(r) for r in spark.read.schema("query_id string, url string, reachable boolean").parquet(str(folders / "out")).collect())
+
+    drop(rows, "0.json", [answer("a", "bing", 0, 3), answer("a", "exa", 0, 3), answer("a", "metaso", 0, 4), answer("a", "zzz", 0, 5) | {"url": "no address"},
+                          answer("a", "tavily", 0, 4)])
+    drop(verdicts, "0.json", [verdict("bing", True, 8), verdict("bing", True, 9), verdict("exa", False, 9)])
+    assert run() == [("a", "https://bing/0", True)]
+    # A good verdict that is late by its own time does not count; one in time that comes after its row does.
+    drop(verdicts, "1.json", [verdict("metaso", True, 61), verdict("tavily", True, 60)])
+    assert run() == [("a", "https://bing/0", True), ("a", "https://tavily/0", True)]
+    drop(rows, "1.json", [answer("b", "bing", 0, 203, start=200)])
+    drop(verdicts, "2.json", [verdict("other", True, 200)])
+    run()
+    drop(verdicts, "3.json", [verdict("other", True, 201)])
+    assert run() == [("a", "https://bing/0", True), ("a", "https://exa/0", False), ("a", "https://metaso/0", False), ("a", "https://tavily/0", True),
+                     ("a", "no address", False)]
