@@ -13,6 +13,7 @@ from hitmerge import schemas
 from hitmerge.functions import terms, text, urls
 from hitmerge.functions.columns import first_non_blank
 from hitmerge.operators import coherence, dedup, hits, paging, quality, reach, status, verticals
+from hitmerge.operators.kept_dedup import KeptDedup
 from hitmerge.plans import derived, jobs
 from hitmerge.plans import oracle as o
 from hitmerge.session import cut_lineage, ensure_checkpoint_dir
@@ -401,6 +402,17 @@ def pair_decisions(spark, sf):
     return r.owners.select("query_id", c("owner").alias("survivor"), c("pos").alias("absorbed"), "reason")
 
 
+@query("kept_decisions", o.with_(o.DEDUP) + "SELECT query_id, owner AS survivor, j AS absorbed, reason FROM own")
+def kept_decisions(spark, sf):
+    """The decisions of the whole pool, kept up to date while its rows come in two lots in no order."""
+    raw = _raw(spark, sf).withColumn("lot", F.pmod(F.xxhash64("url", "engine", "ord"), F.lit(2)))
+    kept = KeptDedup(spark, _stage(spark), parts=16)
+    for lot in range(2):
+        now = hits.exact_merge(raw.where(c("lot") <= lot).join(raw.where(c("lot") == lot).select("query_id", "url"), ["query_id", "url"], "left_semi").drop("lot"))
+        kept.add(now, lot)
+    return kept.owners().select("query_id", c("owner").alias("survivor"), c("pos").alias("absorbed"), "reason")
+
+
 @query("veto_histogram", o.with_(o.DEDUP) + """SELECT e.query_id, veto, count(*) AS n FROM e JOIN s5 ON s5.query_id = e.query_id AND s5.i = e.i
  LEFT JOIN own ON own.query_id = e.query_id AND own.j = e.j WHERE veto IS NOT NULL AND (owner IS NULL OR owner > e.i) GROUP BY ALL""")
 def veto_histogram(spark, sf):

@@ -9,7 +9,9 @@ from pyspark.sql.streaming import StreamingQuery
 from hitmerge import fixed_values as fv
 from hitmerge import schemas
 from hitmerge.operators.hits import drop_blank_urls, pool_order, with_rank
+from hitmerge.operators.kept_dedup import KeptDedup
 from hitmerge.operators.reach import with_target
+from hitmerge.session import cut_lineage
 from hitmerge.streaming.keyed import ANSWER, MERGED_HIT, MergedHit, RoundLedger, as_hits, start_keyed
 
 STREAM_ROW = schemas.RAW_HITS + ", round_start timestamp, arrived_at timestamp"
@@ -51,6 +53,16 @@ def merge_stream(rows: DataFrame, table_path: str, checkpoint: str, **trigger) -
     return start_keyed(merged_hits(rows).writeStream.outputMode("update").foreachBatch(store), rows.sparkSession, checkpoint, **trigger)
 
 
+def dedup_stream(rows: DataFrame, kept: KeptDedup, checkpoint: str, **trigger) -> StreamingQuery:
+    """Merge and deduplicate as rows come: of each micro-batch the changed hits, and the components of near copies they touch."""
+    def store(batch: DataFrame, batch_id: int) -> None:
+        changed = cut_lineage(as_hits(batch))
+        if not changed.isEmpty():
+            kept.add(changed, batch_id)
+
+    return start_keyed(merged_hits(rows).writeStream.outputMode("update").foreachBatch(store), rows.sparkSession, checkpoint, **trigger)
+
+
 def current_hits(spark: SparkSession, table_path: str) -> DataFrame:
     """Last state of every hit merged so far."""
     changes = spark.read.schema(MERGED_HIT + ", batch bigint").parquet(f"{table_path}/changes")
