@@ -43,7 +43,11 @@ def word_hashes(text: str | None) -> np.ndarray:
 
 def shingle_hashes(text: str | None, words: int) -> np.ndarray:
     """Hash of each run of ``words`` words in text order. A shorter text is one run; no word, none."""
-    h = word_hashes(text)
+    return runs(word_hashes(text), words)
+
+
+def runs(h: np.ndarray, words: int) -> np.ndarray:
+    """Hash of each run of ``words`` word hashes, as ``shingle_hashes`` has them."""
     if h.size == 0:
         return h
     k = min(words, h.size)

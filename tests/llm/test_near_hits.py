@@ -1,7 +1,9 @@
 import random
 
+import numpy as np
 import pytest
 
+from hitmerge.llm import passages
 from hitmerge.llm.near_hits import near_hits
 from hitmerge.llm.neighbours import near_vectors
 from hitmerge.llm.passages import repeated_passages, without_repeats
@@ -133,6 +135,55 @@ def test_repeated_passages_of_late_hits_within_a_common_line(spark):
     assert {(r["hit_ord"], r["first_ord"]) for r in got} == want
 
 
+def test_repeated_passages_by_joins_as_in_one_task(spark):
+    """Signatures of many hits: passages within a common line and near copies of each other, compared by joins."""
+    rng = random.Random(31)
+    line, rows, i = words(rng, 40), [], 0
+    for _ in range(30):
+        rows.append((i := i + 1, " ".join(words(rng, 50) + line + words(rng, 50))))
+    for _ in range(8):
+        tail = words(rng, 25)
+        for _ in range(4):
+            near = list(tail)
+            near[rng.randrange(25)] = f"e{rng.randrange(10 ** 6)}"
+            rows.append((i := i + 1, " ".join(words(rng, 50) + line + near + words(rng, 50))))
+    df = spark.createDataFrame(rows, HITS)
+    one = {tuple(r) for r in repeated_passages(df).collect()}
+    assert one and {tuple(r) for r in repeated_passages(df, together=3).collect()} == one
+
+
+def test_distinct_shingles_of_runs():
+    rng = np.random.default_rng(1)
+    for _ in range(50):
+        x, free = rng.integers(0, 12, 30), rng.random(30) < 0.6
+        for counts in (free, np.ones(30, bool)):
+            want = [len(set(x[i:i + 10][counts[i:i + 10]].tolist())) for i in range(21)]
+            assert passages._distinct(x, counts, 10).tolist() == want
+
+
+def jaccard(a, b, k=5):
+    p, q = shingles(" ".join(a), k), shingles(" ".join(b), k)
+    return len(p & q) / len(p | q)
+
+
+def test_recall_of_near_passages_with_the_registered_parameters(spark):
+    """Planted passages whose shingles have a Jaccard similarity of 0.80 to 0.95 by count, each in two hits."""
+    rng, rows, planted = random.Random(17), [], []
+    while len(planted) < 250:
+        base = words(rng, rng.choice([50, 60, 80, 120]))
+        near = list(base)
+        for _ in range(rng.randrange(1, 6)):
+            near[rng.randrange(len(near))] = f"e{rng.randrange(10 ** 6)}"
+        if 0.8 <= jaccard(base, near) <= 0.95:
+            i = 2 * len(planted)
+            planted.append(i)
+            rows += [(i, " ".join(words(rng, 30) + base + words(rng, 30))), (i + 1, " ".join(words(rng, 40) + near + words(rng, 20)))]
+    rows += [(10_000 + i, " ".join(words(rng, 150))) for i in range(100)]
+    got = {(r["first_ord"], r["hit_ord"]) for r in repeated_passages(spark.createDataFrame(rows, HITS)).collect()}
+    assert got <= {(i, i + 1) for i in planted}
+    assert len(got) >= 0.99 * len(planted)
+
+
 def test_near_vectors_against_all_pairs(spark):
     rng = random.Random(1)
     rows = []
