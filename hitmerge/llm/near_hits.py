@@ -66,8 +66,10 @@ class Sketch:
             return mix(inside[show] ^ mix(total[show] + mix(show.astype(np.uint64) + np.uint64(band << 40))))
 
 
-def _set(text, words):
-    return np.unique(shingle_hashes(text, words))
+def _set(text, words, pool=0):
+    """Shingles of a text; those of different pools have nothing in common."""
+    h = shingle_hashes(text, words)
+    return np.unique(mix(h ^ np.uint64(pool % (1 << 64))) if pool else h)
 
 
 def _digest(shingles: np.ndarray) -> int:
@@ -84,16 +86,22 @@ def _similar(percent: int, both, a, b):
     return 100 * both >= percent * (a + b - both)
 
 
+def _rows(batch, words):
+    """Set of each row of a batch."""
+    for t, pool in zip(batch.column("snippet").to_pylist(), batch.column("pool").to_pylist(), strict=True):
+        yield _set(t, words, pool)
+
+
 def _name(words):
     def run(batches):
         for batch in small(batches):
             size, name = [], []
-            for t in batch.column("snippet").to_pylist():
-                s = _set(t, words)
+            for s in _rows(batch, words):
                 size.append(s.size)
                 name.append(_digest(s) if s.size else None)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("hit_ord"), pa.array(size, pa.int64()), pa.array(name, pa.int64())], ["hit_ord", "n_shingles", "name"])
+            kept = [c for c in batch.schema.names if c != "snippet"]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(size, pa.int64()), pa.array(name, pa.int64())],
+                                             [*kept, "n_shingles", "name"])
     return run
 
 
@@ -103,8 +111,7 @@ def _deal(words, percent, parts):
         sketch = Sketch(percent)
         for batch in small(batches):
             keys, names, seen = [], [], set()
-            for t in batch.column("snippet").to_pylist():
-                s = _set(t, words)
+            for s in _rows(batch, words):
                 if s.size and (name := _digest(s)) not in seen:
                     seen.add(name)
                     keys.append(sketch.keys(s).view(np.int64))
@@ -153,14 +160,34 @@ def _meet(batches):
 
 
 def _sets(words):
+    """Name and shingles of each row; its own name, whatever other texts its hit has."""
     def run(batches):
         for batch in small(batches):
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("name"), pa.array([_set(t, words).tobytes() for t in batch.column("snippet").to_pylist()], pa.binary())],
-                ["name", "shingles"])
+            sets = [s for s in _rows(batch, words) if s.size]
+            yield pa.RecordBatch.from_arrays([pa.array([_digest(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())],
+                                             ["name", "shingles"])
     return run
 
 
+def _wanted_sets(hits: DataFrame, named: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
+    """``name``, ``shingles`` of each wanted name, once. One hit of each name is read again; of hits that have several rows, or no
+    ``hit_ord``, all rows are, each once, and those of other names are left out."""
+    chosen = named.join(wanted, "name").groupBy("name").agg(F.min(F.struct(F.col("hit_ord").isNull().alias("k"), "hit_ord", "pool")).alias("at")) \
+        .select("name", "at.hit_ord", "at.pool")
+    chosen = cut_lineage(chosen)
+    several = named.groupBy("hit_ord", "pool").agg(F.count(F.lit(1)).alias("n")).where("n > 1 or hit_ord is null").select("hit_ord", "pool")
+    several = cut_lineage(several)
+    alone = chosen.where("hit_ord is not null").join(several, ["hit_ord", "pool"], "left_anti").select("hit_ord", "pool").distinct()
+    kind = "name long, shingles binary"
+    sets = hits.join(alone, ["hit_ord", "pool"], "left_semi").mapInArrow(_sets(words), kind)
+    if several.isEmpty():
+        return sets
+    ids = several.withColumnsRenamed({"hit_ord": "o", "pool": "p"})
+    again = hits.join(ids, hits["hit_ord"].eqNullSafe(ids["o"]) & (hits["pool"] == ids["p"]), "left_semi").mapInArrow(_sets(words), kind)
+    rest = chosen.join(alone, ["hit_ord", "pool"], "left_anti").select("name")
+    return sets.unionByName(again.join(rest, "name", "left_semi").groupBy("name").agg(F.first("shingles").alias("shingles")))
+
+
 def _verify(percent):
     def run(batches):
         for b in batches:
@@ -224,7 +251,7 @@ def _tiles(groups: DataFrame, sets: DataFrame, percent: int, rows: int) -> DataF
         .groupBy("tile").applyInPandas(_forest(percent), "u long, v long")
 
 
-def near_hits(hits: DataFrame, percent: int = 80, words: int = 5, tile_rows: int = 400) -> DataFrame:
+def near_hits(hits: DataFrame, percent: int = 80, words: int = 5, tile_rows: int = 400, within: tuple = ()) -> DataFrame:
     """Groups of hits whose snippets are near copies of each other.
 
     A snippet is the set of its distinct runs of ``words`` words (white space apart, A-Z in lower case).
@@ -235,14 +262,18 @@ def near_hits(hits: DataFrame, percent: int = 80, words: int = 5, tile_rows: int
     :param percent: least Jaccard similarity in percent, 50 to 100
     :param words: words of a shingle; a snippet with fewer words is one shingle
     :param tile_rows: hits of a large group that are compared in one task at a time
-    :return: ``hit_ord``, ``n_shingles``, ``component_id`` (least ``hit_ord`` reachable by links), one row
+    :param within: columns that name a pool, such as ``("query_id",)``: hits of different pools never link, and ``hit_ord`` need be
+        unique in its pool only
+    :return: ``within``, ``hit_ord``, ``n_shingles``, ``component_id`` (least ``hit_ord`` reachable by links), one row
         per row of ``hits``. A null, empty or blank snippet has no shingles and no links. Rows that repeat a
         ``hit_ord`` keep their own texts. A row without ``hit_ord`` stays and never names a component.
     """
     spark = hits.sparkSession
     parts = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    hits = hits.select(F.col("hit_ord").cast("long").alias("hit_ord"), "snippet")
-    named = cut_lineage(hits.mapInArrow(_name(words), "hit_ord long, n_shingles long, name long"))
+    pool = F.xxhash64(*within) if within else F.lit(0).cast("long")
+    hits = hits.select(*within, F.col("hit_ord").cast("long").alias("hit_ord"), pool.alias("pool"), "snippet")
+    kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in hits.schema if f.name != "snippet")
+    named = cut_lineage(hits.mapInArrow(_name(words), kept + ", n_shingles long, name long"))
     first = named.where("name is not null").groupBy("name").agg(F.min("hit_ord").alias("hit_ord"))
     met = hits.mapInArrow(_deal(words, percent, parts), "part long, keys binary, names binary") \
         .repartition(parts // 4, "part").mapInArrow(_meet, "kind string, u long, v long")
@@ -251,8 +282,7 @@ def near_hits(hits: DataFrame, percent: int = 80, words: int = 5, tile_rows: int
     groups = met.where("kind = 'group'").select("u", "v")
     wanted = pairs.select(F.col("u").alias("name")).unionByName(pairs.select(F.col("v").alias("name"))) \
         .unionByName(groups.select(F.col("v").alias("name"))).distinct()
-    texts = named.join(wanted, "name").groupBy("name").agg(F.min("hit_ord").alias("hit_ord")).join(hits, "hit_ord")
-    sets = cut_lineage(texts.select("name", "snippet").mapInArrow(_sets(words), "name long, shingles binary"))
+    sets = cut_lineage(_wanted_sets(hits.select("hit_ord", "pool", "snippet"), named, wanted, words))
     side = lambda c: sets.select(F.col("name").alias(c), F.col("shingles").alias(f"s{c}"))
     links = pairs.join(side("u"), "u").join(side("v"), "v").mapInArrow(_verify(percent), "u long, v long")
     links = links.unionByName(_tiles(groups, sets, percent, tile_rows))
@@ -262,4 +292,4 @@ def near_hits(hits: DataFrame, percent: int = 80, words: int = 5, tile_rows: int
     least = group.groupBy("component").agg(F.min("hit_ord").alias("component_id"))
     label = group.join(least, "component").select("name", "component_id")
     return named.join(label, "name", "left").select(
-        "hit_ord", "n_shingles", F.coalesce("component_id", "hit_ord").alias("component_id"))
+        *within, "hit_ord", "n_shingles", F.coalesce("component_id", "hit_ord").alias("component_id"))

@@ -73,6 +73,53 @@ def test_near_hits_odd_rows(spark):
     assert near_hits(spark.createDataFrame([], HITS)).collect() == []
 
 
+def test_near_hits_of_repeated_ids_keep_their_own_texts(spark):
+    """Each id also has an unrelated text; large groups go through tiles. Rows are told apart by their texts."""
+    for size, count in ((60, 24), (60, 6)):
+        rng, base, rows = random.Random(size + count), None, []
+        base = words(rng, size)
+        for i in range(count):
+            w = list(base)
+            w[rng.randrange(size)] = f"e{i}"
+            rows += [(20 + i, " ".join(w)), (20 + i, " ".join(words(rng, size))), (20 + i, rows[0][1] if rows else " ".join(w))]
+        rng.shuffle(rows)
+        sets = [shingles(t, 5) for _, t in rows]
+        links = [(a, b) for a in range(len(rows)) for b in range(a) if 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])]
+        group = smallest(range(len(rows)), links)
+        least = {}
+        for n, (i, _) in enumerate(rows):
+            least[group[n]] = min(least.get(group[n], i), i)
+        want = sorted((i, len(sets[n]), least[group[n]]) for n, (i, _) in enumerate(rows))
+        got = near_hits(spark.createDataFrame(rows, HITS).repartition(3), 80, 5, tile_rows=10)
+        assert sorted(tuple(r) for r in got.collect()) == want
+
+
+def test_near_hits_without_ids(spark):
+    """Rows without an id link like others; only they can name no component."""
+    rng, rows = random.Random(12), []
+    base = words(rng, 120)
+    for i in range(9):
+        w = list(base)
+        w[rng.randrange(120)] = f"e{i}"
+        rows.append((None if i < 6 else i, " ".join(w)))
+    got = near_hits(spark.createDataFrame(rows, HITS)).collect()
+    assert {r["component_id"] for r in got} == {6}
+
+
+def test_near_hits_of_several_pools(spark):
+    rng, rows = random.Random(8), []
+    base = words(rng, 40)
+    for q in ("a", "b", None):
+        for i in range(12):
+            w = list(base)
+            w[rng.randrange(40)] = f"e{rng.randrange(99)}"
+            rows.append((q, i + (5 if q == "b" else 0), " ".join(w if i % 3 else words(rng, 40))))
+    got = near_hits(spark.createDataFrame(rows, "query_id string, " + HITS), within=("query_id",)).collect()
+    for q in ("a", "b", None):
+        want = brute([r[1:] for r in rows if r[0] == q], 80, 5)
+        assert {r["hit_ord"]: (r["n_shingles"], r["component_id"]) for r in got if r["query_id"] == q} == want
+
+
 def test_shingles_are_whole_words():
     assert shingle_hashes("A b  c", 2).tolist() == shingle_hashes("a\tB\nC", 2).tolist()
     assert len(shingle_hashes("a b", 5)) == 1 and len(shingle_hashes(None, 5)) == 0
