@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -56,3 +57,14 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint: survives lost executors, unlike a local one."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def bucketed(df: DataFrame, column: str, buckets: int) -> tuple[DataFrame, str]:
+    """The rows as a table in the folder of checkpoints, dealt by ``column`` once: joins on it shuffle the other side only.
+
+    :return: the table and its name, to be dropped when no longer read
+    """
+    spark, name = df.sparkSession, f"kept_{uuid.uuid4().hex}"
+    df.repartition(buckets, column).write.format("parquet").bucketBy(buckets, column) \
+        .option("path", f"{ensure_checkpoint_dir(spark)}/{name}").saveAsTable(name)
+    return spark.table(name), name
