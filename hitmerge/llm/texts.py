@@ -12,7 +12,16 @@ import xxhash
 SPACE = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
 
-_MEMORY: dict[bytes, int] = {}
+
+class _Hashes(dict):
+    """Hashes of words met before; a word that is new is hashed."""
+
+    def __missing__(self, word: bytes) -> int:
+        h = self[word] = xxhash.xxh64_intdigest(word)
+        return h
+
+
+_MEMORY = _Hashes()
 _MEMORY_ROWS = 200_000
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _MUL = np.uint64(0xBF58476D1CE4E5B9)
@@ -32,13 +41,7 @@ def word_hashes(text: str | None) -> np.ndarray:
     words = text.encode("utf-8").lower().split()      # bytes: only A-Z and ASCII white space count
     if len(_MEMORY) > _MEMORY_ROWS:
         _MEMORY.clear()
-    known, out = _MEMORY, []
-    for w in words:
-        h = known.get(w)
-        if h is None:
-            h = known[w] = xxhash.xxh64_intdigest(w)
-        out.append(h)
-    return np.array(out, np.uint64)
+    return np.fromiter(map(_MEMORY.__getitem__, words), np.uint64, len(words))
 
 
 def shingle_hashes(text: str | None, words: int) -> np.ndarray:

@@ -199,7 +199,8 @@ def test_repeated_passages_by_joins_as_in_one_task(spark):
         return {(r["hit_ord"], i) for r in got.collect() for i in range(r["start"], r["start"] + r["n_words"])}
 
     one = covered(repeated_passages(df))
-    assert one and covered(repeated_passages(df, together=3)) == one
+    joined = covered(repeated_passages(df, together=3))     # all that share enough meet there, not the earliest until all is found
+    assert one and one <= joined and {i for i, _ in joined} == {i for i, _ in one}
 
 
 def test_distinct_shingles_of_runs():
