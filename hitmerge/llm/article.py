@@ -9,6 +9,8 @@ article, and the marked blocks hold the fullest window, surge and dive are sough
 from __future__ import annotations
 
 import re
+from collections import defaultdict
+from collections.abc import Iterator
 from html import unescape
 
 import numpy as np
@@ -18,13 +20,16 @@ from pyspark.sql import functions as F
 
 # Elements whose content is never text of an article.
 NO_TEXT = frozenset("script style noscript template svg math iframe object canvas head title select option textarea button".split())
-AROUND = frozenset("nav header footer aside form menu dialog".split())
+AROUND = frozenset("nav header footer aside menu dialog".split())
 BLOCK = frozenset("""address article aside blockquote body center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2
 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul""".split())
+# Blocks that lie beside one another in one of the other, holding elements.
+LINES = frozenset("p h1 h2 h3 h4 h5 h6 hgroup pre li dt dd hr blockquote figure figcaption address legend summary details".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 # Elements that their own kind ends, and where that stops.
-ENDS_ITSELF = {"p": BLOCK, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr"}, "td": {"td", "th", "tr"}, "th": {"td", "th", "tr"},
-               "option": {"option"}}
+ENDS_ITSELF = {"p": BLOCK, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr"}, "td": {"td", "th", "tr"}, "th": {"td", "th", "tr"}}
+# Names inside this many others count as part of the innermost of them.
+NAMES_DEEP = 32
 # Names of parts around an article, and words that go with them: a token of a class, id or role is such a name, or several
 # of these joined by - or _. Any other word beside a name (has-sidebar, share-enabled) says something about an element that is none.
 NAMED = re.compile(
@@ -34,10 +39,13 @@ NAMED = re.compile(
     r"navigation|complementary|contentinfo|search\w*|discussion|feedback", re.I)
 BESIDE = frozenset("""area bar block blocks body bottom box button buttons card cards container form group holder icons inner item items left link
 links list main outer panel posts primary right row secondary section site slot text thread title top unit wrap wrapper""".split())
-TAG = re.compile(
-    r"<!--.*?(?:-->|$)|<!\[CDATA\[(.*?)\]\]>|<[!?][^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
-ATTRIBUTE = re.compile(r"""(class|id|role|hidden|aria-hidden)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
-RAW = re.compile(r"(?i)<(script|style|textarea|title|noscript|iframe)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</\1\s*>|$)", re.S)
+# Start of what is no text; the rest of a tag, where quotes count only behind an equals sign; its attributes.
+MARKUP = re.compile(r"<(?:(!--)|(!\[CDATA\[)|([!?])|(/?)([a-zA-Z][^\s/>]*))")
+REST = re.compile(r"""(?:[^>=]++|=\s*+(?:"[^"]*+"|'[^']*+'|(?!["'])))*+>""")
+ATTRIBUTE = re.compile(r"""([^\s=/]+)(?:\s*+=\s*+(?:"([^"]*)"|'([^']*)'|(\S+)))?""")
+COMMENT_END = re.compile("--!?>")
+# Elements whose content is no markup, and where each ends.
+RAW = {t: re.compile(f"</{t}(?=[\\s/>])", re.I) for t in "script style textarea title noscript iframe noembed noframes xmp".split()}
 SPACE = re.compile(r"\s+")
 
 
@@ -50,48 +58,95 @@ def _named(value: str) -> bool:
     return False
 
 
-def _aside(tag: str, attributes: str) -> tuple[bool, bool]:
-    """Whether an element holds no text, and whether only its name says so."""
-    if tag in NO_TEXT or tag in AROUND:
+def _aside(tag: str, attributes: str, marked: bool) -> tuple[bool, bool]:
+    """Whether an element holds no text, and whether only its name (or being a form, which may wrap a page) says so.
+    The header of a marked article is its headline, not that of the page."""
+    if tag in NO_TEXT or tag in AROUND and not (tag == "header" and marked):
         return True, False
+    named = tag == "form"
     if not attributes.strip() or tag in ("html", "body"):
-        return False, False
-    named = False
+        return named, named
     for name, *values in ATTRIBUTE.findall(attributes):
-        value = "".join(values)
-        if name.lower() == "hidden" and not value.lower() == "until-found" or name.lower() == "aria-hidden" and value.lower() == "true":
+        name, value = name.lower(), "".join(values)
+        if name == "hidden" and not value.lower() == "until-found" or name == "aria-hidden" and value.lower() == "true":
             return True, False
-        named = named or name.lower() in ("class", "id", "role") and _named(value)
+        named = named or name in ("class", "id", "role") and _named(value)
     return named, named
 
 
-def blocks(body: str) -> tuple[list[tuple[str, int, int, int]], list[int]]:
-    """(text, outermost article mark, characters of links, innermost named element) of each block of a page, in page order,
-    and for each named element the next one around it; -1: none."""
-    out: list[tuple[str, int, int, int]] = []
+def pieces(body: str) -> Iterator[tuple[str, str, str]]:
+    """(kind, name or text, attributes) of a page in page order; the kinds are ``text`` (with references), ``plain``, ``start`` and ``end``.
+
+    One pass: comments, character data, raw elements and tags each end before the next begins, so markup inside
+    one of them is none. A comment, raw element or tag that the page never ends goes on to its end, as in
+    browsers, but a quote that is never closed is no quote."""
+    at, shown, quotes, final = 0, 0, True, body.rfind(">")
+    while (m := MARKUP.search(body, at)) is not None:
+        comment, data, other, slash, tag = m.groups()
+        if m.start() > shown:
+            yield "text", body[shown:m.start()], ""
+        if comment:
+            # The dashes that open it may close it as well.
+            end = COMMENT_END.search(body, m.end() - 2)
+            at = end.end() if end else len(body)
+        elif data and (end := body.find("]]>", m.end())) >= 0:
+            yield "plain", body[m.end():end], ""
+            at = end + 3
+        elif data or other:
+            at = body.find(">", m.end()) + 1 or len(body)
+        else:
+            if m.end() > final:
+                return
+            end = REST.match(body, m.end()) if quotes else None
+            if end is None:
+                # From here a quote stays open to the end of the page; no later tag looks for its end again.
+                quotes = False
+                at = body.index(">", m.end()) + 1
+            else:
+                at = end.end()
+            tag = tag.lower()
+            yield "end" if slash else "start", tag, body[m.end():at - 1]
+            if tag in RAW and not slash:
+                end = RAW[tag].search(body, at)
+                at = end.start() if end else len(body)
+        shown = at
+    if shown < len(body):
+        yield "text", body[shown:], ""
+
+
+def blocks(body: str) -> tuple[list[tuple[str, int, int, int, int]], list[int]]:
+    """(text, outermost article mark, characters of links, innermost named element, holding element) of each block of a page,
+    in page order, and for each named element the next one around it; -1: none."""
+    out: list[tuple[str, int, int, int, int]] = []
     around: list[int] = []
     text: list[str] = []
-    open_: list[tuple[str, bool, bool, bool]] = []      # tag, hides its text, marks the article, hides it by name
-    hidden = marked = links = linked = marks_seen = 0
+    open_: list[tuple[str, bool, bool, bool, int]] = []     # tag, hides its text, marks the article, hides it by name, holder around
+    places: dict[str, list[int]] = defaultdict(list)        # where in open_ each tag is open
+    standing: list[int] = []                                # where in open_ the blocks are
+    hidden = marked = links = linked = marks_seen = holder = holders = deep = 0
     name = -1
 
     def flush():
         nonlocal links
         line = SPACE.sub(" ", unescape("".join(text))).strip()
         if line:
-            out.append((line, marks_seen if marked else -1, links, name))
+            out.append((line, marks_seen if marked else -1, links, name, holder))
         text.clear()
         links = 0
 
     def close(upto: int):
-        nonlocal hidden, marked, linked, name
+        nonlocal hidden, marked, linked, name, holder, deep
         while len(open_) > upto:
-            tag, hides, marks, names = open_.pop()
+            tag, hides, marks, names, before = open_[-1]
             if tag in BLOCK or names:
                 flush()
-            hidden, marked, linked = hidden - hides, marked - marks, linked - (tag == "a")
+            open_.pop()
+            places[tag].pop()
+            if tag in BLOCK:
+                standing.pop()
+            hidden, marked, linked, holder = hidden - hides, marked - marks, linked - (tag == "a"), before
             if names:
-                name = around[name]
+                name, deep = around[name], deep - 1
 
     def say(piece: str):
         nonlocal links
@@ -100,49 +155,46 @@ def blocks(body: str) -> tuple[list[tuple[str, int, int, int]], list[int]]:
             if linked:
                 links += len(piece.strip())
 
-    body = RAW.sub(" ", body)
-    at = 0
-    for m in TAG.finditer(body):
-        say(body[at:m.start()])
-        at = m.end()
-        cdata, slash, tag, attributes = m.groups()
-        if not tag:
-            if cdata:
-                say(cdata.replace("&", "&amp;"))
-            continue
-        tag = tag.lower()
-        if tag == "br":
+    for kind, tag, attributes in pieces(body):
+        if kind == "text":
+            say(tag)
+        elif kind == "plain":
+            say(tag.replace("&", "&amp;"))
+        elif tag == "br":
             say(" ")
-        elif slash:
-            found = next((i for i in range(len(open_) - 1, -1, -1) if open_[i][0] == tag), None)
-            if found is not None:
-                close(found)
+        elif kind == "end":
+            if places[tag]:
+                close(places[tag][-1])
             elif tag in BLOCK:
                 flush()
         else:
-            if tag in BLOCK:
+            if tag in BLOCK or tag == "body":
+                if places["head"]:
+                    close(places["head"][0])        # a head need not be closed
                 flush()
             for own, enders in ENDS_ITSELF.items():
-                if tag in enders:
-                    # A paragraph or item that was not closed ends here, unless a container stands between.
-                    for i in range(len(open_) - 1, -1, -1):
-                        if open_[i][0] == own:
-                            close(i)
-                            break
-                        if open_[i][0] in BLOCK:
-                            break
-            if tag in VOID or attributes.rstrip().endswith("/") and tag not in BLOCK:
+                # A paragraph or item that was not closed ends here, unless a container stands between.
+                if tag in enders and standing and open_[standing[-1]][0] == own:
+                    close(standing[-1])
+            if tag in RAW:
+                say(" ")
+            if tag in VOID or attributes.rstrip().endswith("/") and tag not in BLOCK and tag not in RAW:
                 continue
-            aside, names = _aside(tag, attributes)
-            hides, marks = aside and not names, tag in ("article", "main") and not aside
-            open_.append((tag, hides, marks, names))
+            aside, names = _aside(tag, attributes, marked > 0)
+            hides, marks, names = aside and not names, tag in ("article", "main") and not aside, names and deep < NAMES_DEEP
+            places[tag].append(len(open_))
+            if tag in BLOCK:
+                standing.append(len(open_))
+            open_.append((tag, hides, marks, names, holder))
             if names:
                 flush()
                 around.append(name)
-                name = len(around) - 1
+                name, deep = len(around) - 1, deep + 1
+            if (tag in BLOCK or tag == "body") and tag not in LINES:
+                holders += 1
+                holder = holders
             marks_seen += marks and not marked
             hidden, marked, linked = hidden + hides, marked + marks, linked + (tag == "a")
-    say(body[at:])
     close(0)
     flush()
     return out, around
@@ -186,7 +238,7 @@ def article(body: str | None, window: int = 3, surge: int = 80) -> list[str]:
     found, around = blocks(body) if body else ([], [])
     if not found:
         return []
-    own = np.array([len(t) - min(links, len(t)) for t, _, links, _ in found])
+    own = np.array([len(t) - min(links, len(t)) for t, _, links, *_ in found])
     seen = _visible(found, around, own, window)
     found, own = [b for b, s in zip(found, seen, strict=True) if s], own[seen]
     if not found:
@@ -209,12 +261,13 @@ def article(body: str | None, window: int = 3, surge: int = 80) -> list[str]:
         return out
     # Marks beside fuller text are teasers or the like: none of them is where the text begins or ends.
     own = own * ~inside
-    ends = _between(own, window, min(surge, _fullest(own, window).max() / 2), True)
+    ends = _between(own, window, min(surge, _fullest(own, window).max() / 2), np.array([b[4] for b in found]))
     return [b[0] for b in found[ends[0]:ends[1] + 1]] if ends else []
 
 
-def _between(own: np.ndarray, window: int, level: float, short: bool = False) -> tuple[int, int] | None:
-    """First and last block between surge and dive, if there is text; with ``short`` also the short blocks beside them."""
+def _between(own: np.ndarray, window: int, level: float, holder: np.ndarray | None = None) -> tuple[int, int] | None:
+    """First and last block between surge and dive, if there is text. With ``holder`` also the blocks beside them
+    that fill a window, and the short ones before and after that lie in the same element as the surge or the dive."""
     total = _fullest(own, window)
     dense = np.flatnonzero((total >= level) & (own > 0))
     if dense.size == 0:
@@ -222,10 +275,13 @@ def _between(own: np.ndarray, window: int, level: float, short: bool = False) ->
     # The surge and the dive lie at blocks, not at the windows around them that they fill.
     heavy = dense[own[dense] >= min(level / window, own.max() / 2)]
     first, last = (heavy[0], heavy[-1]) if heavy.size else (dense[0], dense[-1])
-    while short and first > 0 and own[first - 1] > 0 and total[first - 1] >= level:
-        first -= 1
-    while short and last + 1 < own.size and own[last + 1] > 0 and total[last + 1] >= level:
-        last += 1
+    if holder is not None:
+        goes_on = lambda at, edge: own[at] > 0 and (total[at] >= level or holder[at] == edge)
+        edges = holder[first], holder[last]
+        while first > 0 and goes_on(first - 1, edges[0]):
+            first -= 1
+        while last + 1 < own.size and goes_on(last + 1, edges[1]):
+            last += 1
     return int(first), int(last)
 
 
@@ -238,7 +294,8 @@ def main_text(pages: DataFrame, window: int = 3, surge: int = 80) -> DataFrame:
     :return: one row per row of ``pages`` with ``page_id``, ``url``, ``blocks`` (array) and ``snippet`` (the blocks,
         joined by an empty line). White space inside a block is one space and character references are
         decoded. A null or empty body, and a page without text, has no block and the empty snippet; any
-        column may be null and rows may repeat.
+        column may be null and rows may repeat. Time grows with the length of a page, also of a broken one; a tag that is cut
+        off by the end of the page is no text.
     """
     def run(batches):
         for b in batches:

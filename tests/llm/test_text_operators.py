@@ -3,6 +3,7 @@ import hashlib
 import random
 import re
 import struct
+import time
 import zlib
 
 import numpy as np
@@ -299,3 +300,29 @@ def test_rank_file_is_the_vocabulary():
     t = reference()
     with open(VOCABULARY["vocabulary"], "rb") as lines:
         assert sum(1 for line in lines if base64.b64decode(line.split()[0])) == t.get_vocab_size() - 1
+
+
+def test_markup_inside_markup_is_none():
+    text = f"<p>{LONG}</p><p>Second.</p>"
+    for inside in ("<!-- <script> off -->", "<!-- <article> -->", '<div data-x="<style>"></div>', "<a title='a > b' data-y=\"it's\"></a>", "<script>if (a<b) '<!--'</script>",
+                   "<!-->", "<![CDATA[]]>", "<?x y?>", '<i data-class="ad" title="class=ad"></i>', "<textarea></p></textarea>"):
+        assert article.article(f"<article>{inside}{text}</article>") == [LONG, "Second."], inside
+    assert article.article(f"<html><head><title>T</title><meta charset=x><body><div>{text}</div>") == [LONG, "Second."]     # head not closed
+    assert article.article(f'<article><p>{LONG}<a href="x>y</a></p><p>Second.</p></article>') == [LONG + "y", "Second."]    # quote not closed
+
+
+def test_wrapped_pages_and_short_ends():
+    ends = f"<p>Hi.</p><p>By X</p><p>{LONG}</p><p>{LONG}</p><p>ok.</p><p>fine.</p><p>end.</p>"
+    want = ["Hi.", "By X", LONG, LONG, "ok.", "fine.", "end."]
+    for page in (f"<div>{ends}</div>", f"<form id=aspnet>{PAGE % f'<div>{ends}</div>'}</form>", PAGE % f"<article>{ends}</article>"):
+        assert article.article(page) == want
+    assert article.article(PAGE % f"<article><header><h1>Head</h1><p>Lead</p></header><p>{LONG}</p><form><p>Your mail</p></form></article>") == ["Head", "Lead", LONG]
+
+
+@pytest.mark.parametrize("broken", ["<a ", "<a href=\"", "<a b=\">\" ", "<!--", "<b>", "</i><b>", "<b><p></p>", "<p>x<div>", "<script>", "<div class=ad>x", "<![CDATA[", "< <", "&amp <a>",
+                                    "<a b='", "<p a = = \"", "<option>x", "<li><b>x", "<a          "])
+def test_broken_pages_take_time_by_length(broken):
+    page = f"<article><p>{LONG}</p>" + broken * (1_000_000 // len(broken))
+    began = time.process_time()
+    assert article.article(page)[:1] in ([LONG], [LONG + " " + broken.strip()]) or broken in ("< <", "&amp <a>")
+    assert time.process_time() - began < 10
