@@ -5,6 +5,7 @@ import re
 import struct
 import time
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -222,8 +223,7 @@ def sketch(text, words=5):
         for y in h[i:i + words]:
             v = xxhash.xxh64_intdigest(struct.pack("<Q", y), seed=v)
         out.add(v - (1 << 64) if v >> 63 else v)
-    low = {x for x in out if x < -(1 << 62)}
-    return low or ({min(out)} if out else set())
+    return {x for x in out if x < -(1 << 62)}, min(out, default=None)
 
 
 def test_fingerprints(spark):
@@ -232,7 +232,7 @@ def test_fingerprints(spark):
     rows += [(3, "one é two 漢"), (4, None), (5, ""), (6, "same words here"), (7, "same words here"), (8, "n " * 30000), (None, "last of all")]
     got = {r["hit_ord"]: r for r in fingerprints.fingerprints(clashing(spark, rows).repartition(4), chunk_rows=8).collect()}
     order = sorted(rows, key=lambda r: (r[0] is None, -(r[0] or 0)))
-    alike = lambda a, b: len(a & b) / len(a | b) if a or b else 1.0
+    alike = lambda a, b: len(a[0] & b[0]) / len(a[0] | b[0]) if a[0] or b[0] else float(a[1] == b[1])
     assert len(got) == len(rows)
     for n, (i, text) in enumerate(order):
         text, after = text or "", order[(n + 1) % len(order)][1] or ""
@@ -240,13 +240,38 @@ def test_fingerprints(spark):
         edited = text[:len(text) - third] + after[:third]
         r, a, b, c = got[i], sketch(text), sketch(edited), sketch(after)
         assert r["n_chars"] == len(text) and r["edited_sha256"] == hashlib.sha256(edited.encode()).hexdigest()
-        assert set(r["print"]) == a and r["print"] == sorted(a) and set(r["edited_print"]) == b
+        assert r["print"] == sorted(a[0]) and set(r["edited_print"]) == b[0]
         assert abs(r["near_edited"] - alike(a, b)) < 1e-12 and abs(r["near_next"] - alike(a, c)) < 1e-12
     assert fingerprints.fingerprints(spark.createDataFrame([], HITS)).collect() == []
     one = fingerprints.fingerprints(spark.createDataFrame([(1, "a b c d e f")], HITS)).first()
     assert one["near_next"] == 1.0
 
 
+def test_chunks_hold_equal_numbers_of_rows(spark):
+    """One id far away, ids in knots, one id of a third of all rows, many without one."""
+    ids = [9 * 10 ** 18, -9 * 10 ** 18] + [10 ** k + i for k in (3, 9, 15) for i in range(60)] + [77] * 120 + [None] * 50
+    rows = [(i, f"text {n} of all") for n, i in enumerate(ids)]
+    kept = fingerprints.with_next(spark.createDataFrame(rows, HITS), chunk_rows=4).collect()
+    sizes = Counter(tuple(r["chunk"]) for r in kept if not r["guest"])
+    assert max(sizes.values()) <= 16 and len(sizes) > len(rows) / 16 and sum(sizes.values()) == len(rows)
+    # The guests and the last of each chunk make one ring through all rows in order.
+    chunks = sorted(sizes, reverse=True)
+    of = lambda c: sorted((r for r in kept if tuple(r["chunk"]) == c and not r["guest"]), key=lambda r: (r["hit_ord"] is None, -(r["hit_ord"] or 0), r["snippet"]))
+    walk = [r["hit_ord"] for c in chunks for r in of(c)]
+    assert walk == sorted(ids, key=lambda i: (i is None, -(i or 0)))
+    guests = {tuple(r["chunk"]): (r["hit_ord"], r["snippet"]) for r in kept if r["guest"]}
+    for n, c in enumerate(chunks):
+        head = of(chunks[(n + 1) % len(chunks)])[0]
+        assert guests[c] == (head["hit_ord"], head["snippet"])
+
+
+def test_fingerprint_of_a_union_is_the_union(spark):
+    words = [f"w{i}" for i in range(60)]
+    a, b, both = (" ".join(words[x:y]) for x, y in ((0, 34), (30, 60), (0, 60)))
+    r = spark.range(1).select(*[fingerprints.fingerprint(F.lit(t)) for t in (a, b, both)]).first()
+    assert sorted({*r[0], *r[1]}) == r[2]
+
+
 def test_containment(spark):
     part, whole = fingerprints.fingerprint(F.lit("a b c d e f g h")), fingerprints.fingerprint(F.lit("a b c d e f g h " + " ".join(map(str, range(200)))))
     r = spark.range(1).select(fingerprints.containment(part, whole), fingerprints.containment(whole, part), fingerprints.printable(part)).first()
