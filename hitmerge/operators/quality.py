@@ -6,6 +6,8 @@ small table. Standard errors use the sample deviation over keywords divided by s
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -157,7 +159,8 @@ def spearman(judged: DataFrame, k: int = 15) -> DataFrame:
 
 def variance_split(judged: DataFrame) -> DataFrame:
     """Two-way split of the squared deviations of the cell rates: share explained by the keyword,
-    by the engine, and the residual; main effects from marginal means of the cells present."""
+    by the engine, and the residual; main effects from marginal means of the cells present.
+    Where cells are missing the two overlap: see ``fitted_variance_split``."""
     c = cells(judged).select(*KEY, "keyword_id", _rate().alias("v"))
     grand = c.groupBy("label").agg(F.avg("v").alias("m"))
 
@@ -174,6 +177,51 @@ def variance_split(judged: DataFrame) -> DataFrame:
                     share(F.col("total") - F.col("k") - F.col("e")).alias("residual_share"))
 
 
+def _engines_after_keywords(sums: pd.DataFrame) -> pd.DataFrame:
+    """Squares that engine effects explain beyond keyword means, from the reduced normal equations of one label."""
+    engines = sorted(set(sums["a"]))
+    at = {e: i for i, e in enumerate(engines)}
+    left, right = np.zeros((len(engines), len(engines))), np.zeros(len(engines))
+    np.add.at(left, (sums["a"].map(at), sums["b"].map(at)), sums["x"])
+    np.add.at(right, sums["a"].map(at), sums["y"])
+    # Engines without a keyword in common leave the equations singular; any solution explains the same.
+    more = float(right @ np.linalg.lstsq(left, right, rcond=1e-10)[0])
+    return pd.DataFrame({"label": sums["label"].iloc[:1], "more": [max(more, 0.0)]})
+
+
+def fitted_variance_split(judged: DataFrame) -> DataFrame:
+    """Two-way split of the squared deviations of the cell rates: share explained by the keyword, by the engine, and
+    the residual of the additive least-squares fit.
+
+    Cells may be missing (an engine without an answer in a round). Keyword and engine then overlap, and each gets the mean of
+    what it explains alone and what it explains beyond the other, so shares are never negative and sum to 1; on a full
+    grid both are the same. Keywords are eliminated by grouping; what is solved per label has one equation per engine."""
+    c = cells(judged).select(*KEY, "keyword_id", _rate().alias("v"))
+    by_keyword = c.groupBy("label", "keyword_id").agg(F.count(F.lit(1)).alias("size"), F.avg("v").alias("mean"))
+    grand = c.groupBy("label").agg(F.avg("v").alias("m"))
+
+    def between(by: str, name: str) -> DataFrame:
+        means = c.groupBy("label", by).agg(F.count(F.lit(1)).alias("n"), F.avg("v").alias("mean"))
+        return means.join(grand, "label").groupBy("label").agg(
+            F.sum(F.col("n") * F.pow(F.col("mean") - F.col("m"), F.lit(2.0))).alias(name))
+
+    lined = c.join(by_keyword, ["label", "keyword_id"])
+    own = lined.select("label", F.col("engine").alias("a"), F.col("engine").alias("b"), F.lit(1.0).alias("x"), (F.col("v") - F.col("mean")).alias("y"))
+    # A keyword has a cell per engine at most, so its pairs are as few as pairs of engines.
+    pairs = lined.select("label", "keyword_id", F.col("engine").alias("a"), "size").join(
+        c.select("label", "keyword_id", F.col("engine").alias("b")), ["label", "keyword_id"]) \
+        .select("label", "a", "b", (-1 / F.col("size")).alias("x"), F.lit(0.0).alias("y"))
+    sums = own.unionByName(pairs).groupBy("label", "a", "b").agg(F.sum("x").alias("x"), F.sum("y").alias("y"))
+    more = sums.groupBy("label").applyInPandas(_engines_after_keywords, "label string, more double")
+    total = c.join(grand, "label").groupBy("label").agg(
+        F.sum(F.pow(F.col("v") - F.col("m"), F.lit(2.0))).alias("total"))
+    s = total.join(between("keyword_id", "k"), "label").join(between("engine", "e"), "label").join(more, "label")
+    share = lambda x: _six(F.when(F.col("total") > 0, F.greatest(x / F.col("total"), F.lit(0.0))))
+    return s.select("label", share(F.col("k") + (F.col("more") - F.col("e")) / 2).alias("keyword_share"),
+                    share((F.col("e") + F.col("more")) / 2).alias("engine_share"),
+                    share(F.col("total") - F.col("k") - F.col("more")).alias("residual_share"))
+
+
 def range_ratio(judged: DataFrame) -> DataFrame:
     """Range of the keyword means against the range of the engine means."""
     c = cells(judged).select(*KEY, "keyword_id", _rate().alias("v"))

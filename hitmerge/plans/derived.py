@@ -123,3 +123,25 @@ def document_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat(F.lit("https://"), F.col("source"), F.lit(".example.org/"), F.col("lang"), F.lit("/"),
                  slug).alias("url"),
         F.lit(None).cast("string").alias("date"), F.lit(None).cast(schemas.SIGNALS).alias("signals"))
+
+
+def judged_with_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Judged lists of engines that gave no answer to some keywords."""
+    return judged(spark, sf_dir).filter((F.ascii(F.substring("engine", -1, 1)) + F.ascii(F.substring("keyword_id", -1, 1))) % 4 != 0)
+
+
+def garbled_titles(raw: DataFrame) -> DataFrame:
+    """Every third title in quotation marks and decoded by the wrong character set."""
+    quoted = F.concat(F.lit("„"), F.col("title"), F.lit("“"))
+    return raw.withColumn("title", F.when(F.col("ord") % 3 == 0, F.decode(F.encode(quoted, "UTF-8"), "ISO-8859-1")).otherwise(F.col("title")))
+
+
+def document_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents as a pool, and of every third also a continuation: same title, longer address, the text up to a half or
+    to three quarters. Documents have even ``hit_ord``, continuations odd."""
+    docs = document_hits(spark, sf_dir)
+    n = F.col("hit_ord")
+    some = docs.filter(n % 3 == 0)
+    longer = F.concat(F.col("url"), F.substring(F.lit("continuationofthepage"), F.lit(1), (8 + n % 13).cast("int")))
+    part = F.substring(F.col("snippet"), F.lit(1), F.floor(F.length("snippet") * F.when(n % 2 == 0, 3).otherwise(2) / 4).cast("int"))
+    return docs.withColumn("hit_ord", n * 2).unionByName(some.withColumns({"url": longer, "snippet": part, "hit_ord": n * 2 + 1}))

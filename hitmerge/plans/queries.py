@@ -485,6 +485,13 @@ def near_misses(spark, sf):
     return dedup.near_misses(docs, dedup.find_owners(docs))
 
 
+@query("near_misses_parts")
+def near_misses_parts(spark, sf):
+    """With continuations of documents, which miss by their text or by their address."""
+    docs = cut_lineage(derived.document_parts(spark, sf))
+    return dedup.near_misses(docs, dedup.find_owners(docs))
+
+
 @query("doc_veto_histogram", _DOC_DEDUP + """SELECT e.query_id, veto, count(*) AS n FROM e JOIN s5 ON s5.query_id = e.query_id AND s5.i = e.i
  LEFT JOIN own ON own.query_id = e.query_id AND own.j = e.j WHERE veto IS NOT NULL AND (owner IS NULL OR owner > e.i) GROUP BY ALL""")
 def doc_veto_histogram(spark, sf):
@@ -580,13 +587,16 @@ def latency_envelope(spark, sf):
     return status.latency_envelope(derived.fetch_log(spark, sf))
 
 
-@query("text_health", o.with_(o.RAW) + r"""SELECT engine, field, count(*) AS rows, 0.0 AS mojibake_rate,
- round(avg(regexp_matches(text, '!\[|\]\(')::INT), 6) AS markdown_rate, round(avg((text = '')::INT), 6) AS empty_rate,
- median(length(text)) AS median_chars, max(length(text)) AS max_chars, sum(length(text)) AS total_chars,
- count(*) FILTER (WHERE length(text) = 400) AS exact_rows
- FROM (SELECT engine, 'title' AS field, title AS text FROM raw UNION ALL SELECT engine, 'snippet', snippet FROM raw) GROUP BY ALL""")
+@query("text_health", o.with_(o.RAW) + r"""SELECT engine, field, count(*) AS rows, round(avg(garbled::INT), 6) AS mojibake_rate,
+ round(avg(regexp_matches(text, '!\[|\]\(')::INT), 6) AS markdown_rate, round(avg((n = 0)::INT), 6) AS empty_rate,
+ median(n) AS median_chars, max(n) AS max_chars, sum(n) AS total_chars,
+ count(*) FILTER (WHERE n = 400) AS exact_rows
+ FROM (SELECT engine, 'title' AS field, title AS text, ord % 3 = 0 AS garbled,
+  CASE WHEN ord % 3 = 0 THEN strlen('„' || title || '“') ELSE length(title) END AS n FROM raw
+  UNION ALL SELECT engine, 'snippet', snippet, false, length(snippet) FROM raw) GROUP BY ALL""")
 def text_health(spark, sf):
-    h = status.text_health(_raw(spark, sf))
+    """Every third title was decoded by the wrong character set."""
+    h = status.text_health(derived.garbled_titles(_raw(spark, sf)))
     return h.withColumns({n: F.round(n, 6) for n in ("mojibake_rate", "markdown_rate", "empty_rate")})
 
 
@@ -671,6 +681,22 @@ def variance_split(spark, sf):
     return quality.variance_split(derived.judged(spark, sf))
 
 
+@query("variance_split_gaps", "WITH RECURSIVE " + o.with_(o.cell_ctes(), """c AS (SELECT label, engine, keyword_id, bad / n::DOUBLE AS v FROM cells
+ WHERE (ascii(right(engine, 1)) + ascii(right(keyword_id, 1))) % 4 <> 0),
+d AS (SELECT label, v, avg(v) OVER (PARTITION BY label) AS m, avg(v) OVER (PARTITION BY label, keyword_id) AS mk, avg(v) OVER (PARTITION BY label, engine) AS me FROM c),
+s AS (SELECT label, sum((v - m) ** 2) AS t, sum((v - mk) ** 2) AS rk, sum((v - me) ** 2) AS re FROM d GROUP BY label),
+f AS (SELECT 0 AS step, label, engine, keyword_id, v AS r FROM c UNION ALL
+ SELECT step + 1, label, engine, keyword_id, r - avg(r) OVER (PARTITION BY label, engine) FROM (
+  SELECT step, label, engine, keyword_id, r - avg(r) OVER (PARTITION BY label, keyword_id) AS r FROM f) WHERE step < 200),
+b AS (SELECT label, sum(r ** 2) AS rb FROM f WHERE step = 200 GROUP BY label)""").removeprefix("WITH ") + """
+SELECT label, round(CASE WHEN t > 0 THEN (t - rk + re - rb) / 2 / t END, 6) AS keyword_share,
+ round(CASE WHEN t > 0 THEN (t - re + rk - rb) / 2 / t END, 6) AS engine_share, round(CASE WHEN t > 0 THEN rb / t END, 6) AS residual_share
+ FROM s JOIN b USING (label)""")
+def variance_split_gaps(spark, sf):
+    """Some engines gave no answer to some keywords; the SQL takes means out in turn until nothing changes."""
+    return quality.fitted_variance_split(derived.judged_with_gaps(spark, sf))
+
+
 @query("range_ratio", o.with_(o.cell_ctes(), """k AS (SELECT label, max(v) - min(v) AS k FROM (SELECT label, keyword_id, avg(bad / n::DOUBLE) AS v FROM cells GROUP BY ALL) GROUP BY label),
 e AS (SELECT label, max(v) - min(v) AS e FROM (SELECT label, engine, avg(bad / n::DOUBLE) AS v FROM cells GROUP BY ALL) GROUP BY label)""") + """
 SELECT label, round(k, 6) AS keyword_range, round(e, 6) AS engine_range, round(CASE WHEN e > 0 THEN k / e END, 6) AS ratio FROM k JOIN e USING (label)""")

@@ -1,3 +1,4 @@
+import numpy as np
 import pytest
 
 from hitmerge import schemas
@@ -63,6 +64,21 @@ def test_spread_metrics(spark):
     assert [(r["engine"], r["keyword_id"]) for r in cell] == [("b", "k1")]
 
 
+@pytest.mark.parametrize("seed", range(3))
+def test_variance_of_grids_with_gaps(spark, seed):
+    """Shares equal those of least squares with a column per engine and keyword, also where parts of the grid have nothing in common."""
+    rng = np.random.default_rng(seed)
+    there = [(e, k) for e in range(6) for k in range(9) if rng.random() < 0.5 and (seed != 2 or (e < 3) == (k < 4))]
+    rows = [(f"e{e}", f"k{k}", r, False, bool(rng.random() < 0.1 + 0.08 * e + 0.04 * k), False) for e, k in there for r in range(1, 21)]
+    got = quality.fitted_variance_split(spark.createDataFrame(rows, schemas.JUDGED)).filter("label = 'off'").first()
+    v = np.array([np.mean([x[4] for x in rows if x[:2] == (f"e{e}", f"k{k}")]) for e, k in there])
+    one, es, ks = np.ones((len(v), 1)), np.eye(6)[[e for e, _ in there]], np.eye(9)[[k for _, k in there]]
+    left = lambda *parts: float(np.square(v - (x := np.hstack(parts)) @ np.linalg.lstsq(x, v, rcond=None)[0]).sum())
+    t, re, rk, both = left(one), left(one, es), left(one, ks), left(one, es, ks)
+    want = [((t - rk) + (re - both)) / 2 / t, ((t - re) + (rk - both)) / 2 / t, both / t]
+    assert np.allclose([got["keyword_share"], got["engine_share"], got["residual_share"]], want, atol=2e-6) and min(want) >= 0
+
+
 def test_flips_and_spearman(spark):
     # a is worse overall, b is worse in the first 15
     j = judged(spark, {"a": [(20, [16, 17, 18, 19])], "b": [(20, [1, 2, 3])], "c": [(20, [])]})
